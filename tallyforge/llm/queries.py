@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, sharding, warc
 from .common import table
 
 
@@ -14,7 +14,19 @@ def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_monolithic_gzip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), revisit_from=0)
+
+
+def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
+    "op9_certified_best_fit": op9_certified_best_fit,
     "op10_kd_tree_sharding": op10_kd_tree_sharding,
 }
 
