@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding, warc
+from . import packing, secrets, sharding, warc
 from .common import table
 
 
@@ -14,6 +15,15 @@ def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op1_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def op8_monolithic_gzip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), revisit_from=0)
 
@@ -25,6 +35,7 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_grammar_secrets": op1_grammar_secrets,
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
     "op10_kd_tree_sharding": op10_kd_tree_sharding,
