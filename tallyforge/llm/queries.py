@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, warc
+from . import decontamination, packing, secrets, sharding, warc
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op1_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ","), 256)
+    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_monolithic_gzip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), revisit_from=0)
 
@@ -36,6 +42,7 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grammar_secrets": op1_grammar_secrets,
+    "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
     "op10_kd_tree_sharding": op10_kd_tree_sharding,
