@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secrets, sharding, warc
+from . import decontamination, neardup, packing, secrets, sharding, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op1_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op2_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = F.sha2(F.array_join("items", ","), 256)
@@ -42,6 +46,7 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grammar_secrets": op1_grammar_secrets,
+    "op2_bottom_k_near_duplicates": op2_bottom_k_near_duplicates,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
