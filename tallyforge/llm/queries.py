@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neardup, packing, secrets, sharding, warc
+from . import decontamination, neardup, neighbours, packing, secrets, sharding, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op2_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = F.sha2(F.array_join("items", ","), 256)
@@ -47,6 +51,7 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grammar_secrets": op1_grammar_secrets,
     "op2_bottom_k_near_duplicates": op2_bottom_k_near_duplicates,
+    "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
