@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, with_uid
 
-#: Words whose ids a task remembers. It forgets all beyond that, which costs time and changes no result.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers. It forgets all beyond that, which costs time and changes no result.
+REMEMBERED = 800_000
+#: Words of Latin letters and sentence marks: the tokenizer lowers the letters, and cuts before the marks.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: Pieces that are packed together.
 GROUP = 4096
 #: Times that partitions with gaps may exchange documents.
@@ -37,17 +42,23 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.parts: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts = []
+        for w in words:
+            plain = PLAIN.fullmatch(word := w.decode("utf-8"))
+            parts.append((plain[1].lower(), plain[2]) if plain else (word,))
+        new = list({p for ps in parts for p in ps if p not in self.parts})
+        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[p] = array("I", found.ids).tobytes()
+        ids = [b"".join([self.parts[p] for p in ps]) for ps in parts]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = len(self.ids) + np.cumsum(length) - length
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(length.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +83,17 @@ class WordEncoder:
         return flat, np.diff(is_end + 1, prepend=0)
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for a worker process, which keeps it for its next tasks."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null and empty texts are the end id alone."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         for part in slices(batches, "text", 2_000_000):
             flat, sizes = encoder.encode(part["text"].fillna("").tolist(), end_id)
             flat = flat.astype("<u4", copy=False)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neardup, neighbours, packing, secrets, sharding, warc
-from .common import table
+from . import ctw, decontamination, language, neardup, neighbours, packing, secrets, sharding, toxicity, warc
+from .common import fold, table
 
 
 def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,20 @@ def op2_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.train(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    found = language.identify(docs, network)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = toxicity.training_rows(docs, table(spark, sf_dir, "labels")).filter(fold(F.col("doc_id"), 5) != 0)
+    found = toxicity.score(docs, toxicity.train(learnt))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
 
@@ -38,6 +52,10 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op8_monolithic_gzip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), revisit_from=0)
 
@@ -48,14 +66,24 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grammar_secrets": op1_grammar_secrets,
     "op2_bottom_k_near_duplicates": op2_bottom_k_near_duplicates,
+    "op3_byte_cnn_language": op3_byte_cnn_language,
+    "op4_gru_toxicity": op4_gru_toxicity,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
+    "op7_context_tree_weighting": op7_context_tree_weighting,
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
     "op10_kd_tree_sharding": op10_kd_tree_sharding,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
