@@ -169,7 +169,7 @@ def merge_payees(rows: DataFrame, checks: DataFrame) -> DataFrame:
     marked = rows.withColumn("__no", check_number(F.col("check_no"))).withColumn("__c", cents(F.col("amount")))
     named = checks.filter(blank(F.col("pay_to")) != "").select(*LEGS, "ord", "pay_to", check_number(F.col("check_no")).alias("__no"), cents(F.col("amount")).alias("__c"))
     by_number = named.filter("__no <> ''").groupBy(*LEGS, "__no").agg(F.max_by("pay_to", "ord").alias("__p1"))
-    numbers = rows.select(*LEGS, check_number(F.col("check_no")).alias("__no")).distinct()
+    numbers = rows.select(*LEGS, check_number(F.col("check_no")).alias("__no")).filter("__no <> ''").distinct()
     nth = lambda *k: F.row_number().over(Window.partitionBy(*LEGS, *k).orderBy("ord"))
     by_amount = named.join(numbers, [*LEGS, "__no"], "left_anti").withColumn("__k", nth("__c")).select(*LEGS, "__c", "__k", F.col("pay_to").alias("__p2"))
     step = marked.join(by_number, [*LEGS, "__no"], "left")

@@ -8,28 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import coerce, predicates
 from ..functions.coerce import AMOUNT, DATE_TOKEN
 
-ORDER = Window.partitionBy("statement_id").orderBy("line_no")
-UP_TO_HERE = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def in_order():
+    return Window.partitionBy("statement_id").orderBy("line_no")
+
+
+def up_to_here():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def carry_sections(lines: DataFrame) -> DataFrame:
     """heading: a line's own section; section: that of the last heading; suppressed: after a heading that ends them all."""
     heading = predicates.section_of(F.col("text"))
-    last = F.last("heading", ignorenulls=True).over(UP_TO_HERE)
+    last = F.last("heading", ignorenulls=True).over(up_to_here())
     out = lines.withColumn("heading", heading).withColumn("section", last)
     return out.withColumn("suppressed", F.coalesce(F.col("section") == "end", F.lit(False))).withColumn("section", F.when(~F.col("suppressed"), F.col("section")))
 
 
 def until_terminator(lines: DataFrame) -> DataFrame:
     """Lines before a statement's first ending heading."""
-    ended = F.max((F.coalesce(predicates.section_of(F.col("text")) == "end", F.lit(False))).cast("int")).over(UP_TO_HERE)
+    ended = F.max((F.coalesce(predicates.section_of(F.col("text")) == "end", F.lit(False))).cast("int")).over(up_to_here())
     return lines.withColumn("__ended", ended).filter("__ended = 0").drop("__ended")
 
 
 def fuse_split_dates(lines: DataFrame) -> DataFrame:
     """A line that is only a month and slash takes the next line's text; the next line goes."""
     half, follows = r"^\s*\d{1,2}\s*/\s*$", r"^\s*\d{1,2}\b"
-    after, before = F.lead("text").over(ORDER), F.lag("text").over(ORDER)
+    after, before = F.lead("text").over(in_order()), F.lag("text").over(in_order())
     joins = F.col("text").rlike(half) & F.coalesce(after.rlike(follows), F.lit(False))
     eaten = F.coalesce(before.rlike(half), F.lit(False)) & F.col("text").rlike(follows)
     marked = lines.withColumn("__joined", F.when(joins, F.concat(F.regexp_replace("text", r"\s+", ""), F.trim(after)))).withColumn("__eaten", eaten)
@@ -39,11 +44,11 @@ def fuse_split_dates(lines: DataFrame) -> DataFrame:
 def splice_orphan_numbers(lines: DataFrame) -> DataFrame:
     """A line of a check number alone is put before the text of the line above it, if that has a date and an amount."""
     alone = r"^\s*\*?\s*\d{3,6}\s*\*?\s*$"
-    after = F.lead("text").over(ORDER)
+    after = F.lead("text").over(in_order())
     bare = F.col("text").rlike(rf"^\s*{DATE_TOKEN}\s+{AMOUNT}\s*$")
     number = F.trim(F.translate(after, "*", ""))
     takes = bare & F.coalesce(after.rlike(alone), F.lit(False))
-    eaten = F.col("text").rlike(alone) & F.coalesce(F.lag("text").over(ORDER).rlike(rf"^\s*{DATE_TOKEN}\s+{AMOUNT}\s*$"), F.lit(False))
+    eaten = F.col("text").rlike(alone) & F.coalesce(F.lag("text").over(in_order()).rlike(rf"^\s*{DATE_TOKEN}\s+{AMOUNT}\s*$"), F.lit(False))
     text = F.when(takes, F.concat_ws(" ", F.regexp_extract("text", DATE_TOKEN, 0), F.concat(F.lit("Check #"), number), F.regexp_extract("text", rf"{AMOUNT}\s*$", 0)))
     return lines.withColumn("__t", text).withColumn("__e", eaten).filter(~F.col("__e")).withColumn("text", F.coalesce("__t", "text")).drop("__t", "__e")
 
@@ -92,11 +97,11 @@ def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
     rest = live.filter(~F.coalesce(is_checks, F.lit(False)) & ~predicates.is_skipped(F.col("text")))
     lead = F.regexp_extract("text", rf"^{DATE_TOKEN}", 0)
     rest = rest.withColumn("own", F.when(lead != "", coerce.normal_date(lead, year))).withColumn("body", F.when(F.col("own").isNotNull(), F.trim(F.substr("text", F.length(lead) + 1))).otherwise(F.col("text")))
-    rest = rest.withColumn("date", F.last("own", ignorenulls=True).over(UP_TO_HERE)).withColumn("values", coerce.amounts(F.col("body")))
+    rest = rest.withColumn("date", F.last("own", ignorenulls=True).over(up_to_here())).withColumn("values", coerce.amounts(F.col("body")))
     paid = F.size("values") > 0
     # A row's lines: from after the amount line above, or from the date line, to its own amount line.
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-    island = F.coalesce(F.sum(paid.cast("int")).over(before), F.lit(0)) + F.sum(F.col("own").isNotNull().cast("int")).over(UP_TO_HERE)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    island = F.coalesce(F.sum(paid.cast("int")).over(before), F.lit(0)) + F.sum(F.col("own").isNotNull().cast("int")).over(up_to_here())
     useful = paid | F.col("section").isNotNull() | F.col("body").rlike(predicates.TRANSACTION_HINT)
     parts = rest.withColumn("island", island).filter(useful).groupBy("statement_id", "island").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda s: s["body"]), " ").alias("all"),

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.coerce import check_number
 from ..functions.predicates import is_clean_payee
@@ -20,7 +21,7 @@ def sequence_ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -296,7 +296,7 @@ def document_lines(spark, sf):
 def line_section_carry(spark, sf):
     mark = F.when(F.col("text").startswith("T"), "debit").when(F.col("text").startswith("E"), "credit")
     marked = document_lines(spark, sf).withColumn("mark", mark)
-    return marked.select("statement_id", "line_no", F.last("mark", ignorenulls=True).over(lines.UP_TO_HERE).alias("section"))
+    return marked.select("statement_id", "line_no", F.last("mark", ignorenulls=True).over(lines.up_to_here()).alias("section"))
 
 
 @query("SELECT event_id, CAST(round(abs(value) * 100) AS BIGINT) / 100.0 AS first_amount, 2 AS n FROM events")
