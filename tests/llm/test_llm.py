@@ -232,6 +232,21 @@ def test_recall(spark, sf):
     assert total == 10 * (ids % 10 == 0).sum() and hits / total >= 0.9
 
 
+def test_more_hashes_keep_recall():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    x = np.repeat(centres, 100, axis=0) + 0.25 * rng.standard_normal((4000, 32))
+    hashing = neighbours.CrossPolytope.for_points(4000 * 1000, 32, neighbours.TABLES)
+    assert hashing.hashes == 2 and neighbours.CrossPolytope.for_points(50000, 64, 12).hashes == 1
+    found = [set() for _ in range(40)]
+    for t in range(hashing.tables):
+        own, asked = hashing.buckets(x, t, 1)[:, 0], hashing.buckets(x[::100], t, neighbours.PROBES * neighbours.DEEPER)
+        for q in range(40):
+            found[q] |= set(np.flatnonzero(np.isin(own, asked[q])))
+    near = [set(np.argsort(((x - x[100 * q]) ** 2).sum(axis=1))[1:11]) for q in range(40)]
+    assert sum(len(a & b) for a, b in zip(found, near, strict=True)) >= 0.9 * 400
+
+
 def test_neighbours_odd(spark):
     same = [(i, [1.0, 2.0, 2.0], 0) for i in range(0, 60)]
     bad = [(100, None, 0), (101, [0.0, 0.0, 0.0], 0), (102, [1.0, None, 1.0], 0), (103, [float("nan"), 1.0, 1.0], 0), (104, [1.0, float("inf"), 1.0], 0), (None, [1.0, 1.0, 1.0], 0)]
