@@ -13,8 +13,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the recurrent network, trained on labelled ones, scores 0.5 or more."""
-    learnt = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, toxicity.train(learnt))
+    return toxicity.keep_clean(docs, toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def train(labelled: DataFrame) -> ByteNetwork | None:
     usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     start = lambda j: F.pmod(F.xxhash64("doc_id", j), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
     cuts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda j: F.substr("text", start(j), F.lit(WINDOW)))
-    sample = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["lang"]).select("lang", cuts.alias("cuts")).collect()
+    sample = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["lang"]).select("lang", cuts.alias("cuts")).distinct().collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})

@@ -37,8 +37,8 @@ def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learnt = toxicity.training_rows(docs, table(spark, sf_dir, "labels")).filter(fold(F.col("doc_id"), 5) != 0)
-    found = toxicity.score(docs, toxicity.train(learnt))
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import bounded_sample, materialise
 from .training import Adam
 
 #: Words of a window and words from one window's start to the next; the last window of a text ends with it.
@@ -182,10 +182,17 @@ def _log_odds(rows: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     return np.clip(np.log(seen[1] / (y == 1).sum().clip(1)) - np.log(seen[0] / (y == 0).sum().clip(1)), -3, 3) / 3
 
 
-def train(labelled: DataFrame) -> GatedNetwork | None:
-    """Fit on doc_id, text and toxic of at most SAMPLE documents a class, of LONGEST words; None without both classes."""
-    usable = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.size(F.split("text", r"\s+")) <= LONGEST))
-    sample = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["toxic"]).select("text", "toxic").collect()
+def train(docs: DataFrame, labels: DataFrame) -> GatedNetwork | None:
+    """Fit on labelled documents, at most SAMPLE a class, of LONGEST words; None without both classes.
+
+    Only ids, sizes and labels are joined and sampled; the texts of the sample are fetched by their ids. A document
+    with several labels takes the larger; labels other than 0 and 1 do not count; of repeated ids, one row does.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.filter(F.col("text").isNotNull() & (F.size(F.split("text", r"\s+")) <= LONGEST)).select("doc_id")
+    usable = materialise(short.join(known, "doc_id").distinct())
+    chosen = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["toxic"])  # at most SAMPLE rows a class
+    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect()
     sample = sorted((r["text"], r["toxic"]) for r in sample)
     return fit([t for t, _ in sample], np.array([k for _, k in sample], np.int64))
 
@@ -269,12 +276,6 @@ def text_scores(texts: list[str | None], network: GatedNetwork | None, limit: in
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of labelled documents; a document with several labels takes the larger."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def keep_clean(docs: DataFrame, network: GatedNetwork | None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score below threshold."""
     return docs.filter(scorer(docs.sparkSession, network)("text") < threshold)
