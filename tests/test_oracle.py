@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans.queries import QUERIES, SQL
+from tallyforge.plans.more import QUERIES, SQL
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
