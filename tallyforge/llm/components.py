@@ -38,3 +38,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         mark = new
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(members.select("component", "component").distinct())
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """node and root for every node of parents (node, parent), one parent each and no cycles: pointers that double."""
+    now = materialise(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        after = materialise(now.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        now = after.drop("moved")
+        if not after.agg(F.max("moved")).first()[0]:
+            return now

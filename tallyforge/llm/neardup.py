@@ -13,28 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices, with_uid
-from .components import connected_components
+from .components import connected_components, roots
 
-#: Values of a sketch: the least hashes of a set's shingles.
-SKETCH = 64
+#: Values of a sketch, the least hashes of a set's shingles: for all sets, and for those that share enough of these.
+SKETCH, LONG_SKETCH = 64, 512
 #: Chance at most that two sketches of similar sets share fewer values than a pair must share.
 MISS = 1e-8
 #: Words whose hashes a task remembers before it begins anew.
 REMEMBERED = 400_000
 #: Rows up to which a side is broadcast; beyond, Spark shuffles both.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which each list compares its members with one pivot, before all pairs left between components.
-PIVOT_ROUNDS = 3
+#: Lists whose components leave more than so many pairs a row first compare all members with one pivot, so many times.
+DIRECT, PIVOT_ROUNDS = 8, 3
 
 
-def least_overlap(similarity: float) -> int:
-    """Values that sketches of SKETCH share but for a chance of MISS, the shared ones being at least binomial."""
+def least_overlap(similarity: float, size: int = SKETCH) -> int:
+    """Values that sketches of `size` share but for a chance of MISS, the shared ones being at least binomial."""
     total = 0.0
-    for t in range(SKETCH + 1):
-        total += math.comb(SKETCH, t) * similarity**t * (1 - similarity) ** (SKETCH - t)
+    for t in range(size + 1):
+        total += math.comb(size, t) * similarity**t * (1 - similarity) ** (size - t)
         if total > MISS:
             return t
-    return SKETCH
+    return size
 
 
 class Shingler:
@@ -113,36 +113,43 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _needed(n: Column, similarity: float) -> Column:
-    """Sketch values that a set of n shares with any similar set: surely if n is at most SKETCH, else by least_overlap."""
-    whole = F.least(F.ceil(n * F.lit(similarity) - 1e-9), F.floor(F.lit(SKETCH) - n * F.lit(1 / similarity - 1)))
-    return F.when(n <= SKETCH, whole).otherwise(F.lit(least_overlap(similarity))).cast("int")
+def _needed(n: Column, similarity: float, size: int) -> Column:
+    """Sketch values that a set of n shares with any similar set: surely if n is at most `size`, else by least_overlap."""
+    whole = F.least(F.ceil(n * F.lit(similarity) - 1e-9), F.floor(F.lit(size) - n * F.lit(1 / similarity - 1)))
+    return F.when(n <= size, whole).otherwise(F.lit(least_overlap(similarity, size))).cast("int")
 
 
-def _inverted(classes: DataFrame, similarity: float) -> DataFrame:
-    """value, node, n, shared: the retained values under which similar classes meet.
+def _met(classes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """node, n, met and spare: the values that other classes retain too, rarest first, and how many can be a pair's first.
 
-    A value that only one class retains brings nothing together. Of the others a class needs only the rarest: all
-    but as many as it must share, less one. Ranking by frequency leaves common passages out of the lists.
+    A class shares all values of `met` but `spare` - 1 with a similar one, so that they meet in the first `spare`.
+    Ranking by frequency leaves common passages out of these. Classes that share too few are dropped.
     """
     spread = classes.select("node", "n", F.explode("sketch").alias("value"))
-    often = spread.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
     # Counts are written, so that the join is between plain exchanges, which AQE splits at a hot value.
-    often = materialise(often)
+    often = materialise(spread.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"))
     met = spread.join(often, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("met"))
-    spare = F.size("met") - _needed(F.col("n"), similarity) + 1
-    lists = met.filter(spare > 0).select("node", "n", F.size("met").alias("shared"), F.explode(F.slice("met", F.lit(1), spare)).alias("m"))
-    return lists.select(F.col("m.value").alias("value"), "node", "n", "shared")
+    return met.withColumn("spare", F.size("met") - _needed(F.col("n"), similarity, size) + 1).filter("spare > 0")
+
+
+def _inverted(sets: DataFrame, similarity: float) -> DataFrame:
+    """value, node, n, shared, left: long-sketch values under which similar classes meet.
+
+    left: how many of the sketch's values can still be shared if this is the first that a pair shares.
+    """
+    met = _met(sets.select("node", F.size("shingles").alias("n"), F.slice("shingles", 1, LONG_SKETCH).alias("sketch")), similarity, LONG_SKETCH)
+    return met.select("node", "n", F.size("met").alias("shared"), F.posexplode(F.slice("met", F.lit(1), F.col("spare"))).alias("at", "m")).select(
+        F.col("m.value").alias("value"), "node", "n", "shared", (F.col("shared") - F.col("at")).alias("left")
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose union sketch may reach the similarity, and whose full sets do; written."""
     least = least_overlap(percent / 100)
     first = F.slice("shingles", 1, SKETCH)
-    left = sets.select(F.col("node").alias("a"), first.alias("x"))
+    left = sets.select(F.col("node").alias("a"), first.alias("x"), F.size("shingles").alias("n"))
     right = sets.select(F.col("node").alias("b"), first.alias("y"), F.size("shingles").alias("m"))
-    n_left = sets.select(F.col("node").alias("a"), F.size("shingles").alias("n"))
-    near = pairs.join(left, "a").join(n_left, "a").join(right, "b")
+    near = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     agreed = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
     of = F.least(F.lit(SKETCH), F.size(F.array_union("x", "y")))
@@ -163,73 +170,97 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id; kept marks that document. Empty and null texts, and null ids, are components of their own (with a
     null component_id for a null id, which is kept); repeated rows share a component; other columns are ignored.
 
-    Candidates meet in inverted lists of sketch values. A list never yields all its pairs: each round compares
-    members with the list's most shared class, one such pair for each class, and only classes in different
-    components go on. What remains after PIVOT_ROUNDS is compared pair by pair with all outside the list's
-    largest component, so that no link between components is lost.
+    Classes that share enough values of their short sketches go on. Candidates meet in inverted lists of the values
+    of their long ones; a pair must be able to share enough from its first shared value on. A list does not yield all its pairs: first each class is
+    compared with one pivot, the most shared class of its lists, which joins groups of copies. Then only pairs of
+    different components count. Where they are many, more pivots are tried; what remains is compared pair by pair
+    with all outside a list's largest component, so that no link between components is lost.
     """
     similarity = percent / 100
     rows = materialise(with_uid(_sketches(docs, width)))
     linked = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = linked.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
-    lists = materialise(_inverted(classes, similarity))
-    wanted = materialise(lists.select("node").distinct().join(classes.select("node", "digest", "least_id"), "node"))
+    near = _met(classes, similarity, SKETCH).select("node")
+    wanted = materialise(near.join(classes.select("node", "digest", "least_id"), "node"))
     texts = docs.select("doc_id", "text").join(_small(wanted.select(F.col("least_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = materialise(_full_sets(texts, width).join(wanted.select("node", "digest"), "digest").select("node", "shingles"))
-
-    links, tried = None, None
-    labelled = lists.withColumn("component", F.col("node"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        many = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
-        labelled = materialise(labelled.join(materialise(many), "value"))
-        if labelled.isEmpty():
+    lists = materialise(_inverted(sets, similarity))
+
+    # The first pairs lead from each class to one of a smaller rank, so the confirmed ones are trees.
+    labels = roots(_confirmed(_first_pairs(lists, percent), sets, percent).select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    for turn in range(1, PIVOT_ROUNDS + 2):
+        labelled = lists.join(labels.select("node", F.col("root").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = materialise(_mixed(labelled))
+        size = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("rows")).first()
+        if not size["rows"]:
+            break
+        last = turn > PIVOT_ROUNDS or size["pairs"] <= DIRECT * size["rows"]
+        labelled = materialise(labelled.join(mixed.select("value", "largest"), "value"))
+        pairs = _all_pairs(labelled) if last else _pivot_pairs(labelled, turn)
+        pairs = pairs.filter(_fits(percent) & (F.col("c") != F.col("d"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = _confirmed(materialise(pairs), sets, percent)
+        root = lambda side: labels.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))  # noqa: B023, E731
+        between = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        between = materialise(between.filter("a <> b").distinct())
+        if not between.isEmpty():
+            merged = materialise(connected_components(between))
+            known = labels.union(merged.select("node", F.col("node").alias("root")).join(labels, "node", "left_anti"))
+            labels = materialise(known.join(merged.select(F.col("node").alias("root"), "component"), "root", "left").select("node", F.coalesce("component", "root").alias("root")))
+        if last:
             break
-        pairs = _pivot_pairs(labelled, turn) if turn < PIVOT_ROUNDS else _all_pairs(labelled)
-        fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-        pairs = pairs.filter(fits & (F.col("c") != F.col("d"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("member")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < PIVOT_ROUNDS:  # one pair for each class and round: the others are rarely needed
-            pairs = pairs.groupBy("member").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = materialise(pairs.select("a", "b").distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        found = _confirmed(pairs, sets, percent)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        members = materialise(connected_components(links))
-        again = lists.join(labelled.select("value").distinct(), "value", "left_semi")
-        labelled = again.join(members, "node", "left").select("value", again["node"], "n", "shared", F.coalesce("component", again["node"]).alias("component"))
     discard(lists)
-    if links is None:
-        named = classes.select("digest", F.col("least_id").alias("component_id"))
-    else:
-        joined = classes.select("digest", "node", "least_id").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        joined = materialise(joined.select("digest", "least_id", "component"))
-        least = materialise(joined.groupBy("component").agg(F.min("least_id").alias("component_id")))
-        named = joined.join(least, "component").select("digest", "component_id")
+    joined = classes.select("digest", "node", "least_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = materialise(joined.select("digest", "least_id", "root"))
+    least = materialise(joined.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    named = joined.join(least, "root").select("digest", "component_id")
     named = materialise(named)
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _fits(percent: int) -> Column:
+    """Sizes n and m, and what both can still share, allow the similarity.
+
+    A similar pair passes at the first value that it shares, counted from the rarest: all that it shares is this
+    and what follows in both.
+    """
+    similarity = percent / 100
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    exact = F.ceil((F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+    either = F.least(_needed(F.col("n"), similarity, LONG_SKETCH), _needed(F.col("m"), similarity, LONG_SKETCH))
+    need = F.when((F.col("n") <= LONG_SKETCH) & (F.col("m") <= LONG_SKETCH), exact).otherwise(either)
+    return sizes & (F.least("left", "right") >= need)
+
+
+def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """One pair (pivot a, member b) for each class: of its lists' most shared classes, the one of least rank."""
+    rank = F.struct((-F.col("shared")).alias("rank"), "node", "n", "left")
+    best = materialise(lists.groupBy("value").agg(F.min(rank).alias("p"), F.count("*").alias("k")).filter("k > 1").drop("k"))
+    met = lists.join(best, "value").filter("p.node <> node").withColumn("m", F.col("p.n")).withColumn("right", F.col("p.left")).filter(_fits(percent))
+    return materialise(met.groupBy("node").agg(F.min("p").alias("p")).select(F.col("p.node").alias("a"), F.col("node").alias("b")))
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """value, largest (component), total (rows) and pairs (between components) of the lists of several components."""
+    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("k"))
+    each = sizes.groupBy("value").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("square"), F.count("*").alias("components"))
+    pairs = (F.col("total") * F.col("total") - F.col("square")) / 2
+    return each.filter("components > 1").select("value", F.col("x.component").alias("largest"), "total", pairs.alias("pairs"))
+
+
 def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each member b of a list with the list's pivot a: first the most shared class, later one by a hash of the turn."""
-    rank = F.xxhash64("node", F.lit(turn)) if turn else -F.col("shared").cast("long")
-    best = lists.groupBy("value").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("p"))
-    best = materialise(best.select("value", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("d")))
-    return lists.join(best, "value").select("a", F.col("node").alias("b"), "n", "m", F.col("component").alias("c"), "d")
+    """Each member b of a list with the list's pivot a, chosen by a hash of the turn outside the largest component."""
+    best = lists.filter("component <> largest").groupBy("value").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "component", "left")).alias("p"))
+    best = materialise(best.select("value", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("d"), F.col("p.left").alias("right")))
+    return lists.join(best, "value").select("a", F.col("node").alias("b"), "n", "m", F.col("component").alias("c"), "d", "left", "right")
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
     """All pairs of a list between components: one of the two is outside the list's largest component."""
-    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("k"))
-    largest = materialise(sizes.groupBy("value").agg(F.max(F.struct("k", "component")).alias("x")).select("value", F.col("x.component").alias("largest")))
-    marked = materialise(lists.join(largest, "value"))
-    minor = marked.filter("component <> largest").select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("d"))
-    return marked.join(minor, "value").select("a", F.col("node").alias("b"), "n", "m", F.col("component").alias("c"), "d")
+    minor = lists.filter("component <> largest").select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("left").alias("right"))
+    return lists.join(minor, "value").select("a", F.col("node").alias("b"), "n", "m", F.col("component").alias("c"), "d", "left", "right")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
