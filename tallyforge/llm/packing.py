@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,24 +41,46 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.parts: dict[str, bytes] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.part_ids, self.part_start, self.part_length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        parts = []
+        """Words are one or two parts; a new part that is one of the tokenizer's own words is encoded with others."""
+        parts, plain, other, seq = self.parts, [], [], []
         for w in words:
-            plain = PLAIN.fullmatch(word := w.decode("utf-8"))
-            parts.append((plain[1].lower(), plain[2]) if plain else (word,))
-        new = list({p for ps in parts for p in ps if p not in self.parts})
-        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", found.ids).tobytes()
-        ids = [b"".join([self.parts[p] for p in ps]) for ps in parts]
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = len(self.ids) + np.cumsum(length) - length
+            found = PLAIN.fullmatch(word := w.decode("utf-8"))
+            for part in (found[1].lower(), found[2]) if found else (word, ""):
+                at = parts.get(part)
+                if at is None:
+                    at = parts[part] = len(parts)
+                    (plain if found else other).append(part)
+                seq.append(at)
+        self._encode_parts(plain, other)
+        seq = np.array(seq, np.int64)
+        flat, length = _gather(self.part_ids, self.part_start[seq], self.part_length[seq]), self.part_length[seq].reshape(-1, 2).sum(axis=1)
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.ids, self.length = np.concatenate([self.ids, flat]), np.concatenate([self.length, length])
+
+    def _encode_parts(self, plain: list[str], other: list[str]) -> None:
+        ids, counts = [], []
+        for i in range(0, len(plain), 1000):  # a text of many words costs less than as many texts
+            some = plain[i : i + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        for found in self.tokenizer.encode_batch_fast(other, add_special_tokens=False):
+            ids.append(np.array(found.ids, np.uint32))
+            counts.append(np.array([len(found.ids)]))
+        if not counts:
+            return
+        length = np.concatenate(counts)
+        at = np.array([self.parts[p] for p in (*plain, *other)])
+        grown = len(self.parts) - len(self.part_start)
+        self.part_start, self.part_length = (np.concatenate([a, np.zeros(grown, np.int64)]) for a in (self.part_start, self.part_length))
+        self.part_start[at], self.part_length[at] = len(self.part_ids) + np.cumsum(length) - length, length
+        self.part_ids = np.concatenate([self.part_ids, *ids])
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text followed by the id `end`, and the number of ids of each text."""
@@ -72,17 +93,19 @@ class WordEncoder:
         at = np.fromiter((self.place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
         stops = np.cumsum(counts)
         length = np.insert(self.length[at], stops, 1)  # a place for the end of each text
-        start = np.insert(self.start[at], stops, -1)
-        ends = stops + np.arange(len(texts))
-        first = np.cumsum(length) - length
-        source = np.repeat(start - first, length) + np.arange(int(length.sum()))
-        is_end = first[ends]
-        source[is_end] = 0
-        flat = self.ids[source] if len(self.ids) else np.zeros(len(source), np.uint32)
+        start = np.insert(self.start[at], stops, 0)
+        is_end = np.cumsum(length)[stops + np.arange(len(texts))] - 1
+        flat = _gather(self.ids if len(self.ids) else np.zeros(1, np.uint32), start, length)
         flat[is_end] = end
         return flat, np.diff(is_end + 1, prepend=0)
 
 
+def _gather(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at start, one after the other."""
+    first = np.cumsum(length) - length
+    return ids[np.repeat(start - first, length) + np.arange(int(length.sum()))]
+
+
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for a worker process, which keeps it for its next tasks."""
