@@ -33,24 +33,22 @@ def match_checks(transactions: DataFrame, crops: DataFrame) -> DataFrame:
     """
     kind = "statement_id string, crop_ord long, ord long, tier string"
 
+    def cents(amount: float) -> int | None:
+        return None if pd.isna(amount) else round(abs(amount) * 100)
+
     def match(key, txns: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        txns, free, out = txns.sort_values("ord"), set(txns["ord"]), []
+        free, out = {r.ord: r for r in txns.sort_values("ord").itertuples()}, []  # in order
         for c in found.sort_values("ord").itertuples():
-            open_rows = txns[txns["ord"].isin(free)]
-            tier, hit = "", open_rows[open_rows["number"] == c.number] if c.number else open_rows[:0]
-            if len(hit):
-                tier, at = "check_number", hit["ord"].iloc[0]
-            if not tier and not pd.isna(c.amount):
-                hit = open_rows[((open_rows["amount"].abs() - abs(c.amount)).abs() * 100).round() <= 1]
-                if len(hit):
-                    tier, at = "amount", hit["ord"].iloc[0]
-            if not tier and c.payee and len(open_rows):
-                scores = [max(sequence_ratio(c.payee, r.payee), sequence_ratio(c.payee, r.description)) for r in open_rows.itertuples()]
-                if max(scores) >= LEAST_RATIO:
-                    tier, at = "name", open_rows["ord"].iloc[scores.index(max(scores))]
-            if tier:
-                free.discard(at)
-                out.append((key[0], c.ord, at, tier))
+            tier, hit = "check_number", next((r for r in free.values() if c.number and r.number == c.number), None)
+            if hit is None and (size := cents(c.amount)) is not None:
+                tier, hit = "amount", next((r for r in free.values() if (other := cents(r.amount)) is not None and abs(other - size) <= 1), None)
+            if hit is None and c.payee and free:
+                scores = [(max(sequence_ratio(c.payee, r.payee), sequence_ratio(c.payee, r.description)), -i, r) for i, r in enumerate(free.values())]
+                best = max(scores, key=lambda s: s[:2])
+                tier, hit = "name", best[2] if best[0] >= LEAST_RATIO else None
+            if hit is not None:
+                del free[hit.ord]
+                out.append((key[0], c.ord, hit.ord, tier))
         return pd.DataFrame(out, columns=["statement_id", "crop_ord", "ord", "tier"])
 
     side = lambda df: df.select("statement_id", F.col("ord").cast("long"), "amount", "payee", *(["description"] if "description" in df.columns else []), check_number(F.col("check_no")).alias("number"))
