@@ -47,12 +47,12 @@ class ByteNetwork:
         return {w: np.einsum("be,pef->pbf", self.weights["embedding"], self.weights[f"filter{w}"]) for w in WIDTHS}
 
     def _pooled(self, x: np.ndarray, tables: dict[int, np.ndarray], where: bool = False):
-        tops, places = [], []
+        tops, places, x = [], [], x.astype(np.intp)
         for w in WIDTHS:
             n = x.shape[1] - w + 1
-            response = tables[w][0][x[:, :n]]
+            response = tables[w][0].take(x[:, :n], axis=0)
             for p in range(1, w):
-                response += tables[w][p][x[:, p : p + n]]
+                response += tables[w][p].take(x[:, p : p + n], axis=0)
             if where:
                 places.append(response.argmax(axis=1))
             tops.append(response.max(axis=1) + self.weights[f"bias{w}"])
