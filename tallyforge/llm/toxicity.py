@@ -92,9 +92,10 @@ class GatedNetwork:
         """States (steps, windows, STATES). projected: what each word adds; at: the words of each window."""
         rec, s = self.weights[f"rec{d}"], STATES
         n, steps = at.shape
+        at = np.ascontiguousarray(at.T)
         out, h = np.empty((steps, n, s), np.float32), np.zeros((n, s), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x, u = projected[at[:, t]], h @ rec
+            x, u = projected.take(at[t], axis=0), h @ rec
             gates = np.tanh(0.5 * (x[:, : 2 * s] + u[:, : 2 * s])) * 0.5 + 0.5  # update and reset
             z, r = gates[:, :s], gates[:, s:]
             new = np.tanh(x[:, 2 * s :] + r * u[:, 2 * s :])
