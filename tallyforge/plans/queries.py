@@ -264,7 +264,7 @@ def register_gate(spark, sf):
 
 
 @query(_ALL + """, c AS (SELECT * FROM legs WHERE source <> 'register'), r AS (SELECT * FROM legs WHERE source = 'register')
-    SELECT c.statement_id, c.ord AS check_ord, r.ord AS register_ord, CASE WHEN c.check_no <> '' AND c.check_no = r.check_no THEN 'check_number' ELSE 'amount' END AS reason FROM c JOIN r
+    SELECT DISTINCT c.statement_id, c.ord AS check_ord, r.ord AS register_ord, CASE WHEN c.check_no <> '' AND c.check_no = r.check_no THEN 'check_number' ELSE 'amount' END AS reason FROM c JOIN r
     ON c.statement_id = r.statement_id AND ((c.check_no <> '' AND c.check_no = r.check_no) OR (r.amount < 0 AND abs(abs(r.amount) - abs(c.amount)) < 0.011))""")
 def check_coverage(spark, sf):
     both = legs(spark, sf)
