@@ -177,10 +177,10 @@ def _windows(texts: list[list[bytes]]):
     return list(place), np.concatenate(at), counts
 
 
-def _log_odds(rows: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(seen: list[np.ndarray]) -> np.ndarray:
     """How much oftener toxic texts than others hold a row, as a centred log of smoothed shares."""
-    seen = [np.bincount(rows[y == k], minlength=size) + 0.5 for k in (0, 1)]
-    return np.clip(np.log(seen[1] / (y == 1).sum().clip(1)) - np.log(seen[0] / (y == 0).sum().clip(1)), -3, 3) / 3
+    share = [np.log((n + 0.5) / max(1, n.sum())) for n in seen]
+    return np.clip(share[1] - share[0], -3, 3) / 3
 
 
 def train(docs: DataFrame, labels: DataFrame) -> GatedNetwork | None:
@@ -213,10 +213,16 @@ def fit(sample: list[str], y: np.ndarray, seed: int = 0) -> GatedNetwork | None:
     at = np.where(at < 0, len(rows), at)
     pairs = np.unique(np.stack([np.repeat(owner, WINDOW), at.ravel()], axis=1)[at.ravel() < len(rows)], axis=0)
     n_grams = np.diff(first, append=len(gram))
-    network.weights["word"][:, 0] += _log_odds(rows[pairs[:, 1]], y[pairs[:, 0]], WORDS)
-    spread = np.repeat(np.arange(len(pairs)), n_grams[pairs[:, 1]])
-    gram_of = gram[first[pairs[spread, 1]] + np.arange(len(spread)) - np.repeat(np.cumsum(n_grams[pairs[:, 1]]) - n_grams[pairs[:, 1]], n_grams[pairs[:, 1]])]
-    network.weights["gram"][:, 0] += _log_odds(gram_of, y[pairs[spread, 0]], GRAMS)
+    label = y[pairs[:, 0]]
+    network.weights["word"][:, 0] += _log_odds([np.bincount(rows[pairs[label == k, 1]], minlength=WORDS) for k in (0, 1)])
+    seen = [np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)]
+    for i in range(0, len(pairs), 50_000):  # in blocks: all n-grams of all texts are many times their words
+        for k in (0, 1):
+            used = pairs[i : i + 50_000, 1][label[i : i + 50_000] == k]
+            sizes = n_grams[used]
+            own = np.cumsum(sizes) - sizes
+            seen[k] += np.bincount(gram[np.repeat(first[used] - own, sizes) + np.arange(int(sizes.sum()))], minlength=GRAMS)
+    network.weights["gram"][:, 0] += _log_odds(seen)
     adam, clean, toxic = Adam(network.weights, 0.01), np.flatnonzero(y[owner] == 0), np.flatnonzero(y[owner] == 1)
     for epoch in range(EPOCHS):
         best = toxic
