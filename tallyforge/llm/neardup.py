@@ -153,8 +153,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     agreed = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
     of = F.least(F.lit(SKETCH), F.size(F.array_union("x", "y")))
+    # Two sketches that are whole sets decide exactly; their union may be longer than a sketch, so it is not cut.
     small = (F.col("n") <= SKETCH) & (F.col("m") <= SKETCH)
-    passes = F.when(small, agreed * 100 >= of * percent).otherwise(agreed >= F.least(F.lit(least), of))
+    exact = F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent
+    passes = F.when(small, exact).otherwise(agreed >= F.least(F.lit(least), of))
     near = materialise(near.filter(passes).select("a", "b"))
     full = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))

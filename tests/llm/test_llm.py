@@ -114,6 +114,26 @@ def test_near_duplicates(spark, width, percent):
     assert got == brute_components(texts, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_of_a_sketch_length(spark, width, percent):
+    """Pairs of 55 to 64 shingles just over and just under the limit, whose unions are longer than a sketch."""
+    rng, texts = random.Random(width), []
+    for n in range(55, 65):
+        k = n * (100 - percent) // (100 + percent)  # shingles that may differ
+        for changed in (k, k + 1):
+            for _ in range(6):
+                w = words(rng, n + width - 1, 100_000).split()
+                v = list(w)
+                r = changed - width + 1  # neighbouring words, each in `width` shingles
+                at = rng.randrange(width, n - r - width) if r > 0 else 0
+                v[at : at + r if r > 0 else changed] = [f"new{rng.randrange(10**9)}" for _ in range(r if r > 0 else changed)]
+                texts += [" ".join(w), " ".join(v)]
+    expected = brute_components(texts, width, percent)
+    assert 30 < sum(c != i for i, (_, c) in expected.items()) < 90
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts), width, percent).collect()}
+    assert got == expected
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = neardup.near_duplicates(odd.union(odd), 3, 85).collect()
     assert len(rows) == 2 * len(ODD)
