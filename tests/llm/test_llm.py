@@ -383,6 +383,42 @@ def test_context_tree_is_a_distribution():
     assert np.allclose((10.0 ** ctw.weighted_tree(counts)).sum(axis=1), 1, atol=1e-3)
 
 
+def test_contexts_are_whole_bytes_and_deep(spark):
+    """What follows is told by one digit, accented letter or mark, five bytes back; classes of bytes cannot tell."""
+    rng = random.Random(11)
+    pairs = list(zip("0123456789éèàùß.,;:!", "abcdefghijklmnopqrst", strict=True))
+    make = lambda: "".join(a + "wxyz"[: 4 - len(a.encode())] + "-" + b for a, b in rng.choices(pairs, k=60))
+    texts = [make() for _ in range(60)]
+    rows = ctw.score_documents(docs_of(spark, texts), F.col("doc_id") < 50).filter("held_out").collect()
+    assert len(rows) == 10
+    for r in rows:  # choosing a pair costs log2(20) = 4.3 bits, all else is known
+        assert -r["score"] / math.log10(2) / 60 < 5.5, -r["score"] / math.log10(2) / 60
+
+
+def test_rare_cells_are_joined(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = docs_of(spark, [words(rng, 30, 50) for _ in range(12)] + ["", None, "Ünï"])
+    score = lambda: {r["doc_id"]: r["score"] for r in ctw.score_documents(docs, F.col("doc_id") % 3 != 2).collect()}
+    whole = score()
+    monkeypatch.setattr(ctw, "FREQUENT_CELLS", 3)
+    joined = score()
+    assert whole.keys() == joined.keys() and all(math.isclose(whole[i], joined[i], rel_tol=1e-9) for i in whole)
+    nothing = ctw.score_documents(docs, F.lit(False)).filter("doc_id = 14").first()
+    assert math.isclose(nothing["score"], 8 * 6 * math.log10(0.5), rel_tol=1e-9)
+
+
+def test_blocks_of_cells_add_up(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(13)
+    cell, n = np.unique(ctw.cells([words(rng, 300, 40).encode()])[0], return_counts=True)
+    total = lambda: pd.concat(ctw._weighted(iter([pd.DataFrame({"cell": cell, "n": n})[::-1]]))).groupby(["level", "node"])["value"].sum()
+    one = total()
+    monkeypatch.setattr(ctw, "BLOCK", 10)
+    many = total()
+    assert one.index.equals(many.index) and np.allclose(one, many)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(ctw, "FREQUENT", 3)
     rng = random.Random(7)
