@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The recurrent network and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
+#: The recurrent network and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
