@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, with_uid
+from .common import materialise, with_uid
 
-#: Words whose ids a worker remembers. It forgets all beyond that, which costs time and changes no result.
-REMEMBERED = 800_000
-#: Words of Latin letters and sentence marks: the tokenizer lowers the letters, and cuts before the marks.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Words whose ids a worker remembers, and their longest in bytes. Beyond, it keeps the half that it met most; what it
+#: forgets costs time and changes no result.
+REMEMBERED, LONGEST = 400_000, 64
+#: Characters of texts that are encoded at once; one longer text stays whole.
+SLICE = 4_000_000
+#: Letters before whose following sentence marks the tokenizer cuts, and words that it leaves whole.
+LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
+BEFORE_MARK, WHOLE = f"([{LETTERS}])([.,;:!?])", f"^(?:[{LETTERS}]+|[.,;:!?]+)$"
 #: Pieces that are packed together.
 GROUP = 4096
 #: Times that partitions with gaps may exchange documents.
@@ -29,7 +34,9 @@ class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space, with each word encoded once.
 
     Its pre-tokenizer never joins across white space, so a text's ids are those of its words, cut at ASCII
-    white space; other white space stays inside a word and is left to the tokenizer.
+    white space; other white space stays inside a word and is left to the tokenizer. It also lowers letters and cuts
+    between a letter and a sentence mark, so that is done before words are told apart. What is remembered are Arrow
+    arrays: words and, for each, its ids' place in one array.
     """
 
     def __init__(self, path: str):
@@ -37,70 +44,92 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = pa.array([""])
+        self.start, self.length, self.met = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words of the texts, and how many each has. Empty words, which have no ids, stand at some edges."""
+        low = pc.ascii_lower(texts)
+        for mark in self.special:  # these are found before letters are lowered
+            if pc.any(pc.match_substring(low, mark.lower())).as_py():
+                low = texts
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=BEFORE_MARK, replacement=r"\1 \2"))
+        return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and the number of each."""
+        ids, counts = [], np.zeros(len(words), np.int64)
+        whole = pc.match_substring_regex(words, pattern=WHOLE).to_numpy(zero_copy_only=False)
+        some = words.filter(pa.array(whole)).to_pylist()
+        joined = [" ".join(some[i : i + 1000]) for i in range(0, len(some), 1000)]  # costs less than a text each
+        flat = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *flat])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(some):  # a tokenizer that does not mark the ends of words
+            whole[:] = False
+        else:
+            counts[whole] = np.diff(last, prepend=-1)
+            ids.append(flat)
+        each = self.tokenizer.encode_batch_fast(words.filter(pa.array(~whole)).to_pylist(), add_special_tokens=False)
+        counts[~whole] = [len(e.ids) for e in each]
+        flat = np.concatenate([*ids, *(np.array(e.ids, np.uint32) for e in each), np.zeros(0, np.uint32)])
+        first = np.zeros(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return gather(flat, first, counts), counts
+
+    def _learn(self, words: pa.Array) -> None:
+        ids, length = self._encoded(words)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known = pa.concat_arrays([self.known, words])
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts: dict[str, int] = {"": 0}
-        self.part_ids, self.part_start, self.part_length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words are one or two parts; a new part that is one of the tokenizer's own words is encoded with others."""
-        parts, plain, other, seq = self.parts, [], [], []
-        for w in words:
-            found = PLAIN.fullmatch(word := w.decode("utf-8"))
-            for part in (found[1].lower(), found[2]) if found else (word, ""):
-                at = parts.get(part)
-                if at is None:
-                    at = parts[part] = len(parts)
-                    (plain if found else other).append(part)
-                seq.append(at)
-        self._encode_parts(plain, other)
-        seq = np.array(seq, np.int64)
-        flat, length = _gather(self.part_ids, self.part_start[seq], self.part_length[seq]), self.part_length[seq].reshape(-1, 2).sum(axis=1)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-        self.ids, self.length = np.concatenate([self.ids, flat]), np.concatenate([self.length, length])
-
-    def _encode_parts(self, plain: list[str], other: list[str]) -> None:
-        ids, counts = [], []
-        for i in range(0, len(plain), 1000):  # a text of many words costs less than as many texts
-            some = plain[i : i + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids.append(np.array(found.ids, np.uint32))
-            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-        for found in self.tokenizer.encode_batch_fast(other, add_special_tokens=False):
-            ids.append(np.array(found.ids, np.uint32))
-            counts.append(np.array([len(found.ids)]))
-        if not counts:
-            return
-        length = np.concatenate(counts)
-        at = np.array([self.parts[p] for p in (*plain, *other)])
-        grown = len(self.parts) - len(self.part_start)
-        self.part_start, self.part_length = (np.concatenate([a, np.zeros(grown, np.int64)]) for a in (self.part_start, self.part_length))
-        self.part_start[at], self.part_length[at] = len(self.part_ids) + np.cumsum(length) - length, length
-        self.part_ids = np.concatenate([self.part_ids, *ids])
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, each text followed by the id `end`, and the number of ids of each text."""
-        words = [t.encode("utf-8").split() for t in texts]
-        if len(self.place) > REMEMBERED:
+        """Keep the words met most, at most half of REMEMBERED, and none over LONGEST."""
+        rank = np.where(pc.binary_length(self.known).to_numpy() > LONGEST, 0, self.met)
+        rank[0] = rank.max() + 1  # the empty word
+        kept = np.sort(np.argsort(-rank, kind="stable")[: REMEMBERED // 2])
+        kept = kept[rank[kept] > 0]
+        self.ids = gather(self.ids, self.start[kept], self.length[kept])
+        self.known, self.length, self.met = self.known.take(pa.array(kept)), self.length[kept], self.met[kept] // 2 + 1
+        self.start = np.cumsum(self.length) - self.length
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, each text followed by the id `end`, and the number of ids of each text. No text is null."""
+        words, counts = self._words(texts)
+        coded = words.dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        at, place = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        if len(self.known) > REMEMBERED:
             self._forget()
-        if new := [w for w in {w for ws in words for w in ws} if w not in self.place]:
-            self._learn(new)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((self.place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        found = pc.index_in(place, value_set=self.known)
+        if found.null_count:
+            missing = pc.is_null(found)
+            self._learn(place.filter(missing))
+            spot = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            spot[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known) - found.null_count, len(self.known))
+        else:
+            spot = found.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[spot] += np.bincount(at, minlength=len(place))
+        at = spot[at]
         stops = np.cumsum(counts)
         length = np.insert(self.length[at], stops, 1)  # a place for the end of each text
         start = np.insert(self.start[at], stops, 0)
         is_end = np.cumsum(length)[stops + np.arange(len(texts))] - 1
-        flat = _gather(self.ids if len(self.ids) else np.zeros(1, np.uint32), start, length)
+        flat = gather(self.ids if len(self.ids) else np.zeros(1, np.uint32), start, length)
         flat[is_end] = end
         return flat, np.diff(is_end + 1, prepend=0)
 
 
-def _gather(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def gather(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs of ids that begin at start, one after the other."""
     first = np.cumsum(length) - length
     return ids[np.repeat(start - first, length) + np.arange(int(length.sum()))]
@@ -112,13 +141,21 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about SLICE bytes together."""
+    size = pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.diff(np.cumsum(size) // SLICE, prepend=-1))
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(size)], strict=True):
+        yield batch.slice(i, j - i)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null and empty texts are the end id alone."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
-        for part in slices(batches, "text", 2_000_000):
-            flat, sizes = encoder.encode(part["text"].fillna("").tolist(), end_id)
+        for part in (p for b in batches if b.num_rows for p in _slices(b)):
+            flat, sizes = encoder.encode(part["text"].fill_null(""), end_id)
             flat = flat.astype("<u4", copy=False)
             n = np.maximum(1, -(-sizes // capacity))
             row = np.repeat(np.arange(len(sizes)), n)
@@ -127,12 +164,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             length = np.minimum(capacity, sizes[row] - start)
             at = (np.cumsum(sizes) - sizes)[row] + start
             crc = [zlib.crc32(flat[a : a + k].tobytes()) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+            columns = [part["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    # Ids travel as text: pandas would make a column of longs with nulls one of doubles.
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(pieces, "doc_id string, piece int, start long, length long, ids_crc32 long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return named.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, depth: int = 24) -> int:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,7 +468,7 @@ def test_token_ids_match_the_tokenizer():
     letters = "aBé ß's,.!?12  \x1c\x85İΣς́中<|endoftext|>\n\t"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(400)] + ["it's We'll <|endoftext|> DON'T", "École,naïve Straße."]
     plain = Tokenizer.from_file(TOKENIZER)
-    ids, sizes = packing.WordEncoder(TOKENIZER).encode(texts, 0)
+    ids, sizes = packing.WordEncoder(TOKENIZER).encode(pa.array(texts), 0)
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
@@ -490,7 +491,7 @@ def test_packing(spark, odd, empty, monkeypatch):
     rng = random.Random(9)
     texts = [words(rng, rng.randrange(1, 60)) for _ in range(150)] + [t for t in ODD if t != "null id"]
     rows = packing.pack_documents(docs_of(spark, texts), TOKENIZER, 128).toPandas()
-    ids, sizes = packing.WordEncoder(TOKENIZER).encode([t or "" for t in texts], 0)
+    ids, sizes = packing.WordEncoder(TOKENIZER).encode(pa.array([t or "" for t in texts]), 0)
     each = np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])
     assert rows["length"].sum() == sizes.sum() and rows["length"].max() <= 128
     for r in rows.itertuples():
