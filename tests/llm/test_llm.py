@@ -144,6 +144,25 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert sorted(r["doc_id"] for r in neardup.keep_one(odd).filter("doc_id in (3, 4)").collect()) == [3]
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    """Unlike documents that share one passage: their lists are split by further values, and no link is lost."""
+    monkeypatch.setattr(neardup, "HOT", 2)
+    rng = random.Random(21)
+    passages = [words(rng, 40, 3000) for _ in range(4)]
+    texts = [f"{rng.choice(passages)} {words(rng, rng.choice([4, 8, 30]), 12)}" for _ in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_keep_one_decides_by_row(spark):
+    """A document of an id that another text has too is kept for itself; of repeated rows, one stays."""
+    a, b = words(random.Random(1), 30), words(random.Random(2), 30)
+    rows = [(5, a), (5, b), (3, b), (3, b), (7, None), (7, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "u", "x") for i, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (7, None), (7, None), (None, a)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300, 300 + i) for i in range(1, 60)] + [(400 + i, 401 + i) for i in range(40)]
