@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_UPPER = {i: i + 32 for i in range(65, 91)}
+#: Parts in which the hashes of a class are ranked before the last ranking, so that no class is one task's work.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the session names in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
+    Only on one machine (tests), where the session names none, is a temporary folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
@@ -55,25 +58,6 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
-
-
-def split_words(text: str) -> list[str]:
-    """The maximal runs of characters other than space, tab, line feed, vertical tab, form feed and return.
-
-    str.split() also splits at other separators, so it is used for the texts that hold none of them.
-    """
-    if text.isascii() and not _has_ascii_separator(text):
-        return text.split()
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-
-
-def _has_ascii_separator(text: str) -> bool:
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
 def slices(batches: Iterator[pd.DataFrame], column: str, limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that the texts of each slice have about `limit` characters; one longer text stays whole."""
     for batch in batches:
@@ -92,26 +76,24 @@ def bounded_sample(df: DataFrame, key: Column, limit: int, by: list[str] | None
     """Rows whose key is among the `limit` smallest xxhash64 of the key, in each class of `by`.
 
     Only the hashes travel to find each class's threshold; texts are read again for the rows under it. Ties on
-    the threshold come in too, so `limit` is exceeded by equal keys at most.
+    the threshold come in too, so `limit` is exceeded by equal keys at most. Each of SALTS parts of a class keeps its
+    own `limit` first, so the last ranking of a class has at most SALTS times that many rows, however large it is.
     """
     mark = F.xxhash64(key)
-    groups = [F.col(c) for c in by or []]
-    narrow = df.select(mark.alias("__mark"), *groups).distinct()
-    rank = F.row_number().over(_window(groups).orderBy("__mark"))
-    edges = narrow.withColumn("__rank", rank).filter(F.col("__rank") <= limit)
-    edges = edges.groupBy(*groups).agg(F.max("__mark").alias("__edge")).collect()
+    named = {f"__by{i}": F.col(c) for i, c in enumerate(by or [])}
+    groups = [F.col(c) for c in named] or [F.lit(0)]
+    narrow = df.select(mark.alias("__mark"), *[c.alias(n) for n, c in named.items()]).distinct()
+    for parts in ([F.pmod("__mark", F.lit(SALTS))], []):
+        rank = F.row_number().over(Window.partitionBy(*groups, *parts).orderBy("__mark"))
+        narrow = narrow.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
+    edges = narrow.groupBy(*named).agg(F.max("__mark").alias("__edge")).collect()
     if not edges:
         return df.limit(0)
     test = F.lit(False)
     for e in edges:
         here = mark <= F.lit(e["__edge"])
-        for c in by or []:
-            here = here & (F.col(c) == F.lit(e[c]))
+        for n, c in named.items():
+            here = here & c.eqNullSafe(F.lit(e[n]))
         test = test | here
     return df.filter(test)
 
-
-def _window(groups: list[Column]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*(groups or [F.lit(0)]))
