@@ -7,12 +7,13 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise, slices
+from .common import bounded_sample, discard, materialise, slices
 
 # The base patterns and the lengths below which a match is dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -21,14 +22,16 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "format")
 
-#: Where access and hex matches and candidates lie: they need at least 16 of these characters in a row.
+#: Where access and hex matches lie: they need at least 16 of the characters of credentials in a row.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Labelled credentials of a kind that an automaton learns from (those of smallest hash), and their longest.
 SAMPLE, LONGEST = 1000, 200
 #: Significance of the test by which two states differ.
 ALPHA = 0.05
-#: Share of labelled credentials, held out from learning, that score below a format's threshold.
-MISSED = 0.02
+#: Share of labelled credentials that score below a format's threshold, each scored by an automaton of other FOLDS.
+MISSED, FOLDS = 0.02, 5
+#: Answers about candidates that a task remembers before it begins anew.
+REMEMBERED = 100_000
 
 
 def base_matches(text: str) -> list[tuple[str, int, int, str]]:
@@ -42,19 +45,35 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs outside base matches, of a letter and a digit at least, without dots and equal signs at their ends."""
-    found = []
-    for m in RUN.finditer(text):
+def candidates(text: str, base: list[tuple[str, int, int, str]], least: int = 16) -> list[tuple[int, int, str]]:
+    """Runs of at least `least` characters of credentials outside base matches, without dots and equal signs at their ends.
+
+    One sweep: runs and matches both come in order, so a text costs its length.
+    """
+    taken: list[list[int]] = []  # the base matches, merged
+    for _, start, end, _ in base:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    found, i = [], 0
+    for m in _run_of(least).finditer(text):
         core = m[0].strip(".=-/_")
-        start = m.start() + m[0].index(core) if core else m.start()
-        if len(core) < 16 or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core):
+        if len(core) < least:
             continue
-        if not any(s < start + len(core) and start < e for _, s, e, _ in base):
+        start = m.start() + len(m[0]) - len(m[0].lstrip(".=-/_"))
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        if i == len(taken) or taken[i][0] >= start + len(core):
             found.append((start, start + len(core), core))
     return found
 
 
+@lru_cache(maxsize=64)
+def _run_of(least: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_.=-]{{{least},}}")
+
+
 class FormatAutomaton:
     """A probabilistic automaton, learnt by merging the compatible states of a prefix tree.
 
@@ -146,7 +165,12 @@ class FormatAutomaton:
 
 
 class FormatModel:
-    """An automaton for each kind, its threshold, and a character background that a format must beat."""
+    """An automaton for each kind, its threshold, and a character background that a format must beat.
+
+    Every labelled credential is scored by an automaton that learnt from the other folds (all others, if fewer than
+    FOLDS); the threshold is the score that all but MISSED of them reach. A kind with one credential teaches nothing:
+    no other could confirm it. `least` is the length of the shortest credential; shorter runs are no candidates.
+    """
 
     def __init__(self, labelled: dict[str, list[str]]):
         background = Counter(c for words in labelled.values() for w in words for c in w)
@@ -155,60 +179,73 @@ class FormatModel:
         self.rare = math.log(1 / (total + 64))
         self.automata: dict[str, tuple[FormatAutomaton, float]] = {}
         for kind, words in sorted(labelled.items()):
-            held = words[::5]
-            learnt = FormatAutomaton([w for i, w in enumerate(words) if i % 5] or words)
-            scores = sorted(learnt.score(w) for w in held)
-            self.automata[kind] = (learnt, scores[int(MISSED * len(scores))] if len(scores) >= 10 else math.inf)
+            folds = min(FOLDS, len(words))
+            if folds < 2:
+                continue
+            scores = []
+            for k in range(folds):
+                other = FormatAutomaton([w for i, w in enumerate(words) if i % folds != k])
+                scores += [other.score(w) for w in words[k::folds]]
+            self.automata[kind] = (FormatAutomaton(words), sorted(scores)[int(MISSED * len(scores))])
+        self.least = min((len(w) for kind in self.automata for w in labelled[kind]), default=0)
+        self.known: dict[str, bool] = {}
 
     def accepts(self, word: str) -> bool:
-        plain = sum(self.background.get(c, self.rare) for c in word) / len(word)
-        return any((s := a.score(word)) >= edge and s >= plain for a, edge in self.automata.values())
+        if (answer := self.known.get(word)) is None:
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            plain = sum(self.background.get(c, self.rare) for c in word) / len(word)
+            answer = self.known[word] = any((s := a.score(word)) >= edge and s >= plain for a, edge in self.automata.values())
+        return answer
+
+    def spans(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+        """Candidates of the text that a learnt format accepts."""
+        if not self.automata:
+            return []
+        return [(s, e) for s, e, w in candidates(text, base, self.least) if self.accepts(w)]
 
 
-def _found_in(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, end), credentials (aligned with base), runs (start, end, text); written."""
+def learn_formats(docs: DataFrame) -> FormatModel:
+    """Fit on at most SAMPLE distinct labelled credentials a kind (ties of a hash apart), of LONGEST characters."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str]] = set()
         for part in slices(batches, "text"):
-            base = [base_matches(t) if t else [] for t in part["text"]]
-            runs = [candidates(t, b) if t else [] for t, b in zip(part["text"], base, strict=True)]
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"],
-                "base": [[{"kind": k, "start": s, "end": e} for k, s, e, _ in b] for b in base],
-                "credentials": [[c for *_, c in b] for b in base],
-                "runs": [[{"start": s, "end": e, "text": t} for s, e, t in r] for r in runs],
-            })
-
-    kind = "doc_id string, base array<struct<kind:string,start:int,end:int>>, credentials array<string>, runs array<struct<start:int,end:int,text:string>>"
-    return materialise(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(find, kind))
+            new = {(k, w) for t in part["text"] if t for k, *_, w in base_matches(t) if len(w) <= LONGEST} - seen
+            seen = seen | new if len(seen) < REMEMBERED else new
+            yield pd.DataFrame(sorted(new), columns=["kind", "word"])
 
-
-def learn_formats(found: DataFrame) -> FormatModel:
-    """Fit on at most SAMPLE distinct labelled credentials a kind (ties of a hash apart), of LONGEST characters."""
-    pairs = found.select(F.explode(F.arrays_zip(F.col("base.kind").alias("kind"), F.col("credentials").alias("word"))).alias("x"))
-    pairs = pairs.select("x.kind", "x.word").filter(F.length("word") <= LONGEST).distinct()
+    pairs = materialise(docs.select("text").mapInPandas(find, "kind string, word string").distinct())
     labelled = defaultdict(list)
     for r in bounded_sample(pairs, F.col("word"), SAMPLE, by=["kind"]).collect():
         labelled[r["kind"]].append(r["word"])
+    discard(pairs)
     return FormatModel({k: sorted(v, key=lambda w: hashlib.md5(w.encode()).digest()) for k, v in labelled.items()})
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of kind, start, end by start, then kind), base (those of the base patterns).
 
-    Spans of kind "format" come from the learnt automata. Null and empty texts have no spans; repeated rows stay.
+    Spans of kind "format" come from the learnt automata, which score every run of characters of credentials that is
+    as long as the shortest labelled credential. Null and empty texts have no spans; repeated rows stay; of matches
+    that start together, kinds come as listed; very long texts are read once, in order; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
-    found = _found_in(docs)
-    model = learn_formats(found)
-    shipped = found.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(learn_formats(docs))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            hits = [[{"kind": "format", "start": r["start"], "end": r["end"]} for r in runs if shipped.value.accepts(r["text"])] for runs in part["runs"]]
-            yield part[["doc_id", "base"]].assign(extra=hits)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(batches, "text"):
+            base = [base_matches(t) if t else [] for t in part["text"]]
+            extra = [shipped.value.spans(t, b) if t else [] for t, b in zip(part["text"], base, strict=True)]
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"],
+                "base": [[{"kind": k, "start": s, "end": e} for k, s, e, _ in b] for b in base],
+                "extra": [[{"kind": "format", "start": s, "end": e} for s, e in x] for x in extra],
+            })
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    scored = found.select("doc_id", "base", "runs").mapInPandas(score, f"doc_id string, base {span}, extra {span}")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    scored = named.mapInPandas(find, f"doc_id string, base {span}, extra {span}")
     listed = F.array(*map(F.lit, KINDS))
     keyed = F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     in_order = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -222,9 +259,7 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """docs with every span of scan() replaced by mask, overlapping spans by one; all rows and columns stay."""
-    found = _found_in(docs.select("doc_id", "text"))
-    model = learn_formats(found)
-    shipped = found.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(learn_formats(docs))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -235,7 +270,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
 
 def mask_spans(text: str, model: FormatModel, mask: str) -> str:
     base = base_matches(text)
-    spans = [(s, e) for _, s, e, _ in base] + [(s, e) for s, e, w in candidates(text, base) if model.accepts(w)]
+    spans = [(s, e) for _, s, e, _ in base] + model.spans(text, base)
     out, at = [], 0
     for start, end in sorted(spans):
         if start >= at:
