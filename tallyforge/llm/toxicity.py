@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,18 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise
+from .common import bounded_sample, discard, materialise
 from .training import Adam
 
 #: Words of a window and words from one window's start to the next; the last window of a text ends with it.
 WINDOW, STRIDE = 32, 16
 #: Rows of the word and of the character n-gram embeddings, and their columns; states of a direction; attention units.
 WORDS, GRAMS, COLUMNS, STATES, UNITS = 1 << 13, 1 << 14, 8, 8, 8
-#: Labelled documents of each class that the network learns from (those of smallest hash), of at most so many words.
-SAMPLE, LONGEST = 3000, 400
+#: Labelled documents of each class that the network learns from: those of smallest hash, of any length.
+SAMPLE = 3000
+#: Spans and words of a span: what the network learns of a document with more words than both give, at hashed places.
+SPANS, SPAN = 8, 128
 EPOCHS, BATCH = 8, 256
-#: Windows of each class in an epoch.
-WINDOWS_EACH = 4000
+#: Windows of each class in an epoch, and windows of clean documents among which it looks for the hardest.
+WINDOWS_EACH, SEARCHED = 4000, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -163,18 +165,19 @@ class GatedNetwork:
         return out
 
 
-def _windows(texts: list[list[bytes]]):
-    """Distinct words, the words (by number) of every window, and each text's number of windows."""
+def _windows(texts: Iterable[list[bytes]]):
+    """Distinct words, the words (by number) of every window, and each text's number of windows and words (by number)."""
     place: dict[bytes, int] = {}
-    counts, at = np.zeros(len(texts), np.int64), []
-    for i, words in enumerate(texts):
-        ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+    counts, at, each = [], [], []
+    for words in texts:
+        ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words))
+        each.append(ids)
         if len(ids) < WINDOW:
-            ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1)])
+            ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1, np.int32)])
         starts = np.array(window_starts(len(words)))
-        counts[i] = len(starts)
+        counts.append(len(starts))
         at.append(ids[starts[:, None] + np.arange(WINDOW)])
-    return list(place), np.concatenate(at), counts
+    return list(place), np.concatenate(at), np.array(counts), each
 
 
 def _log_odds(seen: list[np.ndarray]) -> np.ndarray:
@@ -183,58 +186,74 @@ def _log_odds(seen: list[np.ndarray]) -> np.ndarray:
     return np.clip(share[1] - share[0], -3, 3) / 3
 
 
+def training_spans(text: str) -> list[str]:
+    """The words of a text; of a long one, SPANS spans of SPAN words at places that its hash picks."""
+    words = words_of(text)
+    if len(words) <= SPANS * SPAN:
+        return [b" ".join(words).decode()]
+    rng = np.random.default_rng(xxhash.xxh32_intdigest(text.encode()))
+    starts = np.sort(rng.choice(len(words) // SPAN, SPANS, replace=False)) * SPAN
+    return [b" ".join(words[i : i + SPAN]).decode() for i in starts]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> GatedNetwork | None:
-    """Fit on labelled documents, at most SAMPLE a class, of LONGEST words; None without both classes.
+    """Fit on labelled documents, at most SAMPLE a class; None without both classes.
 
-    Only ids, sizes and labels are joined and sampled; the texts of the sample are fetched by their ids. A document
-    with several labels takes the larger; labels other than 0 and 1 do not count; of repeated ids, one row does.
+    Only ids and labels are joined and sampled; the texts of the sample are fetched by their ids. A document with
+    several labels takes the larger; labels other than 0 and 1 do not count; of texts of one id, the least one does.
+    Other columns of either table are ignored, whatever their names.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.filter(F.col("text").isNotNull() & (F.size(F.split("text", r"\s+")) <= LONGEST)).select("doc_id")
-    usable = materialise(short.join(known, "doc_id").distinct())
+    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    usable = materialise(texts.select("doc_id").join(known, "doc_id").distinct())
     chosen = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["toxic"])  # at most SAMPLE rows a class
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect()
-    sample = sorted((r["text"], r["toxic"]) for r in sample)
-    return fit([t for t, _ in sample], np.array([k for _, k in sample], np.int64))
+    cut = F.pandas_udf(lambda part: part.map(training_spans), "array<string>")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = sorted((r["spans"], r["toxic"]) for r in sample.select(cut("text").alias("spans"), "toxic").collect())
+    discard(usable)
+    doc = np.repeat(np.arange(len(sample)), [len(spans) for spans, _ in sample])
+    return fit([t for spans, _ in sample for t in spans], np.array([k for _, k in sample], np.int64)[doc], doc)
 
 
-def fit(sample: list[str], y: np.ndarray, seed: int = 0) -> GatedNetwork | None:
-    """Train on texts and their labels 0 or 1; None without both classes.
+def fit(sample: list[str], y: np.ndarray, doc: np.ndarray | None = None, seed: int = 0) -> GatedNetwork | None:
+    """Train on texts and their labels 0 or 1; None without both classes. doc: which texts are spans of one document.
 
     A toxic document's label belongs to some of its windows: the first epoch takes any, later ones those that
     score highest in their document. The embeddings' first columns start from log odds of the sample.
     """
-    texts = [words_of(t) for t in sample]
     if len(set(y.tolist())) < 2:
         return None
-    words, at, counts = _windows(texts)
+    doc = np.arange(len(sample)) if doc is None else doc
+    words, at, counts, each = _windows(map(words_of, sample))
     rows, gram, first = features(words) if words else features([b"-"])
-    owner, network, rng = np.repeat(np.arange(len(texts)), counts), GatedNetwork.fresh(seed), np.random.default_rng(seed)
-    at = np.where(at < 0, len(rows), at)
-    pairs = np.unique(np.stack([np.repeat(owner, WINDOW), at.ravel()], axis=1)[at.ravel() < len(rows)], axis=0)
+    text_of, network, rng = np.repeat(np.arange(len(sample)), counts), GatedNetwork.fresh(seed), np.random.default_rng(seed)
+    owner = doc[text_of]
+    at[at < 0] = len(rows)
     n_grams = np.diff(first, append=len(gram))
-    label = y[pairs[:, 0]]
-    network.weights["word"][:, 0] += _log_odds([np.bincount(rows[pairs[label == k, 1]], minlength=WORDS) for k in (0, 1)])
+    used = [np.concatenate([np.zeros(0, np.int32), *(np.unique(ids) for ids, k in zip(each, y, strict=True) if k == label)]) for label in (0, 1)]
+    network.weights["word"][:, 0] += _log_odds([np.bincount(rows[u], minlength=WORDS) for u in used])
     seen = [np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)]
-    for i in range(0, len(pairs), 50_000):  # in blocks: all n-grams of all texts are many times their words
-        for k in (0, 1):
-            used = pairs[i : i + 50_000, 1][label[i : i + 50_000] == k]
-            sizes = n_grams[used]
+    for k in (0, 1):
+        for i in range(0, len(used[k]), 50_000):  # in blocks: all n-grams of all texts are many times their words
+            some = used[k][i : i + 50_000]
+            sizes = n_grams[some]
             own = np.cumsum(sizes) - sizes
-            seen[k] += np.bincount(gram[np.repeat(first[used] - own, sizes) + np.arange(int(sizes.sum()))], minlength=GRAMS)
+            seen[k] += np.bincount(gram[np.repeat(first[some] - own, sizes) + np.arange(int(sizes.sum()))], minlength=GRAMS)
     network.weights["gram"][:, 0] += _log_odds(seen)
-    adam, clean, toxic = Adam(network.weights, 0.01), np.flatnonzero(y[owner] == 0), np.flatnonzero(y[owner] == 1)
+    adam, clean, toxic = Adam(network.weights, 0.01), np.flatnonzero(y[text_of] == 0), np.flatnonzero(y[text_of] == 1)
     for epoch in range(EPOCHS):
         best = toxic
+        picked = [rng.choice(clean, min(WINDOWS_EACH, len(clean)), replace=False)]
         if epoch:
-            p = network.scores(network.inputs(rows, gram, first), at)
-            top = np.zeros(len(texts))
-            np.maximum.at(top, owner, p)
-            best = toxic[p[toxic] >= np.maximum(top[owner[toxic]] - 1e-9, 0.5 * (epoch > 2))]
-            hard = clean[np.argsort(-p[clean])[: WINDOWS_EACH // 2]]
-            picked = np.concatenate([rng.choice(best, min(WINDOWS_EACH, 4 * len(best))), rng.choice(clean, min(WINDOWS_EACH, len(clean)), replace=False), hard])
-        else:
-            picked = np.concatenate([rng.choice(best, min(WINDOWS_EACH, 4 * len(best))), rng.choice(clean, min(WINDOWS_EACH, len(clean)), replace=False)])
+            inputs = network.inputs(rows, gram, first)
+            p, top = network.scores(inputs, at[toxic]), np.zeros(len(sample))
+            np.maximum.at(top, owner[toxic], p)
+            best = toxic[p >= np.maximum(top[owner[toxic]] - 1e-9, 0.5 * (epoch > 2))]
+            tried = rng.choice(clean, min(SEARCHED, len(clean)), replace=False)
+            picked.append(tried[np.argsort(-network.scores(inputs, at[tried]))[: WINDOWS_EACH // 2]])
+        if len(best):
+            picked.append(rng.choice(best, min(WINDOWS_EACH, 4 * len(best))))
+        picked = np.concatenate(picked)
         rng.shuffle(picked)
         for i in range(0, len(picked), BATCH):
             part = at[picked[i : i + BATCH]]
@@ -243,7 +262,7 @@ def fit(sample: list[str], y: np.ndarray, seed: int = 0) -> GatedNetwork | None:
             sizes = n_grams[used]
             own = np.cumsum(sizes) - sizes
             sub = gram[np.repeat(first[used] - own, sizes) + np.arange(int(sizes.sum()))]
-            adam.step(network.slopes(rows[used], sub, own, inverse.reshape(part.shape), y[owner[picked[i : i + BATCH]]]))
+            adam.step(network.slopes(rows[used], sub, own, inverse.reshape(part.shape), y[text_of[picked[i : i + BATCH]]]))
     return network
 
 
@@ -263,7 +282,11 @@ def scorer(spark: SparkSession, network: GatedNetwork | None):
 
 
 def score(docs: DataFrame, network: GatedNetwork | None) -> DataFrame:
-    """doc_id and score of every row of docs; repeated rows are scored apart, other columns ignored."""
+    """doc_id and score of every row of docs; repeated rows are scored apart, other columns ignored.
+
+    Equal texts have equal scores, ties of windows change nothing; all windows of a very long text are scored, in
+    blocks; an empty table gives no rows.
+    """
     return docs.select("doc_id", scorer(docs.sparkSession, network)("text").alias("score"))
 
 
@@ -275,7 +298,7 @@ def text_scores(texts: list[str | None], network: GatedNetwork | None, limit: in
         held.append(words_of(text))
         size += len(text or "")
         if size >= limit or i == len(texts) - 1:
-            words, spots, counts = _windows(held)
+            words, spots, counts, _ = _windows(held)
             parts = features(words) if words else features([b"-"])
             p = network.scores(network.inputs(*parts), np.where(spots < 0, len(parts[0]), spots))
             out[at : i + 1] = np.maximum.reduceat(p, np.cumsum(counts) - counts)
