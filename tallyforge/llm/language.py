@@ -16,8 +16,9 @@ from .training import Adam, softmax
 #: Bytes of a window; a text is cut into windows without gaps, and the last is filled with spaces.
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
-#: Labelled documents of each language that the network learns from, and windows of each, at hashed places.
-SAMPLE, WINDOWS_EACH = 500, 4
+#: Labelled documents of each language that the network learns from: those of smallest hash. Of each it learns all
+#: windows, or so many that are spread evenly over its whole text.
+SAMPLE, WINDOWS_EACH = 500, 64
 EPOCHS, BATCH = 8, 128
 
 
@@ -94,24 +95,32 @@ class ByteNetwork:
 
 def train(labelled: DataFrame) -> ByteNetwork | None:
     """Fit on `text` and `lang` of at most SAMPLE documents a language, those of smallest hash; None without any."""
-    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    start = lambda j: F.pmod(F.xxhash64("doc_id", j), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda j: F.substr("text", start(j), F.lit(WINDOW)))
-    sample = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["lang"]).select("lang", cuts.alias("cuts")).distinct().collect()
+    usable = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                windows = windows_of(text.encode("utf-8"))
+                spread = np.unique(np.linspace(0, len(windows) - 1, min(WINDOWS_EACH, len(windows))).astype(np.int64))
+                yield pd.DataFrame({"lang": lang, "window": [w.tobytes() for w in windows[spread]]})
+
+    chosen = bounded_sample(usable, F.col("doc_id"), SAMPLE, by=["lang"]).select("lang", "text")
+    sample = chosen.mapInPandas(cut, "lang string, window binary").distinct().collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
-    pairs = sorted((c.encode("utf-8")[:WINDOW], languages.index(r["lang"])) for r in sample for c in set(r["cuts"]))
+    pairs = sorted((bytes(r["window"]), languages.index(r["lang"])) for r in sample)
     network = ByteNetwork.fresh(languages)
-    network.fit(np.concatenate([windows_of(c) for c, _ in pairs]), np.array([y for _, y in pairs]))
+    network.fit(np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW), np.array([y for _, y in pairs]))
     return network
 
 
 def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """doc_id, lang_pred, score for every row: the language of largest mean probability over all windows.
 
-    Null texts, texts without a letter, and all texts if nothing could be learnt are `und` with score 0. Repeated
-    rows are scored apart; other columns are ignored.
+    Null texts, texts without a letter, and all texts if nothing could be learnt are `und` with score 0. Of equally
+    probable languages, the first by name is predicted. Repeated rows are scored apart; all windows of a very long
+    text count; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
