@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import materialise
 
@@ -74,8 +75,12 @@ class CrossPolytope:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding as doubles: those not null, with a component other than zero and none null or not finite."""
-    x = F.col("embedding").cast("array<double>")
+    """vec_id, embedding: those not null, with a component other than zero and none null or not finite.
+
+    Floats stay floats, which halves what is written and shuffled; distances are of doubles. Others become doubles.
+    """
+    exact = isinstance(vectors.schema["embedding"].dataType, ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    x = F.col("embedding") if exact else F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return vectors.select("vec_id", x.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0))
 
@@ -86,7 +91,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, pro
     is_query: a condition on vec_id. Ties go to the smaller vec_id. Of equal vectors, the k + 1 with the smallest
     ids are indexed: no others can be among k nearest. Queries that find fewer than k rows are compared with all
     rows. Vectors of other lengths are not compared; invalid ones (valid_vectors) and null ids take no part;
-    repeated rows of an id count once. An empty table gives no rows.
+    repeated rows of an id count once. An empty table gives no rows; long vectors only take longer; other columns are
+    ignored, whatever their names.
     """
     points = materialise(valid_vectors(vectors).dropDuplicates(["vec_id"]).withColumn("size", F.size("embedding")))
     sizes = [r["size"] for r in points.select("size").distinct().orderBy("size").collect()]
@@ -114,7 +120,7 @@ def _nearest_of_size(points: DataFrame, is_query, k: int, hashing: CrossPolytope
     def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if ours.empty or theirs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return closest(ours["vec_id"].to_numpy(), np.stack(ours["embedding"]), theirs["vec_id"].to_numpy(), np.stack(theirs["embedding"]), k)
+        return closest(ours["vec_id"].to_numpy(), _doubles(ours), theirs["vec_id"].to_numpy(), _doubles(theirs), k)
 
     kind = "query_id long, vec_id long, score double"
     pairs = left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInPandas(compare, kind)
@@ -151,6 +157,10 @@ def closest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
 
+def _doubles(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["embedding"]).astype(np.float64)
+
+
 def _bucketed(points: DataFrame, hashing: CrossPolytope, probes: int) -> DataFrame:
     """A row for each table and probe: vec_id, embedding, bucket (of the table and axis)."""
 
@@ -159,13 +169,15 @@ def _bucketed(points: DataFrame, hashing: CrossPolytope, probes: int) -> DataFra
             if batch.empty:
                 continue
             x = np.stack(batch["embedding"])
+            own = list(x)
             ids = batch["vec_id"].to_numpy()
             for t in range(hashing.tables):
                 axes = hashing.buckets(x, t, probes)
                 rows = np.repeat(np.arange(len(x)), axes.shape[1])
-                yield pd.DataFrame({"vec_id": ids[rows], "embedding": [x[i] for i in rows], "bucket": (t * 2**40 + axes.ravel()).astype(np.int64)})
+                yield pd.DataFrame({"vec_id": ids[rows], "embedding": [own[i] for i in rows], "bucket": (t * 2**40 + axes.ravel()).astype(np.int64)})
 
-    return points.mapInPandas(place, "vec_id long, embedding array<double>, bucket long")
+    kind = points.schema["embedding"].dataType.simpleString()
+    return points.mapInPandas(place, f"vec_id long, embedding {kind}, bucket long")
 
 
 def _exact(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -180,7 +192,7 @@ def _exact(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if ours.empty or theirs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return closest(ours["vec_id"].to_numpy(), np.stack(ours["embedding"]), theirs["vec_id"].to_numpy(), np.stack(theirs["embedding"]), k)
+        return closest(ours["vec_id"].to_numpy(), _doubles(ours), theirs["vec_id"].to_numpy(), _doubles(theirs), k)
 
     pairs = left.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(compare, "query_id long, vec_id long, score double")
     return _ranked(pairs, k)
