@@ -142,8 +142,11 @@ def kd_tree_shards(rows: DataFrame, dimensions: list[str], weight: str, shards:
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """All documents in shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Dimensions: doc_id, size and a code of source and of language. Null texts have 16 bytes and the CRC of no
-    bytes; null ids and codes count as 0; repeated rows are separate rows; other columns are ignored.
+    Dimensions: doc_id, size and a code of source and of language: a CRC, which has no order that means anything, but
+    keeps equal values together and cuts between values. Null texts have 16 bytes and the CRC of no bytes; null ids
+    and codes count as 0; repeated rows are separate rows, and so are equal texts, which may go to several shards:
+    the law is near-equal bytes, and rows at one coordinate are cut by their place in the table. A very long text
+    makes a shard of its own larger by at most its size. An empty table gives no rows; other columns are ignored.
     """
     known = set(docs.columns)
     code = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) if c in known else F.lit(0)
@@ -151,7 +154,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("at_id"),
+        F.shiftright(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), 1).alias("at_id"),  # halved, so that differences are longs
         code("source").cast("long").alias("at_source"),
         code("lang").cast("long").alias("at_lang"),
     )
