@@ -13,8 +13,8 @@ from .common import materialise
 WINDOW = 10
 #: Words of a fingerprint. WINDOW - GRAM + 1 consecutive fingerprints make a window, of which the least is kept.
 GRAM = 6
-#: Rows up to which a side is broadcast; beyond, Spark shuffles both.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side is broadcast; beyond, Spark shuffles both.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def words_of(text: str) -> Column:
@@ -47,18 +47,25 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcasting if it has BROADCAST_ROWS at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcasting if it has BROADCAST_ROWS and BROADCAST_BYTES at most."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns]))).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
+
+
+def _key() -> Column:
+    """128 bits of an id and a text, under which rows are told apart."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key (a hash of doc_id and text), doc_id, n_words, n_hit, items (array of ids), for every row of docs.
+    """key (128 bits of doc_id and text), doc_id, n_words, n_hit, items (array of ids), for every row of docs.
 
     A window is WINDOW consecutive words of an item, or all of a shorter one. A document word in any occurrence of
     a window is hit. Winnowing keeps the least gram of each document window, so a document that shares a window
     with an item shares a fingerprint; hits are then extended by comparing all windows of such documents, word by
     word. Null and empty texts have no words; items without words have no windows; items with a null id count under
-    the id "null"; repeated rows are separate rows; columns other than the ids and texts are ignored.
+    the id "null"; repeated rows are separate rows; ties of a window's least gram are one gram; very long texts are
+    taken whole; an empty table gives no rows; columns other than the ids and texts are ignored, whatever their names.
     """
     items = materialise(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of("text").alias("words")).filter("size(words) > 0"))
     short = [r["n"] for r in items.filter(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect()]
@@ -70,23 +77,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         marks = marks.union(fingerprints(items.filter(F.size("words") == n), [n]).select(F.explode("fingerprints")))
     marks = materialise(marks.distinct().withColumn("shared", F.lit(True)))
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("uid"))
+    keyed = docs.select("doc_id", "text", _key().alias("key"), F.monotonically_increasing_id().alias("uid"))
     marked = fingerprints(keyed.select("doc_id", "key", "uid", words_of("text").alias("words")), short)
     marked = marked.select("doc_id", "key", "uid", F.size("words").cast("long").alias("n_words"), F.explode_outer("fingerprints").alias("mark"))
     seen = marked.join(_small(marks), "mark", "left").groupBy("uid", "key", "doc_id", "n_words").agg(F.coalesce(F.max("shared"), F.lit(False)).alias("shared"))
     seen = materialise(seen.drop("uid"))
 
     suspects = materialise(seen.filter("shared").select("key").distinct())
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).join(_small(suspects), "key").select("key", words_of("text").alias("words"))
-    found = None
+    texts = docs.select("text", _key().alias("key")).join(_small(suspects), "key").select("key", words_of("text").alias("words"))
+    found = offered = None
     for n in lengths:
         ours = texts.select("key", *_windows(n))
         theirs = items.filter(F.size("words") >= n if n == WINDOW else F.size("words") == n).select("item_id", *_windows(n)).select("item_id", "window").distinct()
-        hits = ours.join(_small(theirs), "window").select("key", "start", "item_id", F.lit(n).alias("n"))
+        offered = theirs if offered is None else offered.union(theirs)
+        # Items join after positions: a passage that many items hold is one window here.
+        hits = ours.join(_small(theirs.select("window").distinct()), "window").select("key", "start", "window", F.lit(n).alias("n"))
         found = hits if found is None else found.union(hits)
     found = materialise(found)
     covered = found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    named = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = found.select("key", "window").distinct().join(_small(offered), "window").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = seen.join(covered.join(named, "key"), "key", "left")
     return out.select("key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -100,4 +109,4 @@ def _windows(n: int) -> list[Column]:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item."""
     hit = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
-    return docs.join(hit, F.xxhash64("doc_id", "text") == F.col("__hit"), "left_anti")
+    return docs.join(hit, _key() == F.col("__hit"), "left_anti")
