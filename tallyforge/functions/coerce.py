@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 # Words that stand for yes and true, and prefixes that are not part of a payee.
 YES_WORDS = ("yes", "y", "true", "1", "needs review")
 TRUE_WORDS = ("yes", "y", "true", "1", "✔", "✓")
-NOISE_PREFIXES = ("pos purchase", "pos pur", "pos debit", "debit card purchase", "debit card", "card purchase", "card tran", "ach debit", "ach credit", "ach deposit", "ach withdrawal", "electronic debit", "electronic credit", "online banking transfer", "online banking", "mobile deposit", "atm withdrawal", "atm deposit", "check #", "check#", "eft/ach", "eft ach", "merch bnkcd", "merch setl")
+NOISE_PREFIXES = (
+    "pos purchase", "pos pur", "pos debit", "debit card purchase", "debit card", "card purchase", "card tran", "ach debit", "ach credit", "ach deposit",
+    "ach withdrawal", "electronic debit", "electronic credit", "online banking transfer", "online banking", "mobile deposit", "atm withdrawal", "atm deposit",
+    "check #", "check#", "eft/ach", "eft ach", "merch bnkcd", "merch setl", "bnkcd", "inst xfer", "internet transfer", "wire transfer", "wire", "epay",
+    "zelle payment", "zelle", "venmo payment", "venmo", "paypal", "regular deposit", "deposit", "withdrawal", "transfer",
+)
 
 AMOUNT = r"\(?-?\$?(?:\d{1,3}(?:,\d{3})*|\d+)\.\d{2}\)?"
 DATE_TOKEN = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?)\b"
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often the body names it: expressions do not grow into each other."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank(x: Column) -> Column:
     """Trimmed text, with null as the empty text: the two are one missing value."""
     return F.trim(F.coalesce(x.cast("string"), F.lit("")))
@@ -24,6 +34,16 @@ def money(x: Column) -> Column:
     return F.coalesce(F.translate(blank(x), "$,", "").try_cast("double"), F.lit(0.0))
 
 
+def money_text(x: Column) -> Column:
+    """Whole dollars with separators; an empty text for null."""
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(F.bround(x, 0), 0)), F.lit(""))
+
+
+def request_label(number: Column, name: Column) -> Column:
+    """A request's number, without a fraction of zero, and its client."""
+    return F.concat_ws(" \u2013 ", F.regexp_replace(blank(number), r"^(\d+)\.0$", "$1"), blank(name))
+
+
 def yes_no(x: Column) -> Column:
     return F.when(F.lower(blank(x)).isin(*YES_WORDS), "Yes").otherwise("No")
 
@@ -43,19 +63,29 @@ def parse_date(x: Column) -> Column:
     return F.coalesce(F.try_to_date(head, "yyyy-MM-dd"), F.try_to_date(head, "M/d/yyyy"))
 
 
+def service_date(x: Column) -> Column:
+    """ISO text of a date written year-month-day, month/day/year (of four or two digits) or year/month/day; else its first ten characters."""
+    t = blank(x)
+    head = F.substring(t, 1, 10)
+    day = F.coalesce(*[F.try_to_date(head, f) for f in ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "yyyy/M/d")])
+    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), head)
+
+
 def normal_date(x: Column, year: Column) -> Column:
     """Date of a text that begins with one, or else of the first inside it. Years of two digits turn at 70.
 
     Years before 2000 and absent ones are `year`.
     """
     found = F.regexp_extract(blank(x), f"^({DATE_TOKEN})|({DATE_TOKEN})", 0)
-    iso = F.try_to_date(found, "yyyy-MM-dd")
-    part = F.split(found, "[/-]")
-    month, day, y = (F.try_element_at(part, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    full = F.when(y < 100, y + F.when(y < 70, 2000).otherwise(1900)).otherwise(y)
-    full = F.when(full.isNull() | (full < 2000), year).otherwise(full)
-    text = F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.coalesce(iso, F.try_to_date(text, "yyyy-MM-dd"))
+
+    def of(text: Column) -> Column:
+        part = F.split(text, "[/-]")
+        month, day, y = (F.try_element_at(part, F.lit(i)).try_cast("int") for i in (1, 2, 3))
+        padded = lambda n, width: F.lpad(n.cast("string"), width, "0")
+        full = let(F.when(y < 100, y + F.when(y < 70, 2000).otherwise(1900)).otherwise(y), lambda n: F.when(n.isNull() | (n < 2000), year).otherwise(n))
+        return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(F.concat_ws("-", padded(full, 4), padded(month, 2), padded(day, 2)), "yyyy-MM-dd"))
+
+    return F.when(found != "", let(found, of))
 
 
 def amounts(line: Column) -> Column:
@@ -71,9 +101,13 @@ def amounts(line: Column) -> Column:
 
 def pick_amount(values: Column, prefer: str = "first_with_balance") -> Column:
     """One of a line's amounts: the last, or the first other than zero; null of none, the last zero of zeros only."""
-    real = F.filter(values, lambda v: F.abs(v) > 0.001)
     at = F.lit(-1 if prefer == "last" else 1)
-    return F.when(F.size(values) == 0, None).when(F.size(real) == 0, F.element_at(values, -1)).otherwise(F.try_element_at(real, at))
+
+    def of(values: Column) -> Column:
+        real = F.filter(values, lambda v: F.abs(v) > 0.001)
+        return F.coalesce(F.try_element_at(real, at), F.try_element_at(values, F.lit(-1)))
+
+    return let(values, of)
 
 
 def strip_amounts(text: Column) -> Column:
@@ -109,27 +143,50 @@ def section_sign(amount: Column, section: Column) -> Column:
 
 
 def payee_of(description: Column, number: Column) -> Column:
-    """Merchant of a description: no known prefix, `#n` tail or date at the end; capital texts in title case; 60 characters."""
+    """Merchant of a description: no known prefix, `#n` tail or date at the end; capital texts in title case; 60 characters.
+
+    Of prefixes, the first of the list that fits goes, once.
+    """
     d = blank(description)
     prefix = "|".join(rf"\Q{p}\E" for p in NOISE_PREFIXES)
     bare = F.regexp_replace(d, rf"(?i)^(?:{prefix})[ #*:|,.-]*", "")
     bare = F.regexp_replace(bare, r"\s+#\d+\b.*$", "")
     bare = F.regexp_replace(bare, r"\s+\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\s*$", "")
     bare = F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
-    bare = F.when((F.upper(bare) == bare) & bare.rlike("[A-Z]") & (F.length(bare) > 3), F.initcap(bare)).otherwise(bare)
+    name = let(bare, lambda x: F.substring(F.when((F.upper(x) == x) & x.rlike("[A-Z]") & (F.length(x) > 3), title_case(x)).otherwise(x), 1, 60))
     is_check = (blank(number) != "") | d.rlike(r"(?i)^check\s*#?\s*\d{3,6}\b")
-    return F.when((d == "") | is_check, "").otherwise(F.substring(bare, 1, 60))
+    return F.when((d == "") | is_check, "").otherwise(name)
+
+
+def title_case(x: Column) -> Column:
+    """A capital at the start of each run of letters, small letters behind it: also after an apostrophe."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), F.initcap), "")
 
 
 def confidence_label(x: Column) -> Column:
     return F.when(x.isNull(), "Medium").when(x >= 0.9, "High").when(x >= 0.75, "Medium").otherwise("Low")
 
 
-def relative_phrase(day: Column, as_of: Column) -> Column:
-    """today, yesterday, and n days, weeks or months ago."""
-    n = F.datediff(as_of, day)
+def relative_phrase(raw: Column, as_of: Column) -> Column:
+    """Of an ISO date's text: today, yesterday, and n days, weeks or months ago; from a year on, the text itself. Blank: a dash."""
+    text = blank(raw)
+    n = F.datediff(as_of, F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     ago = lambda k, unit: F.concat(k.cast("string"), F.when(k == 1, F.lit(f" {unit} ago")).otherwise(F.lit(f" {unit}s ago")))
-    return F.when(n.isNull(), "never").when(n <= 0, "today").when(n == 1, "yesterday").when(n < 7, ago(n, "day")).when(n < 30, ago(F.floor(n / 7), "week")).otherwise(ago(F.floor(n / 30), "month"))
+    near = F.when(n <= 0, "today").when(n == 1, "yesterday").when(n < 7, ago(n, "day")).when(n < 30, ago(F.floor(n / 7), "week")).when(n < 365, ago(F.floor(n / 30), "month"))
+    return F.when(text == "", "\u2014").otherwise(F.coalesce(near, text))
+
+
+def range_of(pages: Column) -> Column:
+    """The text of an array of page numbers from 0, as ranges of numbers from 1: `1-3,5`. The inverse of pages_of()."""
+    each = F.array_sort(F.array_distinct(F.filter(pages, lambda p: p.isNotNull())))
+    numbered = F.transform(each, lambda p, i: F.struct((p - i).alias("run"), (p + 1).alias("page")))
+    runs = F.array_distinct(F.transform(numbered, lambda s: s["run"]))
+
+    def text(run: Column) -> Column:
+        mine = F.transform(F.filter(numbered, lambda s: s["run"] == run), lambda s: s["page"].cast("string"))
+        return F.when(F.size(mine) == 1, F.element_at(mine, 1)).otherwise(F.concat_ws("-", F.element_at(mine, 1), F.element_at(mine, -1)))
+
+    return F.coalesce(F.array_join(F.transform(runs, text), ","), F.lit(""))
 
 
 def pages_of(ranges: Column) -> Column:
@@ -144,5 +201,14 @@ def pages_of(ranges: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, span))))
 
 
+def register_pages(kept: Column, first: Column, last: Column, count: Column) -> Column:
+    """Kept page numbers (from 0) without those of the imaging range (from 1), which ends at the document's last page.
+
+    A range that begins behind the last page excludes nothing.
+    """
+    end = F.when(first > count, F.lit(0)).otherwise(F.least(last, count))
+    return F.filter(kept, lambda p: ~(p + 1).between(first, end))
+
+
 def redact_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\b\d{9,}\b", "[acct]")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import blank, cents, check_number
+from ..functions.coerce import blank, cents, check_number, check_number_of
+from ..functions.predicates import looks_like_deposit
+from .sequence import plain_unions, walked
 
 # Limits of plausible checks, of sparse registers and of trimming.
 CHECK_CAP, LEAST_FENCE, SPARSE, TRIM_SLACK = 10_000.0, 500.0, 3, 100.0
@@ -65,9 +71,15 @@ def dedupe_checks(rows: DataFrame) -> DataFrame:
     return keep_first(rows, [check_number(F.col("check_no")), payee, amount], unless_blank=True)
 
 
+def dedupe_check_dicts(checks: DataFrame) -> DataFrame:
+    """The first of checks of one number, payee in any case, and amount to the cent; checks without any of them all stay."""
+    return keep_first(checks, [blank(F.col("check_no")), F.lower(blank(F.col("pay_to"))), F.round(F.col("amount") * 100).cast("long")], unless_blank=True)
+
+
 def assembly_dedupe(rows: DataFrame) -> DataFrame:
     """Of rows with `source` register or check_image_crop: one row a check number and amount; no unnumbered crop row
-    that repeats a register debit within a cent; one unnumbered crop row an amount and payee."""
+    that repeats a register debit within a cent; one unnumbered crop row an amount and payee (or description)."""
+    plain_unions(rows.sparkSession)
     number, crop = check_number(F.col("check_no")), F.col("source") == "check_image_crop"
     numbered = keep_first(rows.filter(number != ""), [number, cents(F.col("amount")) * F.signum("amount")])
     rest = rows.filter(number == "")
@@ -75,7 +87,8 @@ def assembly_dedupe(rows: DataFrame) -> DataFrame:
     near = debits.select(*LEGS, F.explode(F.sequence(cents(F.col("amount")) - 1, cents(F.col("amount")) + 1)).alias("__c")).distinct()
     crops = rest.filter(crop).withColumn("__c", cents(F.col("amount"))).join(near, [*LEGS, "__c"], "left_anti")
     zero = crops.filter("__c = 0").drop("__c")
-    crops = keep_first(crops.filter("__c > 0"), [F.col("__c"), F.substring(F.lower(blank(F.col("payee"))), 1, 40)]).drop("__c")
+    name = F.substring(F.lower(F.coalesce(F.nullif(blank(F.col("payee")), F.lit("")), blank(F.col("description")))), 1, 40)
+    crops = keep_first(crops.filter("__c > 0"), [F.col("__c"), name]).drop("__c")
     return numbered.unionByName(rest.filter(~crop)).unionByName(crops).unionByName(zero)
 
 
@@ -105,76 +118,148 @@ def covered(register: DataFrame, checks: DataFrame) -> DataFrame:
     return numbers.union(sums).withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
+def best_per_crop(checks: DataFrame) -> DataFrame:
+    """One check of each crop_file: with a plausible amount, then a number, then nearest the median of plausible amounts.
+
+    The first by ord of equals. Checks without a crop all stay.
+    """
+    plain_unions(checks.sparkSession)
+    size, crop = F.abs(F.coalesce("amount", F.lit(0.0))), blank(F.col("crop_file"))
+    plausible = (size > 0) & (size <= CHECK_CAP)
+    medians = checks.groupBy(*LEGS).agg(F.coalesce(F.median(F.when(plausible, size)), F.lit(0.0)).alias("__m"))
+    rank = F.when(~plausible, F.struct(F.lit(2).alias("k"), F.lit(0.0).alias("gap"))).otherwise(F.struct((blank(F.col("check_no")) == "").cast("int").alias("k"), F.abs(size - F.col("__m")).alias("gap")))
+    first = F.row_number().over(Window.partitionBy(*LEGS, "__crop").orderBy("__rank", "ord"))
+    marked = checks.join(medians, LEGS).withColumn("__crop", crop).withColumn("__rank", rank)
+    lone = marked.filter("__crop = ''")
+    picked = marked.filter("__crop <> ''").withColumn("__n", first).filter("__n = 1").drop("__n")
+    return picked.unionByName(lone).select(checks.columns)
+
+
 def supplemental(register: DataFrame, checks: DataFrame) -> DataFrame:
-    """ord, decision (supplemental, check_number, amount) and register_ord of each check, in order.
+    """statement_id, ord, decision (supplemental, check_number, amount) and register_ord of each check, in order.
 
     A check takes the first register row of its number or amount; rows of an amount serve as many checks as the
-    register has debits of it, and always name the first such row. Statements are independent groups.
+    register has debits of it, and always name the first such row. A statement's register comes before its checks and
+    leaves the first row of each number and amount, so each check is decided by four looks.
     """
-    kind = "statement_id string, ord long, decision string, register_ord long"
-
-    def decide(key, reg: pd.DataFrame, chk: pd.DataFrame) -> pd.DataFrame:
-        reg, chk = reg.sort_values("ord"), chk.sort_values("ord")
-        left: dict[int, int] = {}
-        for a in reg["amount"]:
-            if a < 0:
-                left[round(-a * 100)] = left.get(round(-a * 100), 0) + 1
-        out = []
-        for c in chk.itertuples():
-            decision, at = "supplemental", None
-            for r in reg.itertuples():
-                if c.number and r.number == c.number:
-                    decision, at = "check_number", r.ord
-                    break
-                size = round(abs(r.amount) * 100)
-                if r.amount < 0 and abs(size - round(abs(c.amount) * 100)) <= 1 and left.get(size, 0) > 0:
-                    left[size] -= 1
-                    decision, at = "amount", r.ord
-                    break
-            out.append((key[0], c.ord, decision, at))
-        found = pd.DataFrame(out, columns=["statement_id", "ord", "decision", "register_ord"])
-        return found.astype({"register_ord": "Int64"})
-
-    side = lambda df: df.select("statement_id", F.col("ord").cast("long"), F.coalesce("amount", F.lit(0.0)).alias("amount"), check_number(F.col("check_no")).alias("number"))
-    return side(register).groupBy("statement_id").cogroup(side(checks).groupBy("statement_id")).applyInPandas(decide, kind)
+
+    def decide(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for statement, group in groupby(rows, key=itemgetter(0)):
+            numbers, sizes, left = {}, {}, Counter()
+            for _, is_check, ord_, number, size, debit in group:
+                if not is_check:
+                    if number:
+                        numbers.setdefault(number, ord_)
+                    if debit:
+                        sizes.setdefault(size, ord_)
+                        left[size] += 1
+                    continue
+                found = [(sizes[c], 1, c) for c in (size - 1, size, size + 1) if left[c] > 0]
+                if number in numbers:
+                    found.append((numbers[number], 0, None))
+                at, by_amount, c = min(found, default=(None, 0, None))
+                if by_amount:
+                    left[c] -= 1
+                yield statement, ord_, "supplemental" if at is None else "amount" if by_amount else "check_number", at
+
+    def side(df: DataFrame, is_check: bool) -> DataFrame:
+        number = check_number(F.col("check_no")) if is_check else check_number_of(F.col("check_no"), F.col("description"))
+        amount = F.coalesce("amount", F.lit(0.0))
+        return df.select(*LEGS, F.lit(int(is_check)).alias("is_check"), F.col("ord").cast("long").alias("ord"), number.alias("number"), cents(amount).alias("size"), (amount < 0).alias("debit"))
+
+    return walked(side(register, False).unionByName(side(checks, True)), LEGS, ["is_check", "ord"], decide, "statement_id string, ord long, decision string, register_ord long")
+
+
+def assemble(register: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger, stats): the register and the checks that it lacks, of statements with columns as those of both.
+
+    Checks that look like deposits, implausible amounts and repeats go first. Only statements whose register is then
+    too short take checks; register rows that a check covers go where checks were added. stats has a row a statement.
+    """
+    plain = checks.filter(~looks_like_deposit(blank(F.col("description")), blank(F.col("payee")), *([blank(F.col("review_reason"))] if "review_reason" in checks.columns else [])))
+    sound = drop_outliers(plain)
+    offered = dedupe_checks(median_pick(sound))
+    state = gate(register, offered)
+    short = state.filter("incomplete").select(*LEGS)
+    decided = supplemental(register.join(short, LEGS, "left_semi"), offered.join(short, LEGS, "left_semi"))
+    more = offered.join(decided.filter("decision = 'supplemental'").select(*LEGS, "ord"), [*LEGS, "ord"], "left_semi")
+    grown = more.select(*LEGS).distinct()
+    covered_rows = decided.filter("register_ord is not null").join(grown, LEGS, "left_semi").select(*LEGS, F.col("register_ord").alias("ord")).distinct()
+    kept = register.join(covered_rows, [*LEGS, "ord"], "left_anti")
+    count = lambda df, name: df.groupBy(*LEGS).agg(F.count("*").alias(name))
+    tally = decided.join(offered.select(*LEGS, "ord", check_number(F.col("check_no")).alias("__no")), [*LEGS, "ord"])
+    tally = tally.groupBy(*LEGS).agg(
+        F.count_if(F.col("decision") == "supplemental").alias("supplemental"), F.count_if((F.col("decision") == "supplemental") & (F.col("__no") == "")).alias("by_amount"),
+        F.count_if(F.col("decision") == "check_number").alias("skipped_by_check_number"), F.count_if(F.col("decision") == "amount").alias("skipped_by_amount"),
+    )
+    stats = state.withColumn("sparse", F.col("n_register") < SPARSE)
+    # A null or zero amount is left out but not counted as rejected.
+    valued = plain.filter(F.coalesce("amount", F.lit(0.0)) != 0)
+    for df, name in ((checks, "offered"), (plain, "__plain"), (valued, "__valued"), (sound, "__sound"), (covered_rows, "pruned")):
+        stats = stats.join(count(df, name), LEGS, "left")
+    stats = stats.join(tally, LEGS, "left").na.fill(0)
+    stats = stats.withColumn("rejected_deposits", F.col("offered") - F.col("__plain")).withColumn("rejected_outliers", F.col("__valued") - F.col("__sound"))
+    return kept.unionByName(more, allowMissingColumns=True), stats.drop("__plain", "__valued", "__sound")
 
 
 def budget_trim(checks: DataFrame, budgets: DataFrame, cap: int | None = None) -> DataFrame:
-    """Checks of statements (with `budget`) that fit it: all within the slack; else numbered first, nearest the median
-    first, those that still fit; all again if that leaves more than the slack."""
-    median = F.median(F.abs("amount")).over(Window.partitionBy(*LEGS))
-    rank = F.struct((check_number(F.col("check_no")) == "").alias("bare"), F.abs(F.abs("amount") - F.col("__m")).alias("gap"), F.col("ord").alias("ord"), F.abs("amount").alias("size"))
-    lists = checks.withColumn("__m", median).withColumn("__r", rank).groupBy(*LEGS).agg(F.array_sort(F.collect_list("__r")).alias("rows"), F.sum(F.abs("amount")).alias("total"))
-    lists = lists.join(budgets, LEGS)
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("kept"))
-
-    def take(acc: Column, r: Column) -> Column:
-        fits = acc["sum"] + r["size"] <= F.col("budget") + TRIM_SLACK
-        if cap is not None:
-            fits = fits & (F.size(acc["kept"]) < cap)
-        added = F.struct((acc["sum"] + r["size"]).alias("sum"), F.concat(acc["kept"], F.array(r["ord"].cast("bigint"))).alias("kept"))
-        return F.when(fits, added).otherwise(acc)
-
-    picked = lists.withColumn("p", F.aggregate("rows", start, take))
-    everything = (F.col("total") <= F.col("budget") + TRIM_SLACK) | (F.col("p.sum") < F.col("budget") - TRIM_SLACK)
-    everything = everything if cap is None else everything & (F.size("rows") <= cap)
-    kept = picked.select(*LEGS, F.when(everything, F.transform("rows", lambda r: r["ord"].cast("bigint"))).otherwise(F.col("p.kept")).alias("kept"))
-    return checks.join(kept.select(*LEGS, F.explode("kept").alias("ord")), [*LEGS, "ord"], "left_semi")
+    """Checks of statements (with `budget`) that fit it: all within the slack, or of no positive budget; else numbered
+    first, nearest the median of amounts first, those that still fit, at most `cap`; all again if that leaves more than
+    the slack. The cap never drops rows of a statement within its budget.
+    """
+    size = F.abs(F.coalesce("amount", F.lit(0.0)))
+    known = checks.groupBy(*LEGS).agg(F.sum(size).alias("__total"), F.coalesce(F.median(F.when(size > 0, size)), F.lit(0.0)).alias("__median")).join(budgets, LEGS)
+    over = known.filter((F.col("budget") > 0) & (F.col("__total") > F.col("budget") + TRIM_SLACK))
+    ranked = checks.join(over, LEGS).select(*LEGS, (check_number(F.col("check_no")) == "").alias("bare"), F.abs(size - F.col("__median")).alias("gap"), F.col("ord").cast("long").alias("ord"), size.alias("size"), F.col("budget").cast("double").alias("budget"))
+
+    def take(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for statement, group in groupby(rows, key=itemgetter(0)):
+            total, n = 0.0, 0
+            for _, _, _, ord_, amount, budget in group:
+                if (cap is None or n < cap) and total + amount <= budget + TRIM_SLACK:
+                    total, n = total + amount, n + 1
+                    yield statement, ord_, None
+            if total < budget - TRIM_SLACK:
+                yield statement, None, total
+
+    taken = walked(ranked, LEGS, ["bare", "gap", "ord"], take, "statement_id string, ord long, left double")
+    under = taken.filter("ord is null").select(*LEGS)
+    whole = known.select(*LEGS).join(over.select(*LEGS), LEGS, "left_anti").unionByName(under)
+    part = checks.join(taken.filter("ord is not null").select(*LEGS, "ord"), [*LEGS, "ord"], "left_semi").join(under, LEGS, "left_anti")
+    return checks.join(whole, LEGS, "left_semi").unionByName(part)
 
 
 def merge_payees(rows: DataFrame, checks: DataFrame) -> DataFrame:
-    """Blank and uncategorised payees filled from checks: by number (the last check of it), else by equal cents, the
-    k-th open row of an amount taking its k-th unused check. Filled register rows become check_image_crop."""
+    """Blank and uncategorised payees filled from checks: by the very number (the last check of it), else by the first
+    unused check within a cent of the amount. A check fills one row. Filled register rows become check_image_crop.
+
+    A check without a name fills nothing, but stands before later ones of its amount.
+    """
     open_payee = F.lower(blank(F.col("payee"))).isin("", "uncategorized")
-    marked = rows.withColumn("__no", check_number(F.col("check_no"))).withColumn("__c", cents(F.col("amount")))
-    named = checks.filter(blank(F.col("pay_to")) != "").select(*LEGS, "ord", "pay_to", check_number(F.col("check_no")).alias("__no"), cents(F.col("amount")).alias("__c"))
-    by_number = named.filter("__no <> ''").groupBy(*LEGS, "__no").agg(F.max_by("pay_to", "ord").alias("__p1"))
-    numbers = rows.select(*LEGS, check_number(F.col("check_no")).alias("__no")).filter("__no <> ''").distinct()
-    nth = lambda *k: F.row_number().over(Window.partitionBy(*LEGS, *k).orderBy("ord"))
-    by_amount = named.join(numbers, [*LEGS, "__no"], "left_anti").withColumn("__k", nth("__c")).select(*LEGS, "__c", "__k", F.col("pay_to").alias("__p2"))
-    step = marked.join(by_number, [*LEGS, "__no"], "left")
-    step = step.withColumn("__open", open_payee & F.col("__p1").isNull() & (F.col("amount") < 0)).withColumn("__k", nth("__c", "__open"))
-    step = step.join(by_amount, [*LEGS, "__c", "__k"], "left")
-    given = F.when(open_payee, F.coalesce("__p1", F.when(F.col("__open"), F.col("__p2"))))
-    source = F.when(given.isNotNull() & (F.col("source") == "register"), "check_image_crop").otherwise(F.col("source"))
-    return step.withColumn("source", source).withColumn("payee", F.coalesce(given, "payee")).select(rows.columns)
+
+    def fill(events: Iterator[tuple]) -> Iterator[tuple]:
+        for statement, group in groupby(events, key=itemgetter(0)):
+            numbers, sizes, used = {}, defaultdict(list), set()
+            for _, is_row, ord_, number, size, name, is_open in group:
+                if not is_row:
+                    if number:
+                        numbers[number] = (ord_, name)
+                    if size:
+                        sizes[size].append((ord_, name))
+                    continue
+                if number in numbers:
+                    at, payee = numbers[number]
+                elif size is None:
+                    continue
+                else:
+                    free = [next((c for c in sizes[k] if c[0] not in used), None) for k in (size - 1, size, size + 1) if k in sizes]
+                    at, payee = min((c for c in free if c), default=(None, ""))
+                if is_open and payee and at not in used:
+                    used.add(at)
+                    yield statement, ord_, payee
+
+    events = checks.select(*LEGS, F.lit(0).alias("is_row"), F.col("ord").cast("long").alias("ord"), blank(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), blank(F.col("pay_to")).alias("name"), F.lit(False).alias("open"))
+    mine = rows.select(*LEGS, F.lit(1).alias("is_row"), F.col("ord").cast("long").alias("ord"), blank(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), F.lit("").alias("name"), open_payee.alias("open"))
+    given = walked(events.unionByName(mine), LEGS, ["is_row", "ord"], fill, "statement_id string, ord long, __payee string")
+    source = F.when(F.col("__payee").isNotNull() & F.lower(blank(F.col("source"))).isin("", "register"), "check_image_crop").otherwise(F.col("source"))
+    return rows.join(given, [*LEGS, "ord"], "left").withColumn("source", source).withColumn("payee", F.coalesce("__payee", "payee")).select(rows.columns)

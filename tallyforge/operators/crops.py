@@ -74,7 +74,12 @@ def cost(ranges: Column, price: float = PAGE_PRICE) -> Column:
 
 
 def classes_by_page(crops: DataFrame, classes: list[str]) -> DataFrame:
-    return crops.groupBy("page").pivot("class", classes).count().na.fill(0)
+    """Crops of each page by class; with a column `clean`, also its count and percentage."""
+    wide = crops.groupBy("page").pivot("class", classes).count().na.fill(0)
+    if "clean" not in crops.columns:
+        return wide
+    n = crops.groupBy("page").agg(F.count_if("clean").alias("clean"), F.bround(100.0 * F.count_if("clean") / F.count("*"), 1).alias("clean_pct"))
+    return wide.join(n, "page")
 
 
 def cohorts(crops: DataFrame, clean: Column) -> DataFrame:
@@ -100,3 +105,10 @@ def snippets(lines: DataFrame, pattern: str, after: int = 3) -> DataFrame:
     at = F.array_position(F.transform("l", lambda s: s["text"].rlike(pattern)), True).cast("int")
     start = F.greatest(at - 2, F.lit(1))
     return texts.withColumn("at", at).filter("at > 0").select("crop_id", F.array_join(F.slice(F.transform("l", lambda s: s["text"]), start, at - start + 1 + after), " | ").alias("snippet"))
+
+
+def human_truth(crops: DataFrame) -> DataFrame:
+    """Adds truth: the note of a crop that was graded wrong (a grade that begins with w), else its candidate, else its payee."""
+    wrong = F.lower(blank(F.col("grade"))).startswith("w") & (blank(F.col("notes")) != "")
+    read = F.coalesce(F.nullif(blank(F.col("candidate")), F.lit("")), blank(F.col("payee")))
+    return crops.withColumn("truth", F.when(wrong, blank(F.col("notes"))).otherwise(read))

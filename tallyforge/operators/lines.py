@@ -1,12 +1,47 @@
-"""Statement lines to transactions, as windows over the lines of a statement."""
+"""Statement lines and table rows to transactions: windows carry sections and fuse lines, a walk gathers split rows."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import coerce, predicates
-from ..functions.coerce import AMOUNT, DATE_TOKEN
+from ..functions import coerce, predicates, repair
+from ..functions.coerce import AMOUNT, DATE_TOKEN, let
+from .assembly import dedupe_transactions
+from .sequence import plain_unions, walked
+
+# Dates with a year, alone on a line or at its start; amounts; words of transactions.
+DATED = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
+DATE_ONLY, LEADING_DATE, FULL_DATE = rf"^\s*({DATED})\s*$", rf"^\s*({DATED})(?!\d)", rf"^\s*({DATED})(?!\d)(?:\s+(.*))?$"
+PLAIN_AMOUNT = r"\d{1,3}(?:,\d{3})*\.\d{2}"
+VERB = (
+    r"(?i)\b(ach|eft/?ach|eftiach|debit|credit|withdrawal|deposit|transfer|wire|check|payment|pos|merch|paypal|venmo|zelle|card|atm|service|charge|fee|epay)\b"
+)
+# Rows of check registers; a date and an amount without a number between them, and the number alone.
+TRIPLET = rf"(\d{{1,2}}[/-]\d{{1,2}})\s+\*?\s*(\d{{3,6}})\s*\*?\s+({PLAIN_AMOUNT})"
+REGISTER_ROW = r"^\s*\*?\s*(\d{3,6})\s*\*?\s+(\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?)\s+(.+?)\s*$"
+NO_NUMBER, FOUR_DIGITS = rf"^(\d{{1,2}}[/-]\d{{1,2}})\s+({PLAIN_AMOUNT})(?:\s+|$)", r"^\s*(\d{4})\s*$"
+# Summary lines of a statement.
+SUMMARY = {
+    "deposits": (r"(?i)^\s*(?:deposits?\s+and\s+other\s+(?:credits?|debits?)|total\s+deposits?(?:\s+and\s+credits?)?|total\s+credits?)\s*[_:\-]*\s*\$?\s*(\d{1,3}(?:,\d{3})*\.\d{2})\s*\+?\s*$", "double"),
+    "withdrawals": (r"(?i)^\s*(?:\d+\s+)?(?:withdrawals?\s+and\s+other\s+(?:debits?|credits?)|total\s+withdrawals?(?:\s+and\s+debits?)?|total\s+debits?)\s*[_:\-]*\s*\$?\s*(\d{1,3}(?:,\d{3})*\.\d{2})\s*[\-+]?\s*$", "double"),
+    "deposits_count": (r"(?i)^\s*(\d+)\s+deposits?\s+and\s+other\s+(?:credits?|debits?)\s+\$?\s*\d{1,3}(?:,\d{3})*\.\d{2}", "int"),
+    "withdrawals_count": (r"(?i)^\s*(\d+)\s+withdrawals?\s+and\s+other\s+(?:debits?|credits?)\s+\$?\s*\d{1,3}(?:,\d{3})*\.\d{2}", "int"),
+}
+# Where a statement's year is looked for, and in how much of its text.
+YEARS = (
+    r"(?i)statement\s+period[^\d]{0,40}(\d{4})",
+    r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+(\d{4})",
+    r"\b(20\d{2})\b",
+)
+YEAR_TEXT = 8000
+# Lines that continue a row, the longest description that they make, rows of text below which a scan is read.
+CONTINUATIONS, LONGEST, FEW_ROWS = 2, 120, 3
 
 
 def in_order():
@@ -27,91 +62,341 @@ def carry_sections(lines: DataFrame) -> DataFrame:
 
 def until_terminator(lines: DataFrame) -> DataFrame:
     """Lines before a statement's first ending heading."""
-    ended = F.max((F.coalesce(predicates.section_of(F.col("text")) == "end", F.lit(False))).cast("int")).over(up_to_here())
+    heading = F.col("heading") if "heading" in lines.columns else predicates.section_of(F.col("text"))
+    ended = F.max(F.coalesce(heading == "end", F.lit(False)).cast("int")).over(up_to_here())
     return lines.withColumn("__ended", ended).filter("__ended = 0").drop("__ended")
 
 
+def _absorb_next(lines: DataFrame, fused) -> DataFrame:
+    """Lines of which some take the next: fused(text, next) is the new text, or null. Blank lines go first.
+
+    Lines are taken from the top, so one that was taken takes none itself: in a run of lines that all could, every
+    second one does.
+    """
+    trimmed = lines.withColumn("text", F.trim("text")).filter("text <> ''")
+    marked = trimmed.withColumn("__new", fused(F.col("text"), F.lead("text").over(in_order()))).withColumn("__at", F.row_number().over(in_order()))
+    could = F.col("__new").isNotNull()
+    starts = F.when(~F.coalesce(F.lag(could).over(in_order()), F.lit(False)), F.col("__at"))
+    marked = marked.withColumn("__start", starts).withColumn("__start", F.last("__start", ignorenulls=True).over(up_to_here()))
+    marked = marked.withColumn("__takes", could & ((F.col("__at") - F.col("__start")) % 2 == 0))
+    marked = marked.withColumn("__taken", F.coalesce(F.lag("__takes").over(in_order()), F.lit(False))).filter("not __taken")
+    return marked.withColumn("text", F.when(F.col("__takes"), F.col("__new")).otherwise(F.col("text"))).select(lines.columns)
+
+
 def fuse_split_dates(lines: DataFrame) -> DataFrame:
-    """A line that is only a month and slash takes the next line's text; the next line goes."""
-    half, follows = r"^\s*\d{1,2}\s*/\s*$", r"^\s*\d{1,2}\b"
-    after, before = F.lead("text").over(in_order()), F.lag("text").over(in_order())
-    joins = F.col("text").rlike(half) & F.coalesce(after.rlike(follows), F.lit(False))
-    eaten = F.coalesce(before.rlike(half), F.lit(False)) & F.col("text").rlike(follows)
-    marked = lines.withColumn("__joined", F.when(joins, F.concat(F.regexp_replace("text", r"\s+", ""), F.trim(after)))).withColumn("__eaten", eaten)
-    return marked.filter(~F.col("__eaten")).withColumn("text", F.coalesce("__joined", "text")).drop("__joined", "__eaten")
+    """Lines whose date stands on a line of its own: the two become one, the date first.
+
+    In this order: words of a transaction with an amount, then a date alone; a date alone, then words with an amount;
+    up to four words without an amount, then a date and an amount without words of a transaction.
+    """
+
+    def fused(text: Column, after: Column) -> Column:
+        date = lambda x, p: F.regexp_extract(x, p, 1)
+        row = lambda x: ~x.rlike(LEADING_DATE) & x.rlike(PLAIN_AMOUNT) & x.rlike(VERB)
+        rest = F.trim(F.regexp_replace(after, LEADING_DATE, ""))
+        short = ~text.rlike(LEADING_DATE) & ~text.rlike(PLAIN_AMOUNT) & text.rlike(VERB) & (F.size(F.split(text, r"\s+")) <= 4)
+        return (
+            F.when(after.rlike(DATE_ONLY) & row(text), F.concat_ws(" ", date(after, DATE_ONLY), text))
+            .when(text.rlike(DATE_ONLY) & row(after), F.concat_ws(" ", date(text, DATE_ONLY), after))
+            .when(short & after.rlike(LEADING_DATE) & after.rlike(PLAIN_AMOUNT) & ~rest.rlike(VERB), F.trim(F.concat_ws(" ", date(after, LEADING_DATE), text, rest)))
+        )
+
+    return _absorb_next(lines, fused)
 
 
 def splice_orphan_numbers(lines: DataFrame) -> DataFrame:
-    """A line of a check number alone is put before the text of the line above it, if that has a date and an amount."""
-    alone = r"^\s*\*?\s*\d{3,6}\s*\*?\s*$"
-    after = F.lead("text").over(in_order())
-    bare = F.col("text").rlike(rf"^\s*{DATE_TOKEN}\s+{AMOUNT}\s*$")
-    number = F.trim(F.translate(after, "*", ""))
-    takes = bare & F.coalesce(after.rlike(alone), F.lit(False))
-    eaten = F.col("text").rlike(alone) & F.coalesce(F.lag("text").over(in_order()).rlike(rf"^\s*{DATE_TOKEN}\s+{AMOUNT}\s*$"), F.lit(False))
-    text = F.when(takes, F.concat_ws(" ", F.regexp_extract("text", DATE_TOKEN, 0), F.concat(F.lit("Check #"), number), F.regexp_extract("text", rf"{AMOUNT}\s*$", 0)))
-    return lines.withColumn("__t", text).withColumn("__e", eaten).filter(~F.col("__e")).withColumn("text", F.coalesce("__t", "text")).drop("__t", "__e")
+    """A line that begins with a date and an amount takes a number of four digits from the next line between the two."""
+
+    def spliced(text: Column, after: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, NO_NUMBER, i)
+        rest = F.nullif(F.trim(F.regexp_replace(text, NO_NUMBER, "")), F.lit(""))
+        whole = F.concat_ws(" ", part(1), F.regexp_extract(after, FOUR_DIGITS, 1), part(2), rest)
+        return F.when(text.rlike(NO_NUMBER) & after.rlike(FOUR_DIGITS), whole)
+
+    return _absorb_next(lines, spliced)
 
 
 def check_triplets(lines: DataFrame) -> DataFrame:
     """One to three (date, check number, amount) of a line, a row each."""
-    one = rf"({DATE_TOKEN})\s+(\d{{3,6}})\s*\*?\s+({AMOUNT})"
-    get = lambda i: F.regexp_extract_all("text", F.lit(one), F.lit(i))
+    get = lambda i: F.regexp_extract_all("text", F.lit(TRIPLET), F.lit(i))
     zipped = F.posexplode(F.arrays_zip(get(1).alias("date"), get(2).alias("check_no"), get(3).alias("amount")))
     out = lines.select("statement_id", "line_no", zipped.alias("place", "t"))
-    return out.select("statement_id", "line_no", "place", F.col("t.date").alias("date_text"), F.col("t.check_no").alias("check_no"), F.element_at(coerce.amounts(F.col("t.amount")), 1).alias("amount"))
+    return out.select("statement_id", "line_no", "place", F.col("t.date").alias("date_text"), F.col("t.check_no").alias("check_no"), F.translate("t.amount", ",", "").cast("double").alias("amount"))
 
 
 def statement_year(lines: DataFrame, default: int) -> DataFrame:
-    """statement_id and the first year 2000 to 2099 of its lines."""
-    year = F.regexp_extract("text", r"\b(20\d{2})\b", 1).try_cast("int")
-    found = lines.withColumn("y", year).filter("y is not null").groupBy("statement_id").agg(F.min_by("y", "line_no").alias("year"))
-    return lines.select("statement_id").distinct().join(found, "statement_id", "left").na.fill({"year": default})
+    """statement_id and the year that its first YEAR_TEXT characters name: of its period, of a date in words, or any of this century."""
+    before = F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = lines.withColumn("__before", before).filter(F.col("__before") < YEAR_TEXT)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n")
+    whole = head.groupBy("statement_id").agg(F.substring(text, 1, YEAR_TEXT).alias("text"))
+    found = [F.regexp_extract("text", p, 1).try_cast("int") for p in YEARS]
+    year = F.coalesce(*[F.when(y.between(2000, 2099), y) for y in found])
+    named = whole.select("statement_id", year.alias("year"))
+    return lines.select("statement_id").distinct().join(named, "statement_id", "left").na.fill({"year": default})
 
 
 def statement_summary(lines: DataFrame) -> DataFrame:
     """deposits, withdrawals and their counts that a statement's summary lines give; the first of each."""
-    size = r"\$?\s*(\d{1,3}(?:,\d{3})*\.\d{2})\s*[-+]?\s*$"
-    kinds = {
-        "deposits": (r"(?i)^\s*(?:\d+\s+)?(?:deposits?\s+and\s+other\s+credits?|total\s+(?:deposits?|credits?))[_:\s-]*" + size, 1, "double"),
-        "withdrawals": (r"(?i)^\s*(?:\d+\s+)?(?:withdrawals?\s+and\s+other\s+debits?|total\s+(?:withdrawals?|debits?))[_:\s-]*" + size, 1, "double"),
-        "deposits_count": (r"(?i)^\s*(\d+)\s+deposits?\s+and\s+other\s", 1, "int"),
-        "withdrawals_count": (r"(?i)^\s*(\d+)\s+withdrawals?\s+and\s+other\s", 1, "int"),
-    }
-    found = lines.select("statement_id", "line_no", *[F.translate(F.regexp_extract("text", p, g), ",", "").try_cast(t).alias(k) for k, (p, g, t) in kinds.items()])
-    return found.groupBy("statement_id").agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k) for k in kinds])
+    found = lines.select("statement_id", "line_no", *[F.translate(F.regexp_extract("text", p, 1), ",", "").try_cast(t).alias(k) for k, (p, t) in SUMMARY.items()])
+    return found.groupBy("statement_id").agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k) for k in SUMMARY])
+
+
+def _number(x: Column, column: bool = False) -> Column:
+    """The check number that a text names; with column, also a number that is all of it."""
+    named = F.nullif(F.regexp_extract(x, predicates.CHECK_NUMBER, 1), F.lit(""))
+    lone = F.nullif(F.regexp_extract(F.trim(x), predicates.LONE_NUMBER, 1), F.lit(""))
+    return F.coalesce(named, lone) if column else named
+
+
+def _no_amounts(x: Column) -> Column:
+    return coerce.strip_amounts(F.trim(F.regexp_replace(x, AMOUNT, "")))
+
+
+def _in_joined(joined: Column, year: Column) -> tuple[Column, Column]:
+    """The date at a text's start, and what follows it."""
+    lead = F.regexp_extract(joined, rf"^{DATE_TOKEN}", 0)
+    return F.when(lead != "", coerce.normal_date(lead, year)), F.trim(F.substr(joined, F.length(lead) + 1))
+
+
+def cells_row(cells: Column, section: Column, year: Column, columns: Column | None = None) -> Column:
+    """date, description, amount, check_no of a row of cells as a struct, or null if it is no transaction.
+
+    columns: the places (from 1) of date, text, amount and number that a header gave, as a struct d, t, a, c; null where
+    none did. Without a place for dates, a row of three cells or more is read by position: a date first, its amount
+    last, or before a balance; in check sections a number, a date and an amount, or a date, a number, an amount and a text.
+    """
+    n, joined = F.size(cells), F.array_join(cells, " ")
+    at = lambda i: F.try_element_at(cells, F.lit(i) if isinstance(i, int) else i)
+    given = lambda k: at(columns[k]) if columns is not None else F.lit(None).cast("string")
+    first = lambda x: coerce.pick_amount(coerce.amounts(x), "first")
+    none = F.lit(None).cast("string")
+    in_checks, placed = F.coalesce(section == "check", F.lit(False)), columns["d"].isNotNull() if columns is not None else F.lit(False)
+    row = lambda d, t, a, c: F.struct(d.alias("date"), t.alias("description"), a.alias("amount"), c.alias("check_no"))
+    # What the cells hold, each once: dates of the first two, amounts of the third and of the last two.
+    seen = F.struct(
+        coerce.normal_date(at(1), year).alias("d1"), coerce.normal_date(at(2), year).alias("d2"), first(at(3)).alias("a3"), first(at(-1)).alias("last"), first(at(-2)).alias("before"),
+    )
+
+    def read(x: Column) -> Column:
+        positional = ~placed & (n >= 3)
+        numbered = positional & in_checks & x["d1"].isNull() & at(1).rlike(predicates.LONE_NUMBER) & x["d2"].isNotNull() & x["a3"].isNotNull()
+        listed = positional & x["d1"].isNotNull() & in_checks & (n >= 4)
+        dated = positional & x["d1"].isNotNull() & ~listed
+        lone = F.regexp_extract(at(1), predicates.LONE_NUMBER, 1)
+        middle = lambda cut: F.array_join(F.slice(cells, F.lit(2), F.greatest(n - cut, F.lit(0))), " ")
+        base = row(F.when(placed, coerce.normal_date(given("d"), year)), given("t"), first(given("a")), _number(given("c"), True))
+        return (
+            F.when(numbered, row(x["d2"], F.concat(F.lit("Check #"), lone), x["a3"], lone))
+            .when(listed & x["a3"].isNotNull(), row(x["d1"], at(4), x["a3"], _number(at(2), True)))
+            .when(dated & (n >= 4) & x["last"].isNotNull() & x["before"].isNotNull(), row(x["d1"], middle(3), x["before"], none))
+            .when(dated & x["last"].isNotNull(), row(x["d1"], middle(2), x["last"], none))
+            .otherwise(base)
+        )
+
+    def whole(x: Column) -> Column:
+        own, rest = _in_joined(joined, year)
+        any_lone = F.regexp_extract(F.try_element_at(F.filter(cells, lambda c: c.rlike(predicates.LONE_NUMBER)), F.lit(1)), predicates.LONE_NUMBER, 1)
+        number = F.coalesce(x["check_no"], F.when(in_checks & x["date"].isNull(), any_lone))
+        text = F.coalesce(F.nullif(x["description"], F.lit("")), F.when(x["date"].isNull() & own.isNotNull(), F.nullif(rest, F.lit(""))), joined)
+        return F.struct(F.coalesce(x["date"], own).alias("date"), text.alias("description"), x["amount"].alias("amount"), number.alias("check_no"), coerce.pick_amount(coerce.amounts(joined)).alias("any"))
+
+    def priced(x: Column) -> Column:
+        bare = _no_amounts(F.regexp_replace(joined, F.date_format(x["date"], "yyyy-MM-dd"), ""))
+        text = F.when(x["amount"].isNull() & x["any"].isNotNull() & x["date"].isNotNull(), bare).otherwise(x["description"])
+        return row(x["date"], text, F.coalesce(x["amount"], x["any"]), x["check_no"])
+
+    def likely(x: Column) -> Column:
+        t = x["description"]
+        named = t.rlike(r"^\d{1,2}[/-]\d{1,2}") | t.rlike(predicates.TRANSACTION_HINT) | t.rlike(predicates.CHECK_NUMBER) | F.trim(F.element_at(F.split(t, r"\|"), 1)).rlike(predicates.LONE_NUMBER)
+        return F.when(x["amount"].isNotNull() & (x["date"].isNotNull() | F.coalesce(section.isin("credit", "debit", "check"), F.lit(False)) | named), x)
+
+    made = let(let(let(let(seen, read), whole), priced), likely)
+    heading = predicates.section_of(joined).isNotNull() | predicates.is_column_header(joined)
+    return F.when((n > 0) & ~heading, made)
+
+
+def finish(rows: DataFrame, source: str, year: Column) -> DataFrame:
+    """Rows (statement_id, ord, date, description, amount, check_no, section) with all that a ledger row needs, reviewed.
+
+    Trailing amounts go, sections give signs, a number in the text is the check's, prefixes leave the payee. source: text
+    (High) or scan (Medium, always to review). A missing date or amount is Medium and to review.
+    """
+    description = coerce.strip_amounts(F.trim(F.coalesce("description", F.lit(""))))
+    out = rows.withColumn("description", description).withColumn("amount", coerce.section_sign(F.col("amount"), F.col("section")))
+    out = out.withColumn("check_no", F.coalesce(F.nullif(coerce.blank(F.col("check_no")), F.lit("")), _number(F.col("description")), F.lit("")))
+    no_date, no_amount, scan = F.col("date").isNull(), F.col("amount").isNull(), source == "scan"
+    note = F.when(no_date | no_amount, "OCR fallback path — verify amount + payee").otherwise("OCR fallback — verify payee") if scan else F.lit(None).cast("string")
+    reasons = F.array_compact(F.array(F.when(no_date, "Missing date"), F.when(no_amount, "Missing amount"), note))
+    month = F.coalesce(F.date_format("date", "yyyy-MM"), F.concat(year.cast("string"), F.lit("-01")))
+    out = out.withColumns({
+        "payee": coerce.payee_of(F.col("description"), F.col("check_no")), "category": F.lit("Uncategorized"), "sub_category": F.lit(""), "year_month": month,
+        "confidence": F.when(no_date | no_amount | F.lit(scan), "Medium").otherwise("High"), "needs_review": F.when(F.size(reasons) > 0, "Yes").otherwise("No"),
+        "review_reason": F.array_join(reasons, "; "),
+    })
+    return review(out)
+
+
+_ROW = "statement_id string, line_no int, place int, date date, description string, amount double, check_no string, section string"
+
+
+def _gather(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of parse_lines() from its sorted events: (statement_id, line_no, event, section, date, body, amount, check_no, named, kept)."""
+    for statement, events in groupby(rows, key=itemgetter(0)):
+        date, section, pending, hinted = None, None, [], False
+
+        def flush(line_no):
+            text = " ".join(pending).strip()
+            if text and (hinted or date or section):
+                yield statement, line_no, -1, date, text, None, None, section  # noqa: B023
+
+        for _, line_no, event, now, own, body, amount, number, named, kept in events:
+            if event == "heading" or event != "line" or own is not None:
+                yield from flush(line_no)
+                pending, hinted = [], False
+            section = now
+            if event == "heading":
+                continue
+            if event != "line":  # a row of cells has its own date or none, one of a register the last
+                yield statement, line_no, 0, own or (date if event == "register" else None), body, amount, number, section
+                date = own or date
+                continue
+            date = own or date
+            if amount is None:
+                if kept or section:
+                    pending.append(body)
+                    hinted = hinted or named
+                continue
+            text = " ".join([*pending, body]).strip()
+            likely = named or hinted or date or section
+            pending, hinted = [], False
+            if likely:
+                yield statement, line_no, 0, date, text, amount, None, section
+        yield from flush(2**31 - 1)
 
 
 def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
-    """Transactions of a statement's lines (statement_id, line_no, text): date, description, amount, check_no, section, ord.
+    """Transactions of a statement's lines (statement_id, line_no, text), as finish() gives them.
+
+    Headings set the section, or end it; a date at a line's start holds until the next. Lines of cells (` | `) and of a
+    check register are rows by themselves. Lines without an amount wait for the next amount line and precede its text;
+    a date or heading before it makes them a row without an amount. Conditions are columns; only the gathering walks.
+    """
+    live = carry_sections(lines.withColumn("text", F.trim("text")).filter("text <> ''")).filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
+    cells = F.transform(F.split("text", r" \| "), lambda c: F.trim(c))
+    live = live.withColumn("__cells", F.when(F.col("heading").isNull() & F.col("text").contains(" | "), cells_row(cells, F.col("section"), year)))
+    part = lambda i: F.regexp_extract("text", REGISTER_ROW, i)
+    in_checks = F.col("heading").isNull() & (F.col("section") == "check") & F.col("text").rlike(REGISTER_ROW)
+    paid = coerce.pick_amount(coerce.amounts(part(3)))
+    extra = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(3), AMOUNT, ""), r"^[ .\-]+", ""), r"[ .\-]+$", "")
+    extra = F.when((extra == "") | extra.rlike(r"^\d+$"), None).otherwise(extra)
+    listed = F.struct(coerce.normal_date(part(2), year).alias("date"), F.concat_ws(" ", F.concat(F.lit("Check #"), part(1)), extra).alias("description"), paid.alias("amount"), part(1).alias("check_no"))
+    live = live.withColumn("__listed", F.when(in_checks & paid.isNotNull() & ~predicates.is_column_header(F.col("text")), listed))
+    event = F.when(F.col("heading").isNotNull(), "heading").when(F.col("__cells").isNotNull(), "cells").when(F.col("__listed").isNotNull(), "register").otherwise("line")
+    live = live.withColumn("event", event).filter((F.col("event") != "line") | ~predicates.is_skipped(F.col("text"), F.col("heading")))
+    own, rest = _in_joined(F.col("text"), year)
+    live = live.withColumn("__own", own).withColumn("__body", F.when(F.col("__own").isNotNull(), rest).otherwise(F.col("text")))
+    made = F.coalesce("__cells", "__listed")
+    line, body = F.col("event") == "line", F.col("__body")
+    named = body.rlike(predicates.TRANSACTION_HINT) | body.rlike(predicates.CHECK_NUMBER) | F.trim(F.element_at(F.split(body, r"\|"), 1)).rlike(predicates.LONE_NUMBER)
+    kept = body.rlike(predicates.TRANSACTION_HINT) | F.substring(body, 1, 20).rlike(DATE_TOKEN) | body.rlike(predicates.CHECK_NUMBER)
+    events = live.select(
+        "statement_id", F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(line, F.col("__own")).otherwise(made["date"]).alias("date"),
+        F.when(line, body).otherwise(made["description"]).alias("body"), F.when(line, coerce.pick_amount(coerce.amounts(body))).otherwise(made["amount"]).alias("amount"),
+        made["check_no"].alias("check_no"), named.alias("named"), kept.alias("kept"),
+    )
+    rows = walked(events, ["statement_id"], ["line_no"], _gather, _ROW)
+    placed = rows.withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", "place"))).drop("line_no", "place")
+    return dedupe_transactions(finish(placed, "text", year))
+
+
+def _meaning(text: str) -> bool:
+    return len(text) >= 3 and re.search(r"[A-Za-z]{2,}", text) is not None
+
+
+_TAIL = re.compile(r"(?:\s*(?:-?\$?\d{1,3}(?:,\d{3})*\.\d{2}|\(\d{1,3}(?:,\d{3})*\.\d{2}\)))+\s*$")
+
+
+def _tidy(text: str) -> str:
+    return re.sub(r"(?i)\bEFT[I/]?ACH\b", "EFT/ACH", _TAIL.sub("", text).strip())
+
+
+def _strict(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of parse_scan() from its sorted events: (statement_id, line_no, event, section, date, body, amount, junk).
+
+    A row is open from its date until it has an amount and a meaningful text, and takes two more lines after that.
+    """
+    for statement, events in groupby(rows, key=itemgetter(0)):
+        opened = last = None  # [line_no, date, text, amount, section] and that with the lines it took
+        sections = None
+
+        def closed(row):
+            text = _tidy(row[2])
+            return [row[0], row[1], text, row[3], row[4], re.search(predicates.CHECK_NUMBER, text), 0] if row[3] is not None and _meaning(text) else None
 
-    Headings set the section, or end it; a date at a line's start holds until the next; lines without an amount wait
-    for the next amount line and precede its text. In check sections, a line of up to three checks gives one row each.
+        def out(row):
+            return statement, row[0], 0, row[1], row[2], row[3], row[5][1] if row[5] else None, row[4]  # noqa: B023
+
+        for _, line_no, event, section, date, body, amount, junk in events:
+            if event in ("heading", "checks"):
+                opened = None
+                if last and (event == "checks" or section != sections):
+                    yield out(last)
+                    last = None
+                sections = section
+                continue
+            if event == "dated":
+                opened = [line_no, date, body, amount, section] if date else None
+            elif amount is not None:
+                if opened is None or opened[3] is not None:
+                    continue
+                opened[3] = amount
+                opened[2] = opened[2] if junk or not body else f"{opened[2]} {body}".strip()
+            elif junk:
+                continue
+            elif opened is not None:
+                longer = f"{opened[2]} {body}".strip()
+                opened[2] = longer if len(longer) <= LONGEST else opened[2]
+            else:
+                if last is not None and last[6] < CONTINUATIONS:
+                    longer = _tidy(f"{last[2]} {body}".strip())
+                    if len(longer) <= LONGEST:
+                        last[2], last[6] = longer, last[6] + 1
+                continue
+            if opened is not None and (done := closed(opened)):
+                if last:
+                    yield out(last)
+                last, opened = done, None
+        if last:
+            yield out(last)
+
+
+def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
+    """Transactions of the lines of a scanned statement, strictly: what cannot be told from noise is left out.
+
+    Amounts are repaired, split dates fused and stray numbers spliced first. Nothing counts after the first ending
+    heading. Only a full date begins a row; check sections give a row for each date, number and amount of a line, and
+    nothing else; two lines that follow a row continue its text. Rows are to review, as finish() says.
     """
-    live = carry_sections(lines.withColumn("text", F.trim("text")).filter("text <> ''")).filter(F.col("heading").isNull() & ~F.col("suppressed"))
-    live = live.withColumn("triplets", F.regexp_count("text", F.lit(rf"{DATE_TOKEN}\s+\d{{3,6}}\s*\*?\s+{AMOUNT}")))
-    is_checks = (F.col("section") == "check") & (F.col("triplets") > 0)
-    checks = check_triplets(live.filter(is_checks)).join(live.filter(is_checks).select("statement_id", "line_no", "section"), ["statement_id", "line_no"])
-    checks = checks.select("statement_id", "line_no", "place", coerce.normal_date(F.col("date_text"), year).alias("date"), F.concat(F.lit("Check #"), "check_no").alias("description"), "amount", "check_no", "section")
-
-    rest = live.filter(~F.coalesce(is_checks, F.lit(False)) & ~predicates.is_skipped(F.col("text")))
-    lead = F.regexp_extract("text", rf"^{DATE_TOKEN}", 0)
-    rest = rest.withColumn("own", F.when(lead != "", coerce.normal_date(lead, year))).withColumn("body", F.when(F.col("own").isNotNull(), F.trim(F.substr("text", F.length(lead) + 1))).otherwise(F.col("text")))
-    rest = rest.withColumn("date", F.last("own", ignorenulls=True).over(up_to_here())).withColumn("values", coerce.amounts(F.col("body")))
-    paid = F.size("values") > 0
-    # A row's lines: from after the amount line above, or from the date line, to its own amount line.
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    island = F.coalesce(F.sum(paid.cast("int")).over(before), F.lit(0)) + F.sum(F.col("own").isNotNull().cast("int")).over(up_to_here())
-    useful = paid | F.col("section").isNotNull() | F.col("body").rlike(predicates.TRANSACTION_HINT)
-    parts = rest.withColumn("island", island).filter(useful).groupBy("statement_id", "island").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda s: s["body"]), " ").alias("all"),
-        F.max("line_no").alias("line_no"), F.max_by("date", "line_no").alias("date"), F.max_by("section", "line_no").alias("section"), F.max_by("values", "line_no").alias("values"),
+    whole = splice_orphan_numbers(fuse_split_dates(lines.withColumn("text", repair.fix_money(F.col("text")))))
+    live = carry_sections(whole)
+    live = until_terminator(live).filter(F.col("heading").isNotNull() | ~predicates.is_skipped(F.col("text"), F.col("heading")))
+    plain, in_checks = F.col("heading").isNull(), F.coalesce(F.col("section") == "check", F.lit(False))
+    listed = plain & in_checks & F.col("text").rlike(TRIPLET)
+    live = live.withColumn("__listed", listed).filter(F.col("heading").isNotNull() | listed | ~in_checks)
+    dated = F.col("text").rlike(FULL_DATE)
+    rest = F.when(dated, F.coalesce(F.regexp_extract("text", FULL_DATE, 2), F.lit(""))).otherwise(F.col("text"))
+    event = F.when(F.col("heading").isNotNull(), "heading").when(F.col("__listed"), "checks").when(dated, "dated").otherwise("line")
+    body = F.when((event == "line") & (F.size(coerce.amounts(rest)) == 0), rest).otherwise(_no_amounts(F.trim(rest)))
+    events = live.select(
+        "statement_id", F.col("line_no").cast("int").alias("line_no"), event.alias("event"), "section", F.when(event == "dated", coerce.normal_date(F.regexp_extract("text", FULL_DATE, 1), year)).alias("date"),
+        body.alias("body"), coerce.pick_amount(coerce.amounts(rest)).alias("amount"), predicates.is_ocr_junk(body).alias("junk"),
     )
-    amount = coerce.section_sign(coerce.pick_amount(F.col("values")), F.col("section"))
-    number = F.regexp_extract("all", r"(?i)\bcheck\s*#?\s*(\d{3,6})\b", 1)
-    rows = parts.filter(F.col("date").isNotNull() | F.col("section").isNotNull()).select("statement_id", "line_no", F.lit(0).alias("place"), "date", coerce.strip_amounts(F.col("all")).alias("description"), amount.alias("amount"), number.alias("check_no"), "section")
-    both = checks.withColumn("amount", coerce.section_sign(F.col("amount"), F.col("section"))).unionByName(rows)
-    return both.filter("amount is not null").filter(~predicates.is_balance_row(F.col("description"))).withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", "place"))).drop("line_no", "place")
+    rows = walked(events, ["statement_id"], ["line_no"], _strict, _ROW)
+    triplets = check_triplets(live.filter("__listed")).withColumn("date", coerce.normal_date(F.col("date_text"), year)).filter("date is not null")
+    checks = triplets.select("statement_id", F.col("line_no").cast("int").alias("line_no"), "place", "date", F.concat(F.lit("Check #"), "check_no").alias("description"), "amount", "check_no", F.lit("check").alias("section"))
+    both = rows.unionByName(checks).withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", "place"))).drop("line_no", "place")
+    return finish(both, "scan", year)
 
 
 def assemble_words(words: DataFrame, tolerance: float) -> DataFrame:
@@ -121,36 +406,83 @@ def assemble_words(words: DataFrame, tolerance: float) -> DataFrame:
     return words.filter("text <> ''").groupBy("page", height.alias("row")).agg(line.alias("text"))
 
 
+def header_columns(cells: Column) -> Column:
+    """Places (from 1) of date, text, amount and number that a header's cells name; null where none does.
+
+    A header of a number and an amount without a text: the last of the other cells is the text.
+    """
+    low = F.transform(cells, lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    place = lambda test: F.nullif(F.array_position(F.transform(low, test), True), F.lit(0)).cast("int")
+    d = place(lambda c: c.contains("date"))
+    t = place(lambda c: c.rlike("description|detail|memo|payee"))
+    c = place(lambda c: c.contains("check") & ~c.contains("date"))
+    a = place(lambda c: c.isin("amount", "debit", "credit", "withdrawal", "deposit") | c.contains("amount"))
+    other = F.filter(F.sequence(F.lit(1), F.size(cells)), lambda i: ~F.coalesce(i == d, F.lit(False)) & (i != c) & (i != a))
+    t = F.coalesce(t, F.when(c.isNotNull() & a.isNotNull(), F.try_element_at(other, F.lit(-1))))
+    return F.struct(d.alias("d"), t.alias("t"), a.alias("a"), c.alias("c"))
+
+
 def parse_tables(cells: DataFrame, year: Column) -> DataFrame:
-    """Transactions of table rows (statement_id, table_no, row_no, cells): columns by a header in the first eight rows,
-    else the first date, the first text and the last amount of a row."""
-    table = Window.partitionBy("statement_id", "table_no")
-    low = F.transform("cells", lambda c: F.lower(F.trim(c)))
-    place = lambda names: F.aggregate(F.sequence(F.size("cells"), F.lit(1), F.lit(-1)), F.lit(0), lambda acc, i: F.when(F.element_at(low, i).rlike(names), i).otherwise(acc))
-    marked = cells.withColumn("d", place("^date")).withColumn("t", place("desc|payee|detail")).withColumn("a", place("amount|debit|withdrawal")).withColumn("c", place("check"))
-    is_header = (F.col("row_no") < 8) & (F.col("d") > 0) & (F.col("a") > 0)
-    marked = marked.withColumn("__h", F.when(is_header, F.struct("row_no", "d", "t", "a", "c"))).withColumn("h", F.min("__h").over(table)).filter(F.col("__h").isNull())
-    at = lambda i: F.when(i > 0, F.trim(F.try_element_at("cells", i)))
-    dates, money = F.filter("cells", lambda c: c.rlike(rf"^\s*{DATE_TOKEN}")), F.filter("cells", lambda c: c.rlike(rf"^\s*{AMOUNT}\s*$"))
-    texts = F.filter("cells", lambda c: c.rlike("[A-Za-z]{2,}"))
-    out = marked.select(
-        "statement_id", "table_no", "row_no",
-        coerce.normal_date(F.coalesce(at(F.col("h.d")), F.try_element_at(dates, F.lit(1))), year).alias("date"),
-        F.coalesce(at(F.col("h.t")), F.try_element_at(texts, F.lit(1)), F.lit("")).alias("description"),
-        F.try_element_at(coerce.amounts(F.coalesce(at(F.col("h.a")), F.try_element_at(money, F.lit(-1)), F.lit(""))), F.lit(1)).alias("amount"),
-        coerce.check_number(at(F.col("h.c"))).alias("check_no"),
-    )
-    return out.filter(F.col("amount").isNotNull() & F.col("date").isNotNull() & ~predicates.is_balance_row(F.col("description")))
+    """Transactions of table rows (statement_id, table_no, row_no, cells), as finish() gives them.
+
+    Rows that are headings set the section of a table, or end it. A header's places hold from it on until the next
+    heading; the first header after a heading also holds for up to seven rows before it. Other rows are read by position.
+    """
+    table = Window.partitionBy("statement_id", "table_no").orderBy("row_no")
+    clean = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    rows = cells.withColumn("cells", clean).withColumn("__n", F.count("*").over(Window.partitionBy("statement_id", "table_no"))).filter("__n > 1").filter(F.size("cells") > 0)
+    rows = rows.withColumn("__joined", F.array_join("cells", " "))
+    rows = rows.withColumn("heading", predicates.section_of(F.col("__joined"))).withColumn("section", F.last("heading", ignorenulls=True).over(table))
+    rows = rows.withColumn("__run", F.count("heading").over(table)).filter(F.col("heading").isNull() & (F.coalesce(F.col("section"), F.lit("")) != "end"))
+    low = F.lower("__joined")
+    header, named = predicates.is_column_header(F.col("__joined")), low.contains("date") & low.rlike("amount|debit|credit|check|description")
+    rows = rows.withColumn("__header", header).withColumn("__places", F.when(header | named, header_columns(F.col("cells"))))
+    run = Window.partitionBy("statement_id", "table_no", "__run")
+    first = F.min(F.when(named, F.struct("row_no", "__places"))).over(run)
+    latest = F.last(F.when(F.col("__header"), F.col("__places")), ignorenulls=True).over(run.orderBy("row_no"))
+    rows = rows.withColumn("__first", first).withColumn("__latest", latest)
+    places = F.coalesce("__latest", F.when(F.col("row_no") >= F.col("__first.row_no") - 7, F.col("__first.__places")))
+    rows = rows.withColumn("__places", places).filter("not __header")
+    made = rows.withColumn("__r", cells_row(F.col("cells"), F.col("section"), year, F.col("__places"))).filter("__r is not null")
+    placed = made.select("statement_id", "table_no", "row_no", "__r.*", "section")
+    return finish(placed.withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("table_no", "row_no"))), "text", year)
+
+
+def choose(fast: DataFrame, scanned: DataFrame, least: int = FEW_ROWS) -> DataFrame:
+    """Rows of text and tables (fast); with those of the scan for statements that have fewer than `least` of them.
+
+    Equal rows are kept once, the first by ord, those of the scan after the others; balances and totals are dropped.
+    """
+    plain_unions(fast.sparkSession)
+    clean = lambda rows: dedupe_transactions(rows).filter(~predicates.is_balance_row(F.col("description")))
+    columns = [c for c in fast.columns if c in scanned.columns]
+    fast, scanned = clean(fast).select(columns), clean(scanned).select(columns)
+    full = fast.groupBy("statement_id").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select("statement_id")
+    last = fast.groupBy("statement_id").agg(F.max("ord").alias("__last"))
+    more = scanned.join(full, "statement_id", "left_anti").join(last, "statement_id", "left")
+    more = more.withColumn("ord", (F.col("ord") + F.coalesce("__last", F.lit(0))).cast(fast.schema["ord"].dataType)).drop("__last")
+    return clean(fast.unionByName(more))
 
 
 def review(rows: DataFrame) -> DataFrame:
-    """Rows checked: bad date, amount or check number and the month repaired; any fault asks for review and lowers High."""
-    day = coerce.parse_date(F.col("date"))
+    """Rows checked: a bad or missing date or amount, a number that is none, a bad month or confidence.
+
+    Any fault asks for review, is added to the reasons, and lowers High to Medium; a bad month is taken from the date.
+    """
+    date, number, month = coerce.blank(F.col("date")), coerce.blank(F.col("check_no")), coerce.blank(F.col("year_month"))
+    confidence, amount = coerce.blank(F.col("confidence")), coerce.blank(F.col("amount"))
+    bad_month, no_number = (month != "") & ~month.rlike(r"^\d{4}-\d{2}$"), F.translate(amount, ",", "").try_cast("double").isNull()
     faults = F.array_compact(F.array(
-        F.when(day.isNull(), "Invalid date"), F.when(F.col("amount").isNull(), "Invalid amount"), F.when(~coerce.blank(F.col("check_no")).rlike(r"^\d*$"), "Non-numeric check number"),
+        F.when(date == "", "Missing date").when(~date.rlike(r"^\d{4}-\d{2}-\d{2}$"), "Date format uncertain"),
+        F.when(amount == "", "Missing amount").when(no_number, F.concat(F.lit("Invalid SignedAmount: "), amount)),
+        F.when((number != "") & ~number.rlike(r"^\d+$"), F.concat(F.lit("Check# may need review: "), number)),
+        F.when(bad_month & (F.length(date) < 7), "YearMonth adjusted"),
+        F.when(~confidence.isin("High", "Medium", "Low", ""), "Invalid Confidence corrected"),
     ))
-    out = rows.withColumn("year_month", F.coalesce(F.date_format(day, "yyyy-MM"), F.nullif(coerce.blank(F.col("year_month")), F.lit(""))))
-    out = out.withColumn("confidence", F.when(F.col("confidence").isin("High", "Medium", "Low"), F.col("confidence")).otherwise("Medium"))
-    reason = F.array_join(F.filter(F.concat(F.array(coerce.blank(F.col("review_reason"))), faults), lambda r: r != ""), "; ")
     bad = F.size(faults) > 0
-    return out.select(*[c for c in out.columns if c not in ("confidence", "needs_review", "review_reason")], F.when(bad & (F.col("confidence") == "High"), "Medium").otherwise(F.col("confidence")).alias("confidence"), F.when(bad, "Yes").otherwise(F.col("needs_review")).alias("needs_review"), reason.alias("review_reason"))
+    known = F.when(confidence.isin("High", "Medium", "Low", ""), confidence).otherwise("Medium")
+    reasons = F.concat(F.filter(F.array(coerce.blank(F.col("review_reason"))), lambda r: r != ""), faults)
+    return rows.withColumns({
+        "year_month": F.when(bad_month & (F.length(date) >= 7), F.substring(date, 1, 7)).otherwise(month), "confidence": F.when(bad & (known == "High"), "Medium").otherwise(known),
+        "needs_review": F.when(bad, "Yes").otherwise(F.col("needs_review")), "review_reason": F.array_join(reasons, "; "),
+    })

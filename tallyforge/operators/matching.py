@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.coerce import check_number
+from ..functions.coerce import blank, cents, check_number
 from ..functions.predicates import is_clean_payee
+from .sequence import walked
 
-# The least ratio that matches by name, and the ratio below which a payee is replaced.
+# The least ratio that matches by name, the ratio below which a payee is replaced, and outdated notes.
 LEAST_RATIO, SAME_NAME = 0.60, 0.85
+STALE_STARTS, STALE = ("OCR fallback path", "OCR fallback \u2014"), ("Missing payee", "Missing date")
 
 
 def sequence_ratio(a: str | None, b: str | None) -> float:
@@ -26,42 +32,113 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
+class _Free:
+    """Transactions that no crop has taken yet, in order, under their numbers, amounts and descriptions."""
+
+    def __init__(self):
+        self.numbers, self.sizes, self.names = defaultdict(deque), defaultdict(deque), {}
+        self.taken: set[int] = set()
+
+    def add(self, ord_: int, number: str, size: int | None, name: str) -> None:
+        if number:
+            self.numbers[number].append(ord_)
+        if size is not None:
+            self.sizes[size].append(ord_)
+        if name:
+            if name not in self.names:  # the matcher prepares its second text once
+                self.names[name] = (SequenceMatcher(None, "", name.lower()), deque())
+            self.names[name][1].append(ord_)
+
+    def first(self, line: deque | None) -> int | None:
+        while line and line[0] in self.taken:
+            line.popleft()
+        return line[0] if line else None
+
+    def by_size(self, size: int) -> int | None:
+        found = [f for c in (size - 1, size, size + 1) if (f := self.first(self.sizes.get(c))) is not None]
+        return min(found, default=None)
+
+    def by_name(self, payee: str) -> tuple[int | None, float]:
+        """The first of the most alike; texts are compared in full only if their lengths and letters allow more."""
+        best, at = 0.0, None
+        for name, (matcher, line) in list(self.names.items()):
+            ord_ = self.first(line)
+            if ord_ is None:
+                del self.names[name]
+                continue
+            least = max(best, LEAST_RATIO)
+            matcher.set_seq1(payee.lower())
+            if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
+                continue
+            alike = matcher.ratio()
+            if alike > best or (alike == best and at is not None and ord_ < at):
+                best, at = alike, ord_
+        return (at, best) if best >= LEAST_RATIO else (None, best)
+
+
 def match_checks(transactions: DataFrame, crops: DataFrame) -> DataFrame:
-    """statement_id, crop_ord, ord, tier (check_number, amount, name) of matched crops; each transaction serves one.
+    """statement_id, crop_ord, ord, tier (check_number, amount, name) and alike of matched crops; each transaction serves one.
 
-    Statements are groups of their own, so a task holds one statement at a time.
+    By number, then by amounts within a cent, then by the crop's payee and the transaction's description. A statement's
+    transactions come before its crops, so a crop costs a few looks, and comparisons with different descriptions only
+    if it has neither number nor amount in common.
     """
-    kind = "statement_id string, crop_ord long, ord long, tier string"
-
-    def cents(amount: float) -> int | None:
-        return None if pd.isna(amount) else round(abs(amount) * 100)
-
-    def match(key, txns: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        free, out = {r.ord: r for r in txns.sort_values("ord").itertuples()}, []  # in order
-        for c in found.sort_values("ord").itertuples():
-            tier, hit = "check_number", next((r for r in free.values() if c.number and r.number == c.number), None)
-            if hit is None and (size := cents(c.amount)) is not None:
-                tier, hit = "amount", next((r for r in free.values() if (other := cents(r.amount)) is not None and abs(other - size) <= 1), None)
-            if hit is None and c.payee and free:
-                scores = [(max(sequence_ratio(c.payee, r.payee), sequence_ratio(c.payee, r.description)), -i, r) for i, r in enumerate(free.values())]
-                best = max(scores, key=lambda s: s[:2])
-                tier, hit = "name", best[2] if best[0] >= LEAST_RATIO else None
-            if hit is not None:
-                del free[hit.ord]
-                out.append((key[0], c.ord, hit.ord, tier))
-        return pd.DataFrame(out, columns=["statement_id", "crop_ord", "ord", "tier"])
-
-    side = lambda df: df.select("statement_id", F.col("ord").cast("long"), "amount", "payee", *(["description"] if "description" in df.columns else []), check_number(F.col("check_no")).alias("number"))
-    return side(transactions).groupBy("statement_id").cogroup(side(crops).groupBy("statement_id")).applyInPandas(match, kind)
+
+    def match(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for statement, group in groupby(rows, key=itemgetter(0)):
+            free = _Free()
+            for _, is_crop, ord_, number, size, name in group:
+                if not is_crop:
+                    free.add(ord_, number, size, name)
+                    continue
+                tier, hit, alike = "check_number", free.first(free.numbers.get(number)) if number else None, None
+                if hit is None and size is not None:
+                    tier, hit = "amount", free.by_size(size)
+                if hit is None and name:
+                    tier, (hit, alike) = "name", free.by_name(name)
+                if hit is not None:
+                    free.taken.add(hit)
+                    yield statement, ord_, hit, tier, alike
+
+    def side(df: DataFrame, is_crop: int, name: str) -> DataFrame:
+        text = blank(F.col(name)) if name in df.columns else F.lit("")
+        return df.select("statement_id", F.lit(is_crop).alias("is_crop"), F.col("ord").cast("long").alias("ord"), check_number(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), text.alias("name"))
+
+    both = side(transactions, 0, "description").unionByName(side(crops, 1, "payee"))
+    return walked(both, ["statement_id"], ["is_crop", "ord"], match, "statement_id string, crop_ord long, ord long, tier string, alike double")
 
 
 def apply_matches(transactions: DataFrame, crops: DataFrame, matches: DataFrame) -> DataFrame:
-    """Transactions with the payees of their crops: swapped if clean and the old one is blank, uncategorised or unlike."""
-    names = crops.select("statement_id", F.col("ord").alias("crop_ord"), F.col("payee").alias("__new"))
-    linked = transactions.join(matches.drop("tier").join(names, ["statement_id", "crop_ord"]), ["statement_id", "ord"], "left")
-    unlike = (F.lower(F.trim(F.coalesce("payee", F.lit("")))).isin("", "uncategorized")) | (ratio("payee", "__new") < SAME_NAME)
-    swap = F.col("__new").isNotNull() & is_clean_payee(F.col("__new")) & unlike
-    hit, high = F.col("crop_ord").isNotNull(), F.col("confidence") == "High"
-    confidence = F.when(swap, "High").when(hit & ~high, "Low").otherwise(F.col("confidence"))
-    review = F.when(swap, "No").when(hit & ~high, "Yes").otherwise(F.col("needs_review"))
-    return linked.select(*[c for c in transactions.columns if c not in ("payee", "confidence", "needs_review")], F.when(swap, F.col("__new")).otherwise(F.col("payee")).alias("payee"), confidence.alias("confidence"), review.alias("needs_review"), F.col("crop_ord").alias("linked_check_id"))
+    """Transactions with the payees of their crops: swapped if clean and the old one is blank, uncategorised or unlike.
+
+    Swapped rows are High and need no review; other matched ones are Low, unless High already, and do. review_reason
+    says how a row was matched, and loses notes that are outdated by that.
+    """
+    names = crops.select("statement_id", F.col("ord").alias("crop_ord"), blank(F.col("payee")).alias("__new"), check_number(F.col("check_no")).alias("__no"), F.abs("amount").alias("__size"))
+    linked = transactions.join(matches.join(names, ["statement_id", "crop_ord"]), ["statement_id", "ord"], "left")
+    unlike = F.lower(blank(F.col("payee"))).isin("", "uncategorized") | (ratio("payee", "__new") < SAME_NAME)
+    swap = F.coalesce(F.col("__new").isNotNull() & is_clean_payee(F.col("__new")) & unlike, F.lit(False))
+    hit, high = F.col("crop_ord").isNotNull(), F.lower(blank(F.col("confidence"))) == "high"
+    by = (
+        F.when(F.col("tier") == "check_number", F.concat(F.lit("check# "), "__no"))
+        .when(F.col("tier") == "amount", F.concat(F.lit("amount $"), F.format_string("%.2f", "__size")))
+        .otherwise(F.concat(F.lit("fuzzy desc match ("), F.format_string("%.2f", "alike"), F.lit(")")))
+    )
+    note = F.when(swap, F.concat(F.lit("Payee from check image ("), by, F.lit(")"))).when(hit, F.concat(F.lit("Linked via "), by, F.lit(" (no clean payee from image)")))
+    old = F.filter(F.transform(F.split(blank(F.col("review_reason")) if "review_reason" in transactions.columns else F.lit(""), ";"), lambda n: F.trim(n)), lambda n: n != "")
+    for start in STALE_STARTS:
+        old = _not_starting(old, start)
+    old = F.filter(old, lambda n: ~n.isin(*STALE))
+    columns = {
+        "payee": F.when(swap, F.col("__new")).otherwise(F.col("payee")),
+        "confidence": F.when(swap, "High").when(hit & ~high, "Low").otherwise(F.col("confidence")),
+        "needs_review": F.when(swap, "No").when(hit & ~high, "Yes").otherwise(F.col("needs_review")),
+        "linked_check_id": F.col("crop_ord"),
+    }
+    if "review_reason" in transactions.columns:
+        columns["review_reason"] = F.when(hit, F.array_join(F.concat(old, F.array(note)), "; ")).otherwise(F.col("review_reason"))
+    return linked.select(*[c for c in transactions.columns if c not in columns], *[v.alias(k) for k, v in columns.items()])
+
+
+def _not_starting(notes, start: str):
+    return F.filter(notes, lambda n: ~n.startswith(start))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def update(master: DataFrame, edits: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """master with the non-null cells of edits, and the edits of unknown keys. One edit a key."""
+    """master with the non-null cells of edits, and the edits of null or unknown keys, with `reason`. One edit a key."""
     names = [c for c in edits.columns if c != key]
     joined = master.join(edits.select(key, *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
     merged = joined.select([F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in master.columns])
-    return merged, edits.join(master, key, "left_anti")
+    lost = edits.join(master, key, "left_anti")
+    return merged, lost.withColumn("reason", F.when(F.col(key).isNull(), "invalid id").otherwise("unknown id"))
 
 
 def upsert(master: DataFrame, rows: DataFrame, keys: list[str], revive: str | None = None) -> DataFrame:
@@ -49,3 +50,35 @@ def upsert_rules(rules: DataFrame, rows: DataFrame, day: str) -> DataFrame:
     merged = upsert(keyed(rules), keyed(rows), ["pattern", "__client"])
     stamp = F.when(F.col("change") == "kept", F.col("last_used")).otherwise(F.lit(day))
     return merged.withColumn("last_used", stamp).drop("__client")
+
+
+def counts(merged: DataFrame) -> DataFrame:
+    """One row: created and updated rows of an upsert()."""
+    return merged.agg(F.count_if(F.col("change") == "created").alias("created"), F.count_if(F.col("change") == "updated").alias("updated"))
+
+
+def upsert_clients(clients: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clients, counts, business_name to client_id): clients by name, revived if they were deleted; new ones take the next ids.
+
+    New ids follow the largest one, in order of names: only the new rows are numbered.
+    """
+    merged = upsert(clients, rows, ["business_name"], revive="is_deleted")
+    top = merged.agg(F.coalesce(F.max("client_id"), F.lit(0)).alias("top")).first()["top"]
+    order = F.row_number().over(Window.orderBy("business_name"))
+    new = merged.filter("client_id is null").withColumn("client_id", (order + F.lit(top)).cast(clients.schema["client_id"].dataType)).withColumn("is_deleted", F.lit(False))
+    out = merged.filter("client_id is not null").unionByName(new)
+    return out, counts(out), out.select("business_name", "client_id")
+
+
+def upsert_requests(requests: DataFrame, rows: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, skipped): rows by request_id for known clients; others are skipped with a reason: invalid id or unknown client."""
+    known = rows.join(clients.select("business_name", "client_id"), "business_name", "left")
+    reason = F.when(F.col("request_id").isNull(), "invalid request id").when(F.col("client_id").isNull(), "unknown client")
+    judged = known.withColumn("reason", reason)
+    merged = upsert(requests, judged.filter("reason is null").drop("reason", "business_name"), ["request_id"])
+    return merged, judged.filter("reason is not null").select("request_id", "business_name", "reason")
+
+
+def stamped(rows: DataFrame, actor: str, at) -> DataFrame:
+    """rows with updated_by and updated_at; who and when are arguments, as the present is everywhere."""
+    return rows.withColumn("updated_by", F.lit(actor.strip() or "system")).withColumn("updated_at", at)

@@ -55,6 +55,29 @@ def apply_filters(requests: DataFrame, filters: Filters, as_of: Column) -> DataF
     return requests
 
 
+# Statuses of requests, types that are always offered, and industries.
+STATUSES, MORE_TYPES, ANY_INDUSTRY = ("Pending", "Received", "Invoiced", "Paid"), ("Payroll", "Tax prep"), "All"
+# Bounds of due dates where no request has one.
+FIRST_DUE, LAST_DUE = "2025-10-01", "2026-06-10"
+
+
+def is_default(filters: Filters, requests: DataFrame, industry: str | None = None) -> bool:
+    """Whether the filters show all: no preset or industry, all statuses and types, and the whole range of due dates.
+
+    Types are those of the requests and MORE_TYPES; requests are looked at once.
+    """
+    if filters.preset or industry not in (None, ANY_INDUSTRY) or set(filters.statuses) != set(STATUSES):
+        return False
+    due = F.col("due_date").cast("date")
+    seen = requests.agg(F.min(due).cast("string").alias("first"), F.max(due).cast("string").alias("last"), F.collect_set("request_type").alias("types")).first()
+    return set(filters.types) == {*seen["types"], *MORE_TYPES} and (filters.start, filters.end) == (seen["first"] or FIRST_DUE, seen["last"] or LAST_DUE)
+
+
+def open_for(requests: DataFrame, client: str, flag: str) -> DataFrame:
+    """Open requests of a client whose flag is not set."""
+    return requests.filter((F.col("business_name") == client) & F.col("status").isin(*OPEN) & ~F.coalesce(flag, F.lit(False)))
+
+
 def search(rows: DataFrame, term: str, *columns: str, literal: bool = False) -> DataFrame:
     """Rows in which any column holds the term, in either case; a regular expression unless literal."""
     pattern = "(?i)" + (rf"\Q{term}\E" if literal else term)

@@ -86,10 +86,10 @@ def golden_difference(found: DataFrame, golden: DataFrame, keys: list[str]) -> D
 
 
 def payee_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: shared keys, changed payees, and payees filled where there was none."""
+    """One row: shared keys, changed payees, and payees filled where there was none or an uncategorised one."""
     joined = before.select(*keys, F.col("payee").alias("__old")).join(after.select(*keys, F.col("payee").alias("__new")), keys)
     old, new = blank(F.col("__old")), blank(F.col("__new"))
-    return joined.agg(F.count("*").alias("shared"), F.count_if(old != new).alias("changed"), F.count_if((old == "") & (new != "")).alias("filled"))
+    return joined.agg(F.count("*").alias("shared"), F.count_if(old != new).alias("changed"), F.count_if(F.lower(old).isin("", "uncategorized") & (new != "")).alias("filled"))
 
 
 def run_difference(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -114,3 +114,45 @@ def review_sample(rows: DataFrame, forced: list[str], limit: int) -> DataFrame:
     """Forced ids first, then the highest priority of the others, ids breaking ties; blank payees do not take part."""
     named = rows.filter(blank(F.col("payee")) != "")
     return named.orderBy((~F.col("crop_id").isin(forced)).cast("int"), F.desc("priority"), "crop_id").limit(limit)
+
+
+def by_confidence(rows: DataFrame, level: str = "High") -> DataFrame:
+    """All rows for High, Show All or a blank level; for others, those whose confidence is neither High nor blank."""
+    return rows if level in ("High", "Show All", "") else rows.filter(~blank(F.col("confidence")).isin("High", ""))
+
+
+def reference_totals(reported: DataFrame, summary: DataFrame, key: str = "statement_id") -> DataFrame:
+    """Totals to reconcile with: the reported line where there is one, else the statement's summary.
+
+    A summary's count of withdrawals stands for checks, and it has no count of transactions. Statements with neither have no row.
+    """
+    fields = ["deposits", "withdrawals", "checks", "transactions"]
+    r = reported.select(key, F.struct(*fields).alias("r")).filter(F.coalesce(*[F.col(f"r.{f}").cast("string") for f in fields]).isNotNull())
+    given = summary.select(key, F.struct("deposits", "withdrawals", F.col("withdrawals_count").cast("int").alias("checks"), F.lit(None).cast("int").alias("transactions")).alias("s"))
+    given = given.filter(F.coalesce(*[F.col(f"s.{f}").cast("string") for f in fields[:3]]).isNotNull())
+    both = r.join(given, key, "full")
+    return both.select(key, *[F.when(F.col("r").isNotNull(), F.col(f"r.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in fields])
+
+
+def kinds(rows: DataFrame) -> DataFrame:
+    """kind (check, deposit, ach_credit, debit, other) and n: a row with a number is a check, a regular deposit a deposit."""
+    kind = (
+        F.when(blank(F.col("check_no")) != "", "check")
+        .when(F.lower(F.coalesce("description", F.lit(""))).startswith("regular deposit"), "deposit")
+        .when(F.col("amount") > 0, "ach_credit")
+        .when(F.col("amount") < 0, "debit")
+        .otherwise("other")
+    )
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def run_summary(rows: DataFrame, crops: DataFrame) -> DataFrame:
+    """One row: transactions, check_rows, linked_check_rows and cropped_checks of a run."""
+    check = blank(F.col("check_no")) != ""
+    found = rows.agg(F.count("*").alias("transactions"), F.count_if(check).alias("check_rows"), F.count_if(check & F.col("linked_check_id").isNotNull()).alias("linked_check_rows"))
+    return found.crossJoin(crops.agg(F.count("*").alias("cropped_checks")))  # one row each
+
+
+def row_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, for a health report."""
+    return {name: df.count() for name, df in tables.items()}

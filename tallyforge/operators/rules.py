@@ -1,15 +1,16 @@
-"""Payee and category rules: compiled to expressions where a task knows few, joined where there are many."""
+"""Payee and category rules, compiled to one expression each, and check rules, which are joined."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules up to which the engine compiles them into one expression.
-COMPILED = 200
+
+#: Check rules that a lookup takes at most.
+RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -68,16 +69,21 @@ def best_check_rule(checks: DataFrame, rules: DataFrame, key: list[str]) -> Data
     """The longest, then first, check rule whose pattern the text holds; its client must be part of the check's client,
     and banks must agree if both are known. checks: key, text, client, bank; rules: pattern, payee, client_override, bank, ord.
 
-    A rule table of any size meets the rows in a theta join, which Spark broadcasts only if it is small.
+    Plain patterns are parts of a text, so no equal keys bring the two together: each distinct text meets the rules
+    once, in a nested loop over a broadcast rule table of at most RULES rows; a larger table is refused.
     """
+    if rules.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"more than {RULES} check rules")
+    every = checks.select("text", "client", "bank").distinct()
     r = rules.select(F.col("pattern").alias("__pattern"), "payee", F.col("client_override").alias("__client"), F.col("bank").alias("__bank"), F.col("ord").alias("__ord"))
     whole = F.col("__pattern").startswith("re:")
     test = F.when(whole, F.expr("text rlike concat('(?i)', substr(__pattern, 4))")).otherwise(F.lower("text").contains(F.lower("__pattern")))
     client = (F.coalesce("__client", F.lit("")) == "") | F.lower("client").contains(F.lower("__client"))
     bank = (F.coalesce("__bank", F.lit("")) == "") | (F.coalesce("bank", F.lit("")) == "") | (F.col("bank") == F.col("__bank"))
-    hits = checks.join(r, test & client & bank)
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.length("__pattern")), "__ord"))
-    return hits.withColumn("__n", first).filter("__n = 1").select(*checks.columns, "payee", F.col("__pattern").alias("pattern"))
+    hits = every.join(F.broadcast(r), test & client & bank)
+    best = hits.groupBy("text", "client", "bank").agg(F.max_by(F.struct("payee", F.col("__pattern").alias("pattern")), F.struct(F.length("__pattern"), -F.col("__ord"))).alias("__best"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("text", "client", "bank")]
+    return checks.alias("c").join(best.alias("h"), same).select("c.*", "h.__best.payee", "h.__best.pattern")
 
 
 def library(rules: DataFrame, sort: str = "recent", scope: str | None = None, limit: int = 25) -> DataFrame:
@@ -97,3 +103,46 @@ def touch(rules: DataFrame, fired: DataFrame, day: str) -> DataFrame:
     """last_used set to the day on rules whose pattern is in fired."""
     marked = rules.join(fired.select("pattern").distinct().withColumn("__hit", F.lit(True)), "pattern", "left")
     return marked.withColumn("last_used", F.when(F.col("__hit"), F.lit(day)).otherwise(F.col("last_used"))).select(rules.columns)
+
+
+def fired(rows: DataFrame, rules: list[Rule], client: str = "") -> tuple[DataFrame, int, int]:
+    """(patterns that matched, rows_changed, rules_used): rows that any rule with a payee or category matches, and
+    different patterns among those. One pass; each rule is counted in a column of its own.
+    """
+    text = F.coalesce(F.col("description"), F.lit(""))
+    mine = [r for r in in_order(rules, client) if r.clean_payee.strip() or r.suggested_category.strip()]
+    tests = [matches(r.pattern, text) for r in mine]
+    hit = F.lit(False)
+    for t in tests:
+        hit = hit | t
+    row = rows.agg(F.count_if(hit), *[F.max(t) for t in tests]).first()
+    used = sorted({r.pattern for r, on in zip(mine, row[1:], strict=True) if on})
+    spark = rows.sparkSession
+    return spark.createDataFrame([(p,) for p in used], "pattern string"), row[0], len(used)
+
+
+def match_count(rows: DataFrame, pattern: str) -> int:
+    """Rows whose description the pattern matches; none of a blank one."""
+    return rows.filter(matches(pattern, F.coalesce("description", F.lit("")))).count() if pattern.strip() else 0
+
+
+def bootstrap(rules: DataFrame | None, seed: DataFrame) -> DataFrame:
+    """The rules with a pattern, or the seed where there are none."""
+    if rules is None:
+        return seed
+    kept = rules.filter(F.trim(F.coalesce("pattern", F.lit(""))) != "")
+    return seed if kept.isEmpty() else kept
+
+
+def post_process(rows: DataFrame, rules: DataFrame | None, seed: DataFrame, client: str = "", day: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ledger, rules): payees and categories by the rules, or the seed's where there are none; with a day, the rules that
+    matched carry it. Rule tables are small: they come to the driver to be compiled, at most RULES of them.
+    """
+    known = bootstrap(rules, seed)
+    listed = known.limit(RULES + 1).collect()
+    if len(listed) > RULES:
+        raise ValueError(f"more than {RULES} rules")
+    text = lambda r, c: (r[c] if c in known.columns else "") or ""
+    compiled = [Rule(r["pattern"], text(r, "clean_payee"), text(r, "suggested_category"), text(r, "client_override"), i) for i, r in enumerate(listed)]
+    out = apply_rules(rows, compiled, client)
+    return out, known if day is None else touch(known, fired(rows, compiled, client)[0], day)

@@ -306,7 +306,15 @@ def amount_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.element_at(values, 1), F.lit(0.0)).alias("first_amount"), F.size(values).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) < 40 OR len(string_split_regex(trim(text), '\\s+')) < 8 THEN 'blank' WHEN len(string_split_regex(trim(text), '\\s+')) < 20 THEN 'low_information' ELSE 'keep' END AS kind FROM documents")
+_PAGES = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g') AS t FROM documents),
+    k AS (SELECT doc_id, t, len(regexp_extract_all(t, '\\b\\d{1,2}[/-]\\d{1,2}(?:[/-]\\d{2,4})?\\b.*\\d{1,3}(?:,\\d{3})*\\.\\d{2}')) AS rows, len(string_split_regex(t, '\\s+')) AS words,
+    contains(lower(t), 'reconciliation')::INT + contains(lower(t), 'daily balance')::INT + contains(lower(t), 'account summary')::INT + contains(lower(t), 'beginning balance')::INT + contains(lower(t), 'ending balance')::INT + contains(lower(t), 'total deposits')::INT + contains(lower(t), 'total withdrawals')::INT + contains(lower(t), 'deposits and credits')::INT + contains(lower(t), 'withdrawals and debits')::INT + contains(lower(t), 'statement period')::INT + contains(lower(t), 'account number')::INT AS hits,
+    len(regexp_extract_all(lower(t), 'beginning|ending.*balance')) AS balances FROM d)
+    SELECT doc_id, CASE WHEN length(t) < 40 OR words < 8 THEN 'blank' WHEN (hits >= 2 AND rows <= 2) OR (balances >= 2 AND rows <= 1) THEN CASE WHEN rows < 1 THEN 'reconciliation' ELSE 'keep' END
+    WHEN rows < 1 AND length(t) < 80 THEN 'low_information' ELSE 'keep' END AS kind FROM k"""
+
+
+@query(_PAGES)
 def page_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", predicates.page_kind(F.col("text")).alias("kind"))
 
@@ -347,14 +355,14 @@ def json_flatten(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 90 THEN 'High' WHEN value >= 75 THEN 'Medium' ELSE 'Low' END AS label FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 'Medium' WHEN value >= 90 THEN 'High' WHEN value >= 75 THEN 'Medium' ELSE 'Low' END AS label FROM events")
 def confidence_labels(spark, sf):
-    return table(spark, sf, "events").filter("value is not null").select("event_id", coerce.confidence_label(F.col("value") / 100).alias("label"))
+    return table(spark, sf, "events").select("event_id", coerce.confidence_label(F.col("value") / 100).alias("label"))
 
 
-@query("SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || ' days ago' WHEN n < 30 THEN (n // 7) || CASE WHEN n // 7 = 1 THEN ' week ago' ELSE ' weeks ago' END ELSE (n // 30) || CASE WHEN n // 30 = 1 THEN ' month ago' ELSE ' months ago' END END AS phrase FROM (SELECT o_orderkey, DATE '2000-06-15' - CAST(o_orderdate AS DATE) AS n FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || ' days ago' WHEN n < 30 THEN (n // 7) || CASE WHEN n // 7 = 1 THEN ' week ago' ELSE ' weeks ago' END WHEN n < 365 THEN (n // 30) || CASE WHEN n // 30 = 1 THEN ' month ago' ELSE ' months ago' END ELSE day END AS phrase FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, DATE '2000-06-15' - CAST(o_orderdate AS DATE) AS n FROM orders)")
 def relative_dates(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", coerce.relative_phrase(F.col("o_orderdate").cast("date"), F.lit(AS_OF[:10]).cast("date")).alias("phrase"))
+    return table(spark, sf, "orders").select("o_orderkey", coerce.relative_phrase(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF[:10]).cast("date")).alias("phrase"))
 
 
 @query(_ALL + "SELECT count(*) AS shared, count(*) FILTER (WHERE category <> '') - count(*) FILTER (WHERE description LIKE '%error%') AS changed, count(*) FILTER (WHERE payee <> '') AS filled FROM (" + _RULED + ")")

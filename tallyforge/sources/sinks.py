@@ -67,3 +67,23 @@ def evidence_lines(records: DataFrame) -> DataFrame:
     """Log lines of records (pdf and fields), with runs of nine digits and more masked."""
     fields = F.to_json(F.struct(*[c for c in records.columns if c != "pdf"]))
     return records.select(redact_digits(F.concat(F.lit('SMOKE_EVIDENCE pdf="'), "pdf", F.lit('" json='), fields)).alias("value"))
+
+
+def write_evidence(records: DataFrame, path: str) -> None:
+    """The fields of records (with pdf) as JSON beside the log, masked as the log's lines are."""
+    masked = [redact_digits(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in records.dtypes]
+    records.select(masked).write.mode("append").json(path)
+
+
+def export_run(rows: DataFrame, path: str) -> None:
+    """A run's ledger, and its rows with a check number alone, as two CSVs with the linked check."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in [*LEDGER[:-1], "linked_check_id"]]
+    out = rows.select(columns)
+    export_csv(out, f"{path}/transactions_all")
+    export_csv(out.filter(F.trim("`Check#`") != ""), f"{path}/transactions_checks")
+
+
+def export_deposits(crops: DataFrame, path: str) -> None:
+    """Deposit slips (crop_id, page, class, text) as JSON, beside a run's ledger."""
+    slips = crops.filter(F.col("class") == "deposit_slip")
+    slips.select("crop_id", "page", F.col("class").alias("predicted_class"), F.col("text").alias("raw_text"), F.lit(None).cast("long").alias("matched_transaction_index")).write.mode("overwrite").option("ignoreNullFields", False).json(path)

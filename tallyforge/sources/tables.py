@@ -17,7 +17,6 @@ from ..functions.predicates import in_bucket
 LEDGER = ["Date", "Description", "Payee", "Amount", "SignedAmount", "Check#", "Category", "SubCategory", "YearMonth", "Confidence", "NeedsReview", "ReviewReason", "Source"]
 RULES = ["pattern", "clean_payee", "suggested_category", "client_override", "notes", "last_used"]
 REQUESTS = ["request_id", "business_name", "request_type", "period", "status", "amount_due", "due_date", "received_date", "notes", "bank_statement_received", "sales_report_received"]
-INDUSTRIES = {"Restaurant": ["GRILL", "CAFE", "BAR", "PIZZA", "DINER", "KITCHEN"], "Construction": ["CONSTRUCTION", "ROOFING", "BUILDERS"], "Automotive": ["AUTO", "TIRE", "MOTORS"], "Health": ["DENTAL", "CLINIC", "MEDICAL"], "Retail": ["STORE", "MARKET", "SHOP"]}
 
 
 def _with(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,7 +36,7 @@ def clients_csv(spark: SparkSession, path: str) -> DataFrame:
     """Clients with a name, and the industry that their name tells."""
     raw = _text_csv(spark, path, ["business_name", "ein", "entity_type", "city_state_zip"])
     named = raw.filter(blank(F.col("business_name")) != "")
-    return named.select("business_name", "ein", "entity_type", "city_state_zip", in_bucket(F.col("business_name"), INDUSTRIES).alias("industry_category"))
+    return named.select("business_name", "ein", "entity_type", "city_state_zip", in_bucket(F.col("business_name")).alias("industry_category"))
 
 
 def requests_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +105,10 @@ def pasted_totals(lines: DataFrame) -> DataFrame:
     return out.filter(F.coalesce(*[F.col(c).cast("string") for c in out.columns]).isNotNull())
 
 
-_LEAF = T.StructType([T.StructField("valueString", T.StringType()), T.StructField("valueNumber", T.DoubleType()), T.StructField("valueDate", T.StringType()), T.StructField("content", T.StringType()), T.StructField("confidence", T.DoubleType())])
+_LEAF = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("valueString", "valueDate", "valueTime", "content")], T.StructField("valueNumber", T.DoubleType()), T.StructField("valueInteger", T.LongType()),
+    T.StructField("valueCurrency", T.StructType([T.StructField("amount", T.DoubleType())])), T.StructField("confidence", T.DoubleType()),
+])
 _TRANSACTION = T.StructType([T.StructField(n, _LEAF) for n in ("Date", "Description", "DepositAmount", "WithdrawalAmount", "Amount", "CheckNumber")])
 
 
@@ -121,8 +123,16 @@ RESPONSE = T.StructType([T.StructField("documents", T.ArrayType(T.StructType([T.
 
 
 def leaf(column: str):
-    """A field's text, from whichever typed value it has, else its content."""
-    return F.coalesce(f"{column}.valueString", F.col(f"{column}.valueNumber").cast("string"), f"{column}.valueDate", f"{column}.content", F.lit(""))
+    """A field's text, from whichever typed value it has, else its content. Dates are their first ten characters."""
+    number = lambda kind: F.col(f"{column}.{kind}").cast("string")
+    day = F.substring(F.col(f"{column}.valueDate"), 1, 10)
+    return F.coalesce(f"{column}.valueString", number("valueNumber"), number("valueInteger"), day, f"{column}.valueTime", number("valueCurrency.amount"), f"{column}.content", F.lit(""))
+
+
+def leaf_number(column: str):
+    """A field's number, from a typed value or from its text."""
+    typed = F.coalesce(f"{column}.valueNumber", F.col(f"{column}.valueInteger").cast("double"), f"{column}.valueCurrency.amount")
+    return F.coalesce(typed, F.translate(leaf(column), "$,", "").try_cast("double"))
 
 
 def statement_response(responses: DataFrame) -> DataFrame:
@@ -134,18 +144,17 @@ def statement_response(responses: DataFrame) -> DataFrame:
     docs = responses.select("statement_id", F.explode(F.from_json("json", RESPONSE)["documents"]).alias("d"))
     accounts = docs.select("statement_id", F.posexplode("d.fields.Accounts.valueArray").alias("account", "a"))
     t = accounts.select("statement_id", "account", F.posexplode("a.valueObject.Transactions.valueArray").alias("place", "x")).select("statement_id", "account", "place", "x.valueObject.*")
-    number = lambda c: F.coalesce(F.col(f"{c}.valueNumber"), F.translate(leaf(c), "$,", "").try_cast("double"))
-    deposit, withdrawal = F.abs(number("DepositAmount")), F.abs(number("WithdrawalAmount"))
-    amount = F.when(deposit.isNotNull() & (withdrawal.isNull() | (deposit >= withdrawal)), deposit).when(withdrawal.isNotNull(), -withdrawal).otherwise(number("Amount"))
+    deposit, withdrawal = F.abs(leaf_number("DepositAmount")), F.abs(leaf_number("WithdrawalAmount"))
+    amount = F.when(deposit.isNotNull() & (withdrawal.isNull() | (deposit >= withdrawal)), deposit).when(withdrawal.isNotNull(), -withdrawal).otherwise(leaf_number("Amount"))
     sures = F.filter(F.array(*[F.col(f"{c}.confidence") for c in ("Date", "Description", "DepositAmount", "WithdrawalAmount", "Amount")]), lambda c: c.isNotNull())
     mean = F.when(F.size(sures) > 0, F.aggregate(sures, F.lit(0.0), lambda a, c: a + c) / F.size(sures))
-    return t.select("statement_id", (F.col("account") * 1_000_000 + F.col("place")).alias("ord"), coerce.parse_date(leaf("Date")).alias("date"), leaf("Description").alias("description"), amount.alias("amount"), coerce.check_number(leaf("CheckNumber")).alias("check_no"), coerce.confidence_label(mean).alias("confidence"))
+    return t.select("statement_id", (F.col("account") * 1_000_000 + F.col("place")).alias("ord"), F.try_to_date(coerce.service_date(leaf("Date")), "yyyy-MM-dd").alias("date"), leaf("Description").alias("description"), amount.alias("amount"), coerce.check_number(leaf("CheckNumber")).alias("check_no"), coerce.confidence_label(mean).alias("confidence"))
 
 
 def check_response(responses: DataFrame, amount_suffices: bool = False) -> DataFrame:
     """Checks (statement_id, ord, check_no, pay_to, payer_name, amount) with a number or payee, or an amount if that suffices."""
     docs = responses.select("statement_id", F.posexplode(F.from_json("json", RESPONSE)["documents"]).alias("ord", "d")).select("statement_id", "ord", "d.fields.*")
-    amount = F.coalesce(F.col("NumberAmount.valueNumber"), F.translate(leaf("NumberAmount"), "$,", "").try_cast("double"))
+    amount = leaf_number("NumberAmount")
     out = docs.select("statement_id", "ord", coerce.check_number(leaf("CheckNumber")).alias("check_no"), F.trim(leaf("PayTo")).alias("pay_to"), F.trim(leaf("PayerName")).alias("payer_name"), amount.alias("amount"))
     usable = (F.col("check_no") != "") | (F.col("pay_to") != "")
     return out.filter(usable | F.col("amount").isNotNull() if amount_suffices else usable)
@@ -190,3 +199,28 @@ def requests_sample(clients: DataFrame, seed: int = 42) -> DataFrame:
     states = F.array(*map(F.lit, ("Pending", "Received", "Invoiced", "Paid")))
     rows = clients.select("business_name", F.explode(F.sequence(F.lit(1), pick("n", 2).cast("int") + 1)).alias("k"))
     return rows.select("business_name", F.element_at(states, pick("s", 4).cast("int") + 1).alias("status"), (pick("a", 500000) / 100).alias("amount_due"), F.date_add(F.lit("2026-01-01").cast("date"), pick("d", 180).cast("int")).alias("due_date"), "k")
+
+
+def canonical(rows: DataFrame) -> DataFrame:
+    """The twelve columns of a ledger, absent ones as empty texts, and nothing else."""
+    return _with(rows, LEDGER[:-1]).select([F.col(f"`{c}`") for c in LEDGER[:-1]])
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger that export_run() wrote, all texts, with the linked check where the file has it."""
+    raw = _text_csv(spark, path, LEDGER[:-1])
+    links = ["linked_check_id"] if "linked_check_id" in raw.columns else []
+    return raw.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in [*LEDGER[:-1], *links]])
+
+
+def rescored(spark: SparkSession, responses: str, scored: str) -> DataFrame:
+    """Cached responses (a folder of JSON) with the payee and reason that an earlier CSV gave their crop, if any."""
+    raw = spark.read.json(responses)
+    before = spark.read.option("header", True).csv(scored).select("crop_id", F.col("payee").alias("old_payee"), F.col("reason").alias("old_reason"))
+    return raw.join(before, "crop_id", "left")
+
+
+def latest_file(folder: str, pattern: str = "*") -> Path | None:
+    """The file of a folder that was changed last."""
+    found = [f for f in Path(folder).glob(pattern) if f.is_file()] if Path(folder).is_dir() else []
+    return max(found, key=lambda f: f.stat().st_mtime, default=None)

@@ -19,6 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.unionOutputPartitioning", "false")
     yield session
     session.stop()
 

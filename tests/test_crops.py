@@ -12,6 +12,8 @@ def test_repairs(spark):
     assert one(spark, repair.fix_money, "EFTIACH Debit 1 , Ooo. 00 to Oslo") == "EFT/ACH Debit 1,000.00 to Oslo"
     assert one(spark, repair.fix_money, "Pay TO the order") == "Pay TO the order"
     assert one(spark, repair.suggest_pattern, "POS PURCHASE CORNER MARKET #1234 TX") == "CORNER MARKET"
+    assert one(spark, repair.suggest_pattern, "CHECK CARD PURCHASE HP STORE") == "HP STORE"
+    assert one(spark, repair.suggest_pattern, "CHECK 2473") == "CHECK" and one(spark, repair.suggest_pattern, "DEPOSIT") == "DEPOSIT" and one(spark, repair.suggest_pattern, "") == ""
     assert one(spark, lambda x: repair.rewrite_reason(x, ["no payee"], F.lit("matched")), "No payee found; low sum; matched") == "low sum; matched"
     assert one(spark, repair.slug, " Blue Sky, Inc. ") == "blue-sky-inc"
     assert one(spark, lambda x: repair.expand_grade(x, {"A": "accept"}), "a") == "accept"

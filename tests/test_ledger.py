@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import assembly, lines, matching, merging, payees, reports, rules
+from tallyforge.operators import assembly, lines, merging, reports, rules
 from tallyforge.sources import sinks, tables
 from tallyforge.streaming import evidence
 
@@ -55,34 +55,6 @@ def test_supplemental(spark, register, checks, expected):
     assert found.filter("decision = 'supplemental'").count() == expected
 
 
-def test_budget(spark):
-    data = [check(1, "", -400.0), check(2, "", -9000.0), check(3, "", -8500.0), check(4, "", -350.0)]
-    kept = assembly.budget_trim(rows(spark, data), spark.createDataFrame([("s", 800.0)], "statement_id string, budget double"))
-    assert ords(kept) == [1, 4]
-    assert ords(assembly.budget_trim(rows(spark, data), spark.createDataFrame([("s", 50000.0)], "statement_id string, budget double"))) == [1, 2, 3, 4]
-
-
-def test_payees_merge(spark):
-    ledger = rows(spark, [check(1, "5", -10.0, source="register"), check(2, "", -20.0, source="register"), check(3, "", -20.0, "Kept", "register"), check(4, "", 20.0, source="register")])
-    found = spark.createDataFrame([("s", 1, "0005", "By Number", 99.0), ("s", 2, "", "By Amount", 20.0)], "statement_id string, ord long, check_no string, pay_to string, amount double")
-    got = {r["ord"]: (r["payee"], r["source"]) for r in assembly.merge_payees(ledger, found).collect()}
-    assert got == {1: ("By Number", "check_image_crop"), 2: ("By Amount", "check_image_crop"), 3: ("Kept", "register"), 4: ("", "register")}
-
-
-def test_three_tier_match(spark):
-    txns = rows(spark, [check(1, "7", -10.0), check(2, "", -20.0), check(3, "", -30.0, "Blue Sky Books")])
-    crops = rows(spark, [check(1, "007", -99.0), check(2, "", -20.01), check(3, "", None, "Blue Sky Book")])
-    got = {(r["crop_ord"], r["ord"], r["tier"]) for r in matching.match_checks(txns, crops).collect()}
-    assert got == {(1, 1, "check_number"), (2, 2, "amount"), (3, 3, "name")}
-
-
-def test_matches_swap_clean_names(spark):
-    txns = rows(spark, [check(1, "7", -10.0), check(2, "8", -5.0, "Blue Sky Books")]).withColumn("confidence", F.lit("Medium")).withColumn("needs_review", F.lit("No"))
-    crops = rows(spark, [check(1, "7", -10.0, "Corner Market"), check(2, "8", -5.0, "Q2x")])
-    got = {r["ord"]: (r["payee"], r["confidence"], r["needs_review"]) for r in matching.apply_matches(txns, crops, matching.match_checks(txns, crops)).collect()}
-    assert got == {1: ("Corner Market", "High", "No"), 2: ("Blue Sky Books", "Low", "Yes")}
-
-
 def test_rules_precedence(spark):
     ledger = spark.createDataFrame([("ACME PAY 1", "", ""), ("COFFEE", "COFFEE", "uncategorized"), ("bad [", "Set", "Own")], "description string, payee string, category string")
     known = [rules.Rule("acme", "Acme", "", "", 1), rules.Rule("acme pay", "Acme Payroll", "Wages", "", 2), rules.Rule("acme", "Client Acme", "", "c1", 3), rules.Rule("re:cof+ee", "Cafe", "Food", "", 4), rules.Rule("re:[", "Never", "Never", "", 5)]
@@ -96,69 +68,11 @@ def test_check_rules(spark):
     assert rules.best_check_rule(checks, known, ["id"]).first()["payee"] == "Blue Sky"
 
 
-STATEMENT = """STATEMENT PERIOD 01/01/2026 - 01/31/2026
-Deposits and Other Credits 1,500.00 +
-3 Withdrawals and Other Debits 350.25 -
-DEPOSITS
-01/05/2026 Regular deposit 1,000.00
-01/09/2026 Cash 500.00
-ELECTRONIC DEBITS
-UTILITY CO
-01/12/2026 Ach withdrawal 50.25
-CHECK REGISTER
-01/20 2419 100.00 01/14 2491 200.00
-DAILY BALANCES
-01/31 1,149.75"""
-
-
-def statement(spark, text=STATEMENT):
-    return spark.createDataFrame([("s", i, t) for i, t in enumerate(text.split("\n"))], "statement_id string, line_no int, text string")
-
-
-def test_lines_to_transactions(spark):
-    got = [(str(r["date"]), r["amount"], r["check_no"], r["section"]) for r in lines.parse_lines(statement(spark), F.lit(2026)).orderBy("ord").collect()]
-    assert got == [
-        ("2026-01-05", 1000.0, "", "credit"), ("2026-01-09", 500.0, "", "credit"), ("2026-01-12", -50.25, "", "debit"), ("2026-01-20", -100.0, "2419", "check"), ("2026-01-14", -200.0, "2491", "check"),
-    ]
-
-
-def test_summary_and_year(spark):
-    got = lines.statement_summary(statement(spark)).first()
-    assert (got["deposits"], got["withdrawals"], got["withdrawals_count"]) == (1500.0, 350.25, 3)
-    assert lines.statement_year(statement(spark), 1999).first()["year"] == 2026
-
-
-def test_split_dates_and_orphans(spark):
-    fused = [r["text"] for r in lines.fuse_split_dates(statement(spark, "01/\n05 SHOP 3.00\nother")).orderBy("line_no").collect()]
-    assert fused == ["01/05 SHOP 3.00", "other"]
-    spliced = [r["text"] for r in lines.splice_orphan_numbers(statement(spark, "01/05 100.00\n2419\nend")).orderBy("line_no").collect()]
-    assert spliced == ["01/05 Check #2419 100.00", "end"]
-
-
-def test_tables(spark):
-    cells = spark.createDataFrame([("s", 0, 0, ["Date", "Description", "Amount"]), ("s", 0, 1, ["01/05", "Shop", "12.00"]), ("s", 1, 0, ["x", "02/03", "Cafe", "(4.00)"])], "statement_id string, table_no int, row_no int, cells array<string>")
-    got = {(str(r["date"]), r["description"], r["amount"]) for r in lines.parse_tables(cells, F.lit(2026)).collect()}
-    assert got == {("2026-01-05", "Shop", 12.0), ("2026-02-03", "Cafe", -4.0)}
-
-
 def test_words(spark):
     words = spark.createDataFrame([(1, 5.0, 10.0, "b"), (1, 1.0, 9.0, "a"), (1, 1.0, 40.0, "c")], "page int, x double, y double, text string")
     assert sorted(r["text"] for r in lines.assemble_words(words, 20.0).collect()) == ["a b", "c"]
 
 
-def test_payee_of_crop(spark):
-    crop = spark.createDataFrame([("c", i, t, 0.9, 0.3) for i, t in enumerate(["SUNRISE HOLDINGS LLC", "PAY TO THE ORDER OF", "Blue Sky Books", "one hundred dollars"])] + [("d", 0, "12.00", 0.9, 0.3)], "crop_id string, idx int, text string, confidence double, y double")
-    got = {r["crop_id"]: (r["payee"], r["reason"]) for r in payees.extract(crop).collect()}
-    assert got == {"c": ("Blue Sky Books", "ranked"), "d": ("", "no_candidate")}
-
-
-def test_bank_and_number(spark):
-    found = payees.detect_bank(spark.createDataFrame([("Acme  Co", ""), ("", "first bank routing"), ("", "")], "client string, text string"), {"acme co": "one"}, {"first": ["first bank", "routing"]})
-    assert [(r["bank"], round(r["bank_confidence"], 2)) for r in found.collect()] == [("one", 0.95), ("first", 0.95), ("generic", 0.0)]
-    boxes = spark.createDataFrame([("c", 0, "No 1234", [90.0, 1.0, 99.0, 1.0, 99.0, 5.0, 90.0, 5.0]), ("c", 1, "9999", [1.0, 50.0, 9.0, 50.0, 9.0, 55.0, 1.0, 55.0])], "crop_id string, idx int, text string, bbox array<double>")
-    assert payees.guess_check_number(boxes).first()["check_no"] == "9999"
-
-
 def test_reconcile(spark):
     kind = "statement_id string, deposits double, withdrawals double, checks int, transactions int"
     computed = spark.createDataFrame([(k, 10.0, 5.0, 1, 2) for k in "abcd"], kind)
@@ -215,7 +129,7 @@ def test_versions(spark, tmp_path):
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "c.csv").write_text("business_name,ein\nJoe's Grill,1\n ,2\nBarn Works,3\n")
     got = {r["business_name"]: r["industry_category"] for r in tables.clients_csv(spark, str(tmp_path / "c.csv")).collect()}
-    assert got == {"Joe's Grill": "Restaurant", "Barn Works": "Restaurant"}
+    assert got == {"Joe's Grill": "Restaurant/Bar", "Barn Works": "Restaurant/Bar"}
     (tmp_path / "r.csv").write_text("request_id,business_name,amount_due,due_date,bank_statement_received\n1001.0,A,abc,1/2/2026,✓\n")
     row = tables.requests_csv(spark, str(tmp_path / "r.csv")).first()
     assert (row["request_id"], row["amount_due"], str(row["due_date"]), row["bank_statement_received"], row["status"]) == ("1001", 0.0, "2026-01-02", True, "")

@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans.more import QUERIES, SQL
+from tallyforge.plans import more, parsing
+
+QUERIES, SQL = more.QUERIES | parsing.QUERIES, more.SQL | parsing.SQL
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
