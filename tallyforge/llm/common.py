@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun."""
     path = shared_dir(df.sparkSession)
+    # Spark 4.1 takes a union of sides placed by one key to be placed by it, but may coalesce the sides differently.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path  # for discard()

@@ -21,7 +21,7 @@ WORDS, GRAMS, COLUMNS, STATES, UNITS = 1 << 13, 1 << 14, 8, 8, 8
 #: Labelled documents of each class that the network learns from: those of smallest hash, of any length.
 SAMPLE = 3000
 #: Spans and words of a span: what the network learns of a document with more words than both give, at hashed places.
-SPANS, SPAN = 8, 128
+SPANS, SPAN = 6, 128
 EPOCHS, BATCH = 8, 256
 #: Windows of each class in an epoch, and windows of clean documents among which it looks for the hardest.
 WINDOWS_EACH, SEARCHED = 4000, 20_000

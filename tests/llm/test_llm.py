@@ -287,6 +287,22 @@ def test_more_hashes_keep_recall():
     assert sum(len(a & b) for a, b in zip(found, near, strict=True)) >= 0.9 * 400
 
 
+def test_recall_of_more_hashes(spark, monkeypatch):
+    """Through nearest(), on vectors without clusters, with a table large enough for a second hash."""
+    monkeypatch.setattr(neighbours, "BUCKET", 200)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((8000, 16)).astype(np.float32)
+    assert neighbours.CrossPolytope.for_points(8000, 16, neighbours.TABLES).hashes == 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.nearest(df, lambda v: v % 100 == 0).toPandas()
+    wide, hits = x.astype(np.float64), 0
+    for q, g in found.groupby("query_id"):
+        d = ((wide - wide[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(g["vec_id"]))
+    assert hits >= 0.9 * 800
+
+
 def test_neighbours_odd(spark):
     same = [(i, [1.0, 2.0, 2.0], 0) for i in range(0, 60)]
     bad = [(100, None, 0), (101, [0.0, 0.0, 0.0], 0), (102, [1.0, None, 1.0], 0), (103, [float("nan"), 1.0, 1.0], 0), (104, [1.0, float("inf"), 1.0], 0), (None, [1.0, 1.0, 1.0], 0)]
