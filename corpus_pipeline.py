@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five operators, each on all that the one before kept."""
+"""From raw documents to packed training sequences: five operators, each on all that the one before kept.
+
+Null and empty texts and null ids pass every filter and are packed as an end alone. Repeated rows: the second stage keeps
+one; the others treat each by itself. Very long texts are taken whole. An empty table gives no rows. Columns beyond id and
+text are passed on until packing, whatever their names. Each stage's result is written and read back, which ends lineage.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, for each group that five-word shingles link at 0.8."""
+    """One row, of the smallest id, for each group that five-word shingles link at 0.8; rows without words or id all stay."""
     return neardup.keep_one(docs, width=5, percent=80)
 
 
