@@ -272,7 +272,9 @@ def score_documents(docs: DataFrame, learns) -> DataFrame:
     Words are bytes between ASCII white space, A-Z lowered, then an end. base_score: add-one log10 probability of
     the words. score: log10 probability of the text's bytes and its end by the trees of contexts of up to DEPTH whole
     bytes; code length is -score / log10(2) bits. Null text: empty, its end alone. Repeated rows are scored apart;
-    nothing learnt: the trees give each bit a half. Counts cover all learnt rows, and the cells grow with them.
+    nothing learnt: the trees give each bit a half. Counts cover all learnt rows, and the cells grow with them. A very
+    long text is scored whole, ties of frequency change no score, an empty table gives no rows, and other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     training = docs.filter(learns)

@@ -246,7 +246,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -
     of `capacity`; whole pieces fill a sequence each. The others are packed in groups by best-fit decreasing. A
     group whose bins reach its lower bound is settled but for its emptiest bin; other groups put the documents of
     bins with room into a pool that is dealt anew and packed again, and the result stands if it needs fewer bins.
-    Null text: the end id alone. Null ids and repeated rows are packed like others; an empty table gives no rows.
+    Null text: the end id alone. Null ids and repeated rows are packed like others; pieces of one length go by their
+    row; a very long text is encoded whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     pieces = materialise(with_uid(token_pieces(docs, tokenizer_path, capacity)))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -169,7 +169,8 @@ def archive_pages(pages: DataFrame, revisit_from: int = 0, folder: str | None =
     """Archive all pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Of records with equal payloads of at least `revisit_from` bytes, the one with the smallest page_id (null ids
-    last; of repeated rows, one) is the response and the others revisit it. Null html: an empty payload.
+    last; of repeated rows, one) is the response and the others revisit it. Null html: an empty payload. A very long
+    page is one record, held whole by its task; an empty table gives no rows; other columns are ignored.
     """
     folder = folder or shared_dir(pages.sparkSession)
     written = materialise(write_crawl(pages, folder))
