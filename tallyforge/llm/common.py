@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out anew if it comes in fewer parts than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
@@ -99,3 +106,28 @@ def bounded_sample(df: DataFrame, key: Column, limit: int, by: list[str] | None
         test = test | here
     return df.filter(test)
 
+
+def record_batches(rows: Iterator[tuple], kind: str, limit: int = 10_000, characters: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches with the columns of `kind`, of at most so many rows and about so many characters."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, types[type_]) for name, type_ in map(str.split, kind.split(", "))])
+    some, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        some.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str))
+        if len(some) >= limit or size >= characters:
+            yield batch()
+            some, size = [], 0
+    if some:
+        yield batch()
+
+
+def streamed(rows: DataFrame, by: list[str], order: list[str], columns: list[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], kind: str) -> DataFrame:
+    """What `walk` makes of the columns of each group of equal `by`, in order: one shuffle and one sort, rows as they come."""
+    rows.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")  # see materialise()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return record_batches(walk(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), kind)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).select(*columns).mapInArrow(run, kind)

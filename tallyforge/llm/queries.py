@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontamination, language, neardup, neighbours, packing, secrets, sharding, toxicity, warc
+from . import chat, ctw, decontamination, infill, language, neardup, neighbours, packing, ranking, secrets, sharding, sql, toxicity, warc
 from .common import fold, table
 
 
@@ -66,6 +66,23 @@ def op9_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op11_inverted_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_marker_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(table(spark, sf_dir, "documents"))
+    size = lambda part: F.length(part).cast("long").alias(f"{part}_chars")
+    return made.select("doc_id", "n", "form", size("prefix"), size("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.format_conversations(talks))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_monolithic_gzip_warc": op8_monolithic_gzip_warc,
     "op9_certified_best_fit": op9_certified_best_fit,
     "op10_kd_tree_sharding": op10_kd_tree_sharding,
+    "op11_inverted_treap_search": op11_inverted_treap_search,
+    "op12_marker_infill": op12_marker_infill,
+    "op13_event_sourced_chats": op13_event_sourced_chats,
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_inverted_treap_search": sql.RANKED,
+    "op12_marker_infill": sql.INFILL,
+    "op13_event_sourced_chats": sql.CHATS,
+}
