@@ -9,7 +9,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -108,15 +108,31 @@ def match_checks(transactions: DataFrame, crops: DataFrame) -> DataFrame:
     return walked(both, ["statement_id"], ["is_crop", "ord"], match, "statement_id string, crop_ord long, ord long, tier string, alike double")
 
 
+def _numbered(rows: DataFrame, key: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """rows with the place of each among those of its key, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
 def apply_matches(transactions: DataFrame, crops: DataFrame, matches: DataFrame) -> DataFrame:
     """Transactions with the payees of their crops: swapped if clean and the old one is blank, uncategorised or unlike.
 
     Swapped rows are High and need no review; other matched ones are Low, unless High already, and do. review_reason
-    says how a row was matched, and loses notes that are outdated by that.
+    says how a row was matched, and loses notes that are outdated by that. Every transaction comes out once: where an
+    ord is repeated in a statement, its rows pair off with the matches of that ord, and matches of a repeated crop with its
+    rows, the first with the first, by amount, number and payee; rows beyond those have no match.
     """
-    names = crops.select("statement_id", F.col("ord").alias("crop_ord"), blank(F.col("payee")).alias("__new"), check_number(F.col("check_no")).alias("__no"), F.abs("amount").alias("__size"))
-    linked = transactions.join(matches.join(names, ["statement_id", "crop_ord"]), ["statement_id", "ord"], "left")
-    unlike = F.lower(blank(F.col("payee"))).isin("", "uncategorized") | (ratio("payee", "__new") < SAME_NAME)
+    text = lambda c: blank(F.col(c))
+    names = crops.select("statement_id", F.col("ord").alias("crop_ord"), text("payee").alias("__new"), check_number(F.col("check_no")).alias("__no"), F.abs("amount").alias("__size"))
+    names = _numbered(names, ["statement_id", "crop_ord"], ["__size", "__no", "__new"], "__k")
+    # Equal matches get equal places on both sides: the second place is counted in the order of the first.
+    paired = _numbered(matches, ["statement_id", "crop_ord"], ["ord", "tier", "alike"], "__k")
+    paired = _numbered(paired.join(names, ["statement_id", "crop_ord", "__k"]), ["statement_id", "ord"], ["crop_ord", "__k"], "__n").drop("__k")
+    numbered = _numbered(transactions, ["statement_id", "ord"], [F.abs("amount"), check_number(F.col("check_no")), text("payee")], "__n")
+    key = ["statement_id", "ord", "__n"]
+    # Names are compared in Python, for matched rows alone.
+    told = paired.join(numbered.select(*key, F.col("payee").alias("__old")), key).withColumn("__alike", ratio("__old", "__new")).drop("__old")
+    linked = numbered.join(told, key, "left")
+    unlike = F.lower(text("payee")).isin("", "uncategorized") | (F.col("__alike") < SAME_NAME)
     swap = F.coalesce(F.col("__new").isNotNull() & is_clean_payee(F.col("__new")) & unlike, F.lit(False))
     hit, high = F.col("crop_ord").isNotNull(), F.lower(blank(F.col("confidence"))) == "high"
     by = (
