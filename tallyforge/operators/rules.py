@@ -8,9 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import blank
+from . import anchors
+from .sequence import plain_unions
 
-#: Check rules that a lookup takes at most.
-RULES = 100_000
+#: Rules that are compiled into one expression; more are joined as a table.
+COMPILED = 200
 
 
 @dataclass(frozen=True)
@@ -65,23 +68,50 @@ def apply_rules(rows: DataFrame, rules: list[Rule], client: str = "") -> DataFra
     )
 
 
+def apply_rule_table(rows: DataFrame, rules: DataFrame, client: str = "") -> DataFrame:
+    """What apply_rules() gives, for rules in a table (pattern, clean_payee, suggested_category, client_override, ord) of any size.
+
+    Each different description meets the patterns that occur in it (anchors.occurrences), and the first of them by
+    precedence decide. Rules of equal precedence, one pattern and one ord, are taken by payee and category. Null patterns
+    match nothing; null descriptions are empty.
+    """
+    plain_unions(rows.sparkSession)
+    text = F.coalesce("description", F.lit(""))
+    known = rules.select("pattern", *[blank(F.col(c)).alias(f"__{c}") if c == "client_override" else F.coalesce(c, F.lit("")).alias(f"__{c}") for c in ("clean_payee", "suggested_category", "client_override")], F.col("ord").alias("__ord"))
+    mine = known.filter((F.col("__client_override") == "") | (F.lower("__client_override") == client.strip().lower()))
+    named, filed = F.trim("__clean_payee") != "", F.trim("__suggested_category") != ""
+    mine = mine.filter(named | filed)
+    texts = rows.select(text.alias("text")).distinct()
+    hits = anchors.occurrences(texts, mine).join(mine, "pattern")
+    rank = F.struct(F.col("__client_override") == "", -F.length("pattern"), "__ord", "__clean_payee", "__suggested_category")
+    payee = F.when(named & (F.trim("text") != F.trim("__clean_payee")), rank)
+    category = F.when(filed & (F.lower(F.trim("__suggested_category")) != "uncategorized"), rank)
+    best = hits.groupBy(F.col("text").alias("__text")).agg(F.min_by("__clean_payee", payee).alias("__payee"), F.min_by("__suggested_category", category).alias("__category"))
+    out = rows.join(best, text == F.col("__text"), "left")
+    old_payee, old_category = F.trim(F.coalesce("payee", F.lit(""))), F.lower(F.trim(F.coalesce("category", F.lit(""))))
+    return out.select(
+        *[c for c in rows.columns if c not in ("payee", "category")],
+        F.when((old_payee == "") | (old_payee == F.trim(text)), F.coalesce("__payee", "payee")).otherwise(F.col("payee")).alias("payee"),
+        F.when(old_category.isin("", "uncategorized"), F.coalesce("__category", "category")).otherwise(F.col("category")).alias("category"),
+        F.col("__text").isNotNull().alias("matched"),
+    )
+
+
 def best_check_rule(checks: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """The longest, then first, check rule whose pattern the text holds; its client must be part of the check's client,
     and banks must agree if both are known. checks: key, text, client, bank; rules: pattern, payee, client_override, bank, ord.
 
-    Plain patterns are parts of a text, so no equal keys bring the two together: each distinct text meets the rules
-    once, in a nested loop over a broadcast rule table of at most RULES rows; a larger table is refused.
+    Each different text meets the patterns that occur in it (anchors.occurrences); clients and banks are compared for
+    those. Of rules of one length and ord the least payee and pattern decide.
     """
-    if rules.limit(RULES + 1).count() > RULES:
-        raise ValueError(f"more than {RULES} check rules")
+    plain_unions(checks.sparkSession)
     every = checks.select("text", "client", "bank").distinct()
-    r = rules.select(F.col("pattern").alias("__pattern"), "payee", F.col("client_override").alias("__client"), F.col("bank").alias("__bank"), F.col("ord").alias("__ord"))
-    whole = F.col("__pattern").startswith("re:")
-    test = F.when(whole, F.expr("text rlike concat('(?i)', substr(__pattern, 4))")).otherwise(F.lower("text").contains(F.lower("__pattern")))
-    client = (F.coalesce("__client", F.lit("")) == "") | F.lower("client").contains(F.lower("__client"))
-    bank = (F.coalesce("__bank", F.lit("")) == "") | (F.coalesce("bank", F.lit("")) == "") | (F.col("bank") == F.col("__bank"))
-    hits = every.join(F.broadcast(r), test & client & bank)
-    best = hits.groupBy("text", "client", "bank").agg(F.max_by(F.struct("payee", F.col("__pattern").alias("pattern")), F.struct(F.length("__pattern"), -F.col("__ord"))).alias("__best"))
+    r = rules.select("pattern", "payee", F.coalesce("client_override", F.lit("")).alias("__client"), F.coalesce("bank", F.lit("")).alias("__bank"), F.col("ord").alias("__ord"))
+    hits = anchors.occurrences(every, r).join(r, "pattern").join(every, "text")
+    client = (F.col("__client") == "") | F.lower("client").contains(F.lower("__client"))
+    bank = (F.col("__bank") == "") | (F.coalesce("bank", F.lit("")) == "") | (F.col("bank") == F.col("__bank"))
+    rank = F.struct(F.length("pattern"), -F.col("__ord"), "payee", "pattern")
+    best = hits.filter(client & bank).groupBy("text", "client", "bank").agg(F.max_by(F.struct("payee", "pattern"), rank).alias("__best"))
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("text", "client", "bank")]
     return checks.alias("c").join(best.alias("h"), same).select("c.*", "h.__best.payee", "h.__best.pattern")
 
@@ -134,14 +164,24 @@ def bootstrap(rules: DataFrame | None, seed: DataFrame) -> DataFrame:
     return seed if kept.isEmpty() else kept
 
 
+def fired_table(rows: DataFrame, rules: DataFrame, client: str = "") -> DataFrame:
+    """pattern: those of the client's rules with a payee or a category that occur in a description."""
+    owner = F.lower(blank(F.col("client_override")))
+    mine = rules.filter(owner.isin("", client.strip().lower()) & ((F.trim(F.coalesce("clean_payee", F.lit(""))) != "") | (F.trim(F.coalesce("suggested_category", F.lit(""))) != "")))
+    return anchors.occurrences(rows.select(F.coalesce("description", F.lit("")).alias("text")), mine).select("pattern").distinct()
+
+
 def post_process(rows: DataFrame, rules: DataFrame | None, seed: DataFrame, client: str = "", day: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(ledger, rules): payees and categories by the rules, or the seed's where there are none; with a day, the rules that
-    matched carry it. Rule tables are small: they come to the driver to be compiled, at most RULES of them.
+    matched carry it. Up to COMPILED rules are compiled on the driver, in the order they come; more stay a table, in
+    the order of `ord`, which such a table must have.
     """
     known = bootstrap(rules, seed)
-    listed = known.limit(RULES + 1).collect()
-    if len(listed) > RULES:
-        raise ValueError(f"more than {RULES} rules")
+    listed = known.limit(COMPILED + 1).collect()
+    if len(listed) > COMPILED:
+        columns = ("clean_payee", "suggested_category", "client_override")
+        full = known.withColumns({c: F.lit("") for c in columns if c not in known.columns})
+        return apply_rule_table(rows, full, client), known if day is None else touch(known, fired_table(rows, full, client), day)
     text = lambda r, c: (r[c] if c in known.columns else "") or ""
     compiled = [Rule(r["pattern"], text(r, "clean_payee"), text(r, "suggested_category"), text(r, "client_override"), i) for i, r in enumerate(listed)]
     out = apply_rules(rows, compiled, client)

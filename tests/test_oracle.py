@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans import more, parsing
+from tallyforge.plans import more, parsing, texts
 
-QUERIES, SQL = more.QUERIES | parsing.QUERIES, more.SQL | parsing.SQL
+QUERIES, SQL = more.QUERIES | parsing.QUERIES | texts.QUERIES, more.SQL | parsing.SQL | texts.SQL
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
