@@ -1,9 +1,10 @@
-"""Statement lines and table rows to transactions: windows carry sections and fuse lines, a walk gathers split rows."""
+"""Statement lines and table rows to transactions: prefixes carry sections, dates and groups of lines; no statement is one task."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import groupby
 from operator import itemgetter
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, predicates, repair
 from ..functions.coerce import AMOUNT, DATE_TOKEN, let
 from .assembly import dedupe_transactions
+from .pieces import PIECE, Ordered
 from .sequence import plain_unions, walked
 
 # Dates with a year, alone on a line or at its start; amounts; words of transactions.
@@ -48,39 +50,43 @@ def in_order():
     return Window.partitionBy("statement_id").orderBy("line_no")
 
 
-def up_to_here():
-    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _lines(lines: DataFrame) -> Ordered:
+    return Ordered.of(lines, ["statement_id"], "line_no")
+
+
+def _sections(lines: Ordered) -> Ordered:
+    out = lines.then(lambda rows: rows.withColumn("heading", predicates.section_of(F.col("text")))).carried(last={"section": F.col("heading")})
+    suppressed = F.coalesce(F.col("section") == "end", F.lit(False))
+    return out.then(lambda rows: rows.withColumn("suppressed", suppressed).withColumn("section", F.when(~F.col("suppressed"), F.col("section"))))
 
 
 def carry_sections(lines: DataFrame) -> DataFrame:
     """heading: a line's own section; section: that of the last heading; suppressed: after a heading that ends them all."""
-    heading = predicates.section_of(F.col("text"))
-    last = F.last("heading", ignorenulls=True).over(up_to_here())
-    out = lines.withColumn("heading", heading).withColumn("section", last)
-    return out.withColumn("suppressed", F.coalesce(F.col("section") == "end", F.lit(False))).withColumn("section", F.when(~F.col("suppressed"), F.col("section")))
+    return _sections(_lines(lines)).rows.drop(PIECE)
+
+
+def _until_end(lines: Ordered) -> Ordered:
+    return lines.carried(count={"__ended": F.col("heading") == "end"}).then(lambda rows: rows.filter("__ended = 0").drop("__ended"))
 
 
 def until_terminator(lines: DataFrame) -> DataFrame:
     """Lines before a statement's first ending heading."""
-    heading = F.col("heading") if "heading" in lines.columns else predicates.section_of(F.col("text"))
-    ended = F.max(F.coalesce(heading == "end", F.lit(False)).cast("int")).over(up_to_here())
-    return lines.withColumn("__ended", ended).filter("__ended = 0").drop("__ended")
+    headed = lines if "heading" in lines.columns else lines.withColumn("heading", predicates.section_of(F.col("text")))
+    return _until_end(_lines(headed)).rows.select(lines.columns)
 
 
-def _absorb_next(lines: DataFrame, fused) -> DataFrame:
+def _absorb_next(lines: Ordered, fused) -> Ordered:
     """Lines of which some take the next: fused(text, next) is the new text, or null. Blank lines go first.
 
     Lines are taken from the top, so one that was taken takes none itself: in a run of lines that all could, every
-    second one does.
+    second one does. A line's place in its run is its number less that of the last line before it that could not.
     """
-    trimmed = lines.withColumn("text", F.trim("text")).filter("text <> ''")
-    marked = trimmed.withColumn("__new", fused(F.col("text"), F.lead("text").over(in_order()))).withColumn("__at", F.row_number().over(in_order()))
-    could = F.col("__new").isNotNull()
-    starts = F.when(~F.coalesce(F.lag(could).over(in_order()), F.lit(False)), F.col("__at"))
-    marked = marked.withColumn("__start", starts).withColumn("__start", F.last("__start", ignorenulls=True).over(up_to_here()))
-    marked = marked.withColumn("__takes", could & ((F.col("__at") - F.col("__start")) % 2 == 0))
-    marked = marked.withColumn("__taken", F.coalesce(F.lag("__takes").over(in_order()), F.lit(False))).filter("not __taken")
-    return marked.withColumn("text", F.when(F.col("__takes"), F.col("__new")).otherwise(F.col("text"))).select(lines.columns)
+    columns = lines.rows.columns
+    trimmed = lines.then(lambda rows: rows.withColumn("text", F.trim("text")).filter("text <> ''")).followed({"__after": F.col("text")})
+    marked = trimmed.then(lambda rows: rows.withColumn("__new", fused(F.col("text"), F.col("__after")))).carried(count={"__at": F.lit(True)})
+    marked = marked.carried(last_before={"__stop": F.when(F.col("__new").isNull(), F.col("__at"))})
+    odd = (F.col("__at") - F.coalesce("__stop", F.lit(0))) % 2 == 1
+    return marked.then(lambda rows: rows.filter(odd).withColumn("text", F.coalesce("__new", "text")).select(columns))
 
 
 def fuse_split_dates(lines: DataFrame) -> DataFrame:
@@ -89,6 +95,10 @@ def fuse_split_dates(lines: DataFrame) -> DataFrame:
     In this order: words of a transaction with an amount, then a date alone; a date alone, then words with an amount;
     up to four words without an amount, then a date and an amount without words of a transaction.
     """
+    return _fused(_lines(lines)).rows.drop(PIECE)
+
+
+def _fused(lines: Ordered) -> Ordered:
 
     def fused(text: Column, after: Column) -> Column:
         date = lambda x, p: F.regexp_extract(x, p, 1)
@@ -106,6 +116,10 @@ def fuse_split_dates(lines: DataFrame) -> DataFrame:
 
 def splice_orphan_numbers(lines: DataFrame) -> DataFrame:
     """A line that begins with a date and an amount takes a number of four digits from the next line between the two."""
+    return _spliced(_lines(lines)).rows.drop(PIECE)
+
+
+def _spliced(lines: Ordered) -> Ordered:
 
     def spliced(text: Column, after: Column) -> Column:
         part = lambda i: F.regexp_extract(text, NO_NUMBER, i)
@@ -118,10 +132,14 @@ def splice_orphan_numbers(lines: DataFrame) -> DataFrame:
 
 def check_triplets(lines: DataFrame) -> DataFrame:
     """One to three (date, check number, amount) of a line, a row each."""
+    return _triplets(lines)
+
+
+def _triplets(lines: DataFrame, *more: str) -> DataFrame:
     get = lambda i: F.regexp_extract_all("text", F.lit(TRIPLET), F.lit(i))
     zipped = F.posexplode(F.arrays_zip(get(1).alias("date"), get(2).alias("check_no"), get(3).alias("amount")))
-    out = lines.select("statement_id", "line_no", zipped.alias("place", "t"))
-    return out.select("statement_id", "line_no", "place", F.col("t.date").alias("date_text"), F.col("t.check_no").alias("check_no"), F.translate("t.amount", ",", "").cast("double").alias("amount"))
+    out = lines.select("statement_id", "line_no", *more, zipped.alias("place", "t"))
+    return out.select("statement_id", "line_no", *more, "place", F.col("t.date").alias("date_text"), F.col("t.check_no").alias("check_no"), F.translate("t.amount", ",", "").cast("double").alias("amount"))
 
 
 def statement_year(lines: DataFrame, default: int) -> DataFrame:
@@ -237,42 +255,50 @@ def finish(rows: DataFrame, source: str, year: Column) -> DataFrame:
     return review(out)
 
 
-_ROW = "statement_id string, line_no int, place int, date date, description string, amount double, check_no string, section string"
-
-
-def _gather(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows of parse_lines() from its sorted events: (statement_id, line_no, event, section, date, body, amount, check_no, named, kept)."""
-    for statement, events in groupby(rows, key=itemgetter(0)):
-        date, section, pending, hinted = None, None, [], False
-
-        def flush(line_no):
-            text = " ".join(pending).strip()
-            if text and (hinted or date or section):
-                yield statement, line_no, -1, date, text, None, None, section  # noqa: B023
-
-        for _, line_no, event, now, own, body, amount, number, named, kept in events:
-            if event == "heading" or event != "line" or own is not None:
-                yield from flush(line_no)
-                pending, hinted = [], False
-            section = now
-            if event == "heading":
-                continue
-            if event != "line":  # a row of cells has its own date or none, one of a register the last
-                yield statement, line_no, 0, own or (date if event == "register" else None), body, amount, number, section
-                date = own or date
-                continue
-            date = own or date
-            if amount is None:
-                if kept or section:
-                    pending.append(body)
-                    hinted = hinted or named
-                continue
-            text = " ".join([*pending, body]).strip()
-            likely = named or hinted or date or section
-            pending, hinted = [], False
-            if likely:
-                yield statement, line_no, 0, date, text, amount, None, section
-        yield from flush(2**31 - 1)
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def _gathered(events: Ordered) -> Ordered:
+    """Rows of parse_lines() from its events: event, section, date, body, amount, check_no, named, kept of a line.
+
+    A group of lines ends before a heading, a row of cells or a register, and a dated line, and after a line with an
+    amount. Two prefixes number the groups and a third carries the date, so that each group is summed up by itself: its
+    waiting lines and its amount line are one row, or its waiting lines are one without an amount.
+    """
+    line, priced = F.col("event") == "line", F.col("amount").isNotNull()
+    sectioned, dated = coerce.blank(F.col("section")) != "", F.col("__day").isNotNull()
+    told = events.carried(last={"__day": F.col("date")}, count={"__a": ~line | F.col("date").isNotNull()}, count_before={"__b": line & priced})
+    rows = told.rows.withColumn("__group", F.col("__a") + F.col("__b"))
+    alone = rows.filter(F.col("event").isin("cells", "register")).select(
+        "statement_id", PIECE, _place(F.col("line_no"), 0), F.when(F.col("event") == "register", F.col("__day")).otherwise(F.col("date")).alias("date"),
+        F.col("body").alias("description"), "amount", "check_no", "section",
+    )
+    waits = ~priced & (F.coalesce(F.col("kept"), F.lit(False)) | sectioned)
+    end = F.struct("line_no", PIECE, F.col("__day").alias("date"), "section", "amount", F.col("body").alias("body"), F.coalesce("named", F.lit(False)).alias("named"))
+    groups = rows.filter(line).groupBy("statement_id", "__group").agg(
+        F.array_sort(F.collect_list(F.when(waits, F.struct("line_no", "body")))).alias("waiting"), F.coalesce(F.bool_or(waits & F.col("named")), F.lit(False)).alias("hinted"), F.max_by(end, "line_no").alias("end"),
+    )
+    # The last line of a group is its amount line if it has one.
+    amount = F.col("end.amount").isNotNull()
+    bodies = F.transform("waiting", lambda w: w["body"])
+    text = _stripped(F.array_join(F.concat(bodies, F.when(amount, F.array("end.body")).otherwise(F.array().cast("array<string>"))), " "))
+    sure = F.col("hinted") | (amount & F.col("end.named")) | F.col("end.date").isNotNull() | (coerce.blank(F.col("end.section")) != "")
+    joined = groups.withColumn("description", text).filter(sure & (amount | (F.col("description") != ""))).select(
+        "statement_id", F.col(f"end.{PIECE}").alias(PIECE), _place(F.col("end.line_no"), F.when(amount, 0).otherwise(1)), F.col("end.date").alias("date"),
+        "description", F.col("end.amount").alias("amount"), F.lit(None).cast("string").alias("check_no"), F.col("end.section").alias("section"),
+    )
+    return replace(told, rows=alone.unionByName(joined), order="__place")
+
+
+def _place(line_no: Column, within: Column | int) -> Column:
+    """The order of rows: by line, and within a line."""
+    return (line_no.cast("long") * 2**20 + (F.lit(within) if isinstance(within, int) else within)).alias("__place")
+
+
+def _in_place(rows: Ordered) -> DataFrame:
+    """rows with `ord`, their number within the statement."""
+    return rows.carried(count={"ord": F.lit(True)}).rows.withColumn("ord", F.col("ord").cast("int")).drop("__place", PIECE)
 
 
 def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
@@ -280,9 +306,10 @@ def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
 
     Headings set the section, or end it; a date at a line's start holds until the next. Lines of cells (` | `) and of a
     check register are rows by themselves. Lines without an amount wait for the next amount line and precede its text;
-    a date or heading before it makes them a row without an amount. Conditions are columns; only the gathering walks.
+    a date or heading before it makes them a row without an amount. A statement of any length spreads over tasks (pieces).
     """
-    live = carry_sections(lines.withColumn("text", F.trim("text")).filter("text <> ''")).filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
+    held = _sections(_lines(lines.withColumn("text", F.trim("text")).filter("text <> ''")))
+    live = held.rows.filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
     cells = F.transform(F.split("text", r" \| "), lambda c: F.trim(c))
     live = live.withColumn("__cells", F.when(F.col("heading").isNull() & F.col("text").contains(" | "), cells_row(cells, F.col("section"), year)))
     part = lambda i: F.regexp_extract("text", REGISTER_ROW, i)
@@ -301,13 +328,11 @@ def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
     named = body.rlike(predicates.TRANSACTION_HINT) | body.rlike(predicates.CHECK_NUMBER) | F.trim(F.element_at(F.split(body, r"\|"), 1)).rlike(predicates.LONE_NUMBER)
     kept = body.rlike(predicates.TRANSACTION_HINT) | F.substring(body, 1, 20).rlike(DATE_TOKEN) | body.rlike(predicates.CHECK_NUMBER)
     events = live.select(
-        "statement_id", F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(line, F.col("__own")).otherwise(made["date"]).alias("date"),
+        "statement_id", PIECE, F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(line, F.col("__own")).otherwise(made["date"]).alias("date"),
         F.when(line, body).otherwise(made["description"]).alias("body"), F.when(line, coerce.pick_amount(coerce.amounts(body))).otherwise(made["amount"]).alias("amount"),
         made["check_no"].alias("check_no"), named.alias("named"), kept.alias("kept"),
     )
-    rows = walked(events, ["statement_id"], ["line_no"], _gather, _ROW)
-    placed = rows.withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", "place"))).drop("line_no", "place")
-    return dedupe_transactions(finish(placed, "text", year))
+    return dedupe_transactions(finish(_in_place(_gathered(replace(held, rows=events))), "text", year))
 
 
 def _meaning(text: str) -> bool:
@@ -321,54 +346,78 @@ def _tidy(text: str) -> str:
     return re.sub(r"(?i)\bEFT[I/]?ACH\b", "EFT/ACH", _TAIL.sub("", text).strip())
 
 
-def _strict(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows of parse_scan() from its sorted events: (statement_id, line_no, event, section, date, body, amount, junk).
+_FOUND = "statement_id string, __piece int, line_no int, what string, date date, text string, amount double, section string, taken int"
 
-    A row is open from its date until it has an amount and a meaningful text, and takes two more lines after that.
-    """
-    for statement, events in groupby(rows, key=itemgetter(0)):
-        opened = last = None  # [line_no, date, text, amount, section] and that with the lines it took
-        sections = None
-
-        def closed(row):
-            text = _tidy(row[2])
-            return [row[0], row[1], text, row[3], row[4], re.search(predicates.CHECK_NUMBER, text), 0] if row[3] is not None and _meaning(text) else None
 
-        def out(row):
-            return statement, row[0], 0, row[1], row[2], row[3], row[5][1] if row[5] else None, row[4]  # noqa: B023
+def _opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """What each stretch of lines from a heading, a dated line or a row of checks gives: at most one row, the ends of runs of
+    rows (`close`), and lines that may continue an earlier row (`line`).
 
-        for _, line_no, event, section, date, body, amount, junk in events:
+    A row is open from its date until it has an amount and a meaningful text, and takes two more lines after that.
+    """
+    for (statement, _), events in groupby(rows, key=itemgetter(0, 1)):
+        open_ = done = None  # [piece, line_no, date, text, amount, section, lines taken]
+        for _, _, piece, line_no, event, section, date, body, amount, junk, closing in events:
             if event in ("heading", "checks"):
-                opened = None
-                if last and (event == "checks" or section != sections):
-                    yield out(last)
-                    last = None
-                sections = section
-                continue
-            if event == "dated":
-                opened = [line_no, date, body, amount, section] if date else None
+                if closing:
+                    yield statement, piece, line_no, "close", None, None, None, None, None
+            elif event == "dated":
+                open_ = [piece, line_no, date, body, amount, section, 0] if date else None
             elif amount is not None:
-                if opened is None or opened[3] is not None:
-                    continue
-                opened[3] = amount
-                opened[2] = opened[2] if junk or not body else f"{opened[2]} {body}".strip()
-            elif junk:
-                continue
-            elif opened is not None:
-                longer = f"{opened[2]} {body}".strip()
-                opened[2] = longer if len(longer) <= LONGEST else opened[2]
-            else:
-                if last is not None and last[6] < CONTINUATIONS:
-                    longer = _tidy(f"{last[2]} {body}".strip())
-                    if len(longer) <= LONGEST:
-                        last[2], last[6] = longer, last[6] + 1
-                continue
-            if opened is not None and (done := closed(opened)):
-                if last:
-                    yield out(last)
-                last, opened = done, None
-        if last:
-            yield out(last)
+                if open_ is not None and open_[4] is None:
+                    open_[4], open_[3] = amount, open_[3] if junk or not body else f"{open_[3]} {body}".strip()
+            elif not junk and open_ is not None:
+                open_[3] = _longer(open_[3], body) or open_[3]
+            elif not junk and done is not None:
+                _continue(done, body)
+            elif not junk:
+                yield statement, piece, line_no, "line", None, body, None, None, None
+            if open_ is not None and open_[4] is not None and _meaning(_tidy(open_[3])):
+                done, open_ = open_, None
+                done[3] = _tidy(done[3])
+        if done is not None:
+            yield statement, done[0], done[1], "row", *done[2:]
+
+
+def _longer(text: str, body: str, tidy=str) -> str | None:
+    joined = tidy(f"{text} {body}".strip())
+    return joined if len(joined) <= LONGEST else None
+
+
+def _continue(row: list, body: str) -> None:
+    """A line's text added to a row's, unless it has two or would be too long."""
+    if row[6] < CONTINUATIONS and (joined := _longer(row[3], body, _tidy)) is not None:
+        row[3], row[6] = joined, row[6] + 1
+
+
+def _continued(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows with the lines that follow them before the next row or end: of each run, the row is first."""
+    for (statement, _), found in groupby(rows, key=itemgetter(0, 1)):
+        row = None
+        for _, _, piece, line_no, what, date, text, amount, section, taken in found:
+            if what == "row":
+                row = [piece, line_no, date, text, amount, section, taken]
+            elif what == "line" and row is not None:
+                _continue(row, text)
+        if row is not None:
+            yield statement, *row[:6]
+
+
+def _strict(events: Ordered) -> Ordered:
+    """Rows of parse_scan() from its events: event, section, date, body, amount, junk of a line.
+
+    A stretch begins at a heading, a row of checks or a date, and can be read without those before it; a second walk gives
+    rows the lines of later stretches that continue them. Both walk many short runs, not statements.
+    """
+    marks = F.col("event").isin("heading", "checks")
+    told = events.carried(count={"__stretch": F.col("event") != "line"}, last_before={"__before": F.when(marks, F.struct("section"))})
+    closing = (F.col("event") == "checks") | ((F.col("event") == "heading") & ~F.col("section").eqNullSafe(F.col("__before.section")))
+    columns = ["statement_id", "__stretch", PIECE, "line_no", "event", "section", "date", "body", "amount", "junk"]
+    found = walked(told.rows.select(*columns, closing.alias("closing")), ["statement_id", "__stretch"], ["line_no"], _opened, _FOUND)
+    runs = replace(told, rows=found).carried(count={"__run": F.col("what") != "line"})
+    columns = ["statement_id", "__run", PIECE, "line_no", "what", "date", "text", "amount", "section", "taken"]
+    rows = walked(runs.rows.select(*columns), ["statement_id", "__run"], ["line_no"], _continued, "statement_id string, __piece int, line_no int, date date, description string, amount double, section string")
+    return replace(told, rows=rows)
 
 
 def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
@@ -378,9 +427,8 @@ def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
     heading. Only a full date begins a row; check sections give a row for each date, number and amount of a line, and
     nothing else; two lines that follow a row continue its text. Rows are to review, as finish() says.
     """
-    whole = splice_orphan_numbers(fuse_split_dates(lines.withColumn("text", repair.fix_money(F.col("text")))))
-    live = carry_sections(whole)
-    live = until_terminator(live).filter(F.col("heading").isNotNull() | ~predicates.is_skipped(F.col("text"), F.col("heading")))
+    held = _until_end(_sections(_spliced(_fused(_lines(lines).then(lambda rows: rows.withColumn("text", repair.fix_money(F.col("text"))))))))
+    live = held.rows.filter(F.col("heading").isNotNull() | ~predicates.is_skipped(F.col("text"), F.col("heading")))
     plain, in_checks = F.col("heading").isNull(), F.coalesce(F.col("section") == "check", F.lit(False))
     listed = plain & in_checks & F.col("text").rlike(TRIPLET)
     live = live.withColumn("__listed", listed).filter(F.col("heading").isNotNull() | listed | ~in_checks)
@@ -389,14 +437,14 @@ def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
     event = F.when(F.col("heading").isNotNull(), "heading").when(F.col("__listed"), "checks").when(dated, "dated").otherwise("line")
     body = F.when((event == "line") & (F.size(coerce.amounts(rest)) == 0), rest).otherwise(_no_amounts(F.trim(rest)))
     events = live.select(
-        "statement_id", F.col("line_no").cast("int").alias("line_no"), event.alias("event"), "section", F.when(event == "dated", coerce.normal_date(F.regexp_extract("text", FULL_DATE, 1), year)).alias("date"),
+        "statement_id", PIECE, F.col("line_no").cast("int").alias("line_no"), event.alias("event"), "section", F.when(event == "dated", coerce.normal_date(F.regexp_extract("text", FULL_DATE, 1), year)).alias("date"),
         body.alias("body"), coerce.pick_amount(coerce.amounts(rest)).alias("amount"), predicates.is_ocr_junk(body).alias("junk"),
     )
-    rows = walked(events, ["statement_id"], ["line_no"], _strict, _ROW)
-    triplets = check_triplets(live.filter("__listed")).withColumn("date", coerce.normal_date(F.col("date_text"), year)).filter("date is not null")
-    checks = triplets.select("statement_id", F.col("line_no").cast("int").alias("line_no"), "place", "date", F.concat(F.lit("Check #"), "check_no").alias("description"), "amount", "check_no", F.lit("check").alias("section"))
-    both = rows.unionByName(checks).withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", "place"))).drop("line_no", "place")
-    return finish(both, "scan", year)
+    read = _strict(replace(held, rows=events))
+    rows = read.rows.select("statement_id", PIECE, _place(F.col("line_no"), 0), "date", "description", "amount", _number(F.col("description")).alias("check_no"), "section")
+    triplets = _triplets(live.filter("__listed"), PIECE).withColumn("date", coerce.normal_date(F.col("date_text"), year)).filter("date is not null")
+    checks = triplets.select("statement_id", PIECE, _place(F.col("line_no"), F.col("place")), "date", F.concat(F.lit("Check #"), "check_no").alias("description"), "amount", "check_no", F.lit("check").alias("section"))
+    return finish(_in_place(replace(read, rows=rows.unionByName(checks), order="__place")), "scan", year)
 
 
 def assemble_words(words: DataFrame, tolerance: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -20,6 +22,24 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, written below the folder that the session names in spark.checkpoint.dir and read back: computed once, lineage cut.
+
+    Only on one machine (tests), where the session names none, is a temporary folder made and set.
+    """
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallyforge-")
+        spark.sparkContext.setCheckpointDir(base)
+    plain_unions(spark)
+    path = f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def walked(rows: DataFrame, by: list[str], order: list[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], kind: str) -> DataFrame:
     """What `walk` yields, with the columns of `kind`, from the rows as tuples in their order.
 

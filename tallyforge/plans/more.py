@@ -137,14 +137,15 @@ def payee_merge(spark, sf):
     return assembly.merge_payees(both.filter("source = 'register'"), checks).select("statement_id", "ord", "payee", "source")
 
 
-@query(None)
+@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS statement_id, CAST(ts AS DATE) AS date, event_type || ' deposit' AS description, round(abs(value), 2) AS amount, 'credit' AS section
+    FROM events WHERE value IS NOT NULL""")
 def statement_parse(spark, sf):
     """Events as the lines of a statement: a heading, then dated rows."""
     e = table(spark, sf, "events")
     row = F.concat(F.date_format("ts", "MM/dd/yyyy"), F.lit(" "), "event_type", F.lit(" deposit "), F.format_string("%.2f", F.round(F.abs("value"), 2)))
     head = e.groupBy("user_id").agg(F.lit(-1).cast("long").alias("line_no")).select(F.col("user_id").cast("string").alias("statement_id"), "line_no", F.lit("DEPOSITS").alias("text"))
     body = e.filter("value is not null").select(F.col("user_id").cast("string").alias("statement_id"), F.col("event_id").alias("line_no"), row.alias("text"))
-    return lines.parse_lines(head.unionByName(body), F.lit(2024))
+    return lines.parse_lines(head.unionByName(body), F.lit(2024)).select("statement_id", "date", "description", "amount", "section")
 
 
 @query(None)

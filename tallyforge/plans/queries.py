@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, predicates
-from ..operators import assembly, lines, merging, receivables, reports, rules
+from ..operators import assembly, merging, receivables, reports, rules
+from ..operators.pieces import Ordered
 
 #: The present of every query.
 AS_OF = "2000-06-15 12:00:00"
@@ -296,7 +297,7 @@ def document_lines(spark, sf):
 def line_section_carry(spark, sf):
     mark = F.when(F.col("text").startswith("T"), "debit").when(F.col("text").startswith("E"), "credit")
     marked = document_lines(spark, sf).withColumn("mark", mark)
-    return marked.select("statement_id", "line_no", F.last("mark", ignorenulls=True).over(lines.up_to_here()).alias("section"))
+    return Ordered.of(marked, ["statement_id"], "line_no").carried(last={"section": F.col("mark")}).rows.select("statement_id", "line_no", "section")
 
 
 @query("SELECT event_id, CAST(round(abs(value) * 100) AS BIGINT) / 100.0 AS first_amount, 2 AS n FROM events")
