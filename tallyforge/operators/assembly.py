@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import blank, cents, check_number, check_number_of
 from ..functions.predicates import looks_like_deposit
-from .sequence import plain_unions, walked
+from .pieces import LARGE
+from .rounds import in_turn
+from .sequence import by_size, plain_unions, settled, walked
 
 # Limits of plausible checks, of sparse registers and of trimming.
 CHECK_CAP, LEAST_FENCE, SPARSE, TRIM_SLACK = 10_000.0, 500.0, 3, 100.0
 LEGS = ["statement_id"]
+#: Rows of one ord in a statement at most.
+TURNS = 1024
 
 
 def exclusive_quartile(sorted_values: Column, i: int) -> Column:
@@ -139,8 +143,9 @@ def supplemental(register: DataFrame, checks: DataFrame) -> DataFrame:
     """statement_id, ord, decision (supplemental, check_number, amount) and register_ord of each check, in order.
 
     A check takes the first register row of its number or amount; rows of an amount serve as many checks as the
-    register has debits of it, and always name the first such row. A statement's register comes before its checks and
-    leaves the first row of each number and amount, so each check is decided by four looks.
+    register has debits of it, and always name the first such row. Statements of LARGE rows and more are decided in rounds
+    (rounds.in_turn), which give the same. Of the others, a task walks through many: a statement's register comes before its
+    checks and leaves the first row of each number and amount, so each check is decided by four looks.
     """
 
     def decide(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -167,7 +172,36 @@ def supplemental(register: DataFrame, checks: DataFrame) -> DataFrame:
         amount = F.coalesce("amount", F.lit(0.0))
         return df.select(*LEGS, F.lit(int(is_check)).alias("is_check"), F.col("ord").cast("long").alias("ord"), number.alias("number"), cents(amount).alias("size"), (amount < 0).alias("debit"))
 
-    return walked(side(register, False).unionByName(side(checks, True)), LEGS, ["is_check", "ord"], decide, "statement_id string, ord long, decision string, register_ord long")
+    both = side(register, False).unionByName(side(checks, True))
+    small, large = by_size(both, LARGE)
+    found = walked(small, LEGS, ["is_check", "ord"], decide, "statement_id string, ord long, decision string, register_ord long")
+    return found if large is None else found.unionByName(_supplemental_in_rounds(large.filter("is_check = 0"), large.filter("is_check = 1"))[0])
+
+
+def _turns(rows: DataFrame, *ties: str) -> DataFrame:
+    """rows with `turn`: their order in a statement, in which rows of one ord follow one another."""
+    nth = F.row_number().over(Window.partitionBy(*LEGS, "ord").orderBy(*ties)) - 1
+    return rows.withColumn("turn", F.col("ord") * TURNS + nth)
+
+
+def _supplemental_in_rounds(register: DataFrame, checks: DataFrame) -> tuple[DataFrame, int]:
+    """supplemental() for statements of any size, and the rounds it took.
+
+    Debits of an amount are a list of slots, of which each check has up to three, by their first row; a number, which serves
+    any number of checks, ends them.
+    """
+    register, checks = settled(register), settled(_turns(checks, "number", "size"))
+    numbers = register.filter("number <> ''").groupBy(*LEGS, "number").agg(F.min("ord").alias("number_ord"))
+    pools = register.filter("debit").groupBy(*LEGS, "size").agg(F.min("ord").alias("pool_ord"))
+    near = checks.join(numbers, [*LEGS, "number"], "left").select(*LEGS, "turn", "number_ord", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    near = near.join(pools, [*LEGS, "size"]).filter(F.col("number_ord").isNull() | (F.col("pool_ord") < F.col("number_ord")))
+    keys = near.groupBy(*LEGS, "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pool_ord", "size"))), lambda p: p["size"].cast("string")).alias("keys"))
+    slots = _turns(register.filter("debit"), "number").select(*LEGS, F.col("size").cast("string").alias("key"), F.col("turn").alias("slot"), F.col("turn").cast("decimal(38,0)").alias("preference"))
+    choice = in_turn(keys, slots)
+    taken = choice.chosen.select(*LEGS, "turn", F.col("key").cast(pools.schema["size"].dataType).alias("size")).join(pools, [*LEGS, "size"]).drop("size")
+    told = checks.join(numbers, [*LEGS, "number"], "left").join(taken, [*LEGS, "turn"], "left")
+    decision = F.when(F.col("pool_ord").isNotNull(), "amount").when(F.col("number_ord").isNotNull(), "check_number").otherwise("supplemental")
+    return told.select(*LEGS, "ord", decision.alias("decision"), F.coalesce("pool_ord", "number_ord").alias("register_ord")), choice.rounds
 
 
 def assemble(register: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +267,8 @@ def merge_payees(rows: DataFrame, checks: DataFrame) -> DataFrame:
     """Blank and uncategorised payees filled from checks: by the very number (the last check of it), else by the first
     unused check within a cent of the amount. A check fills one row. Filled register rows become check_image_crop.
 
-    A check without a name fills nothing, but stands before later ones of its amount.
+    A check without a name fills nothing, but stands before later ones of its amount. Every row comes out once; rows of one
+    ord in a statement are filled alike.
     """
     open_payee = F.lower(blank(F.col("payee"))).isin("", "uncategorized")
 
@@ -260,6 +295,32 @@ def merge_payees(rows: DataFrame, checks: DataFrame) -> DataFrame:
 
     events = checks.select(*LEGS, F.lit(0).alias("is_row"), F.col("ord").cast("long").alias("ord"), blank(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), blank(F.col("pay_to")).alias("name"), F.lit(False).alias("open"))
     mine = rows.select(*LEGS, F.lit(1).alias("is_row"), F.col("ord").cast("long").alias("ord"), blank(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), F.lit("").alias("name"), open_payee.alias("open"))
-    given = walked(events.unionByName(mine), LEGS, ["is_row", "ord"], fill, "statement_id string, ord long, __payee string")
+    small, large = by_size(events.unionByName(mine), LARGE)
+    given = walked(small, LEGS, ["is_row", "ord"], fill, "statement_id string, ord long, __payee string")
+    if large is not None:
+        given = given.unionByName(_payees_in_rounds(large.filter("is_row = 0"), large.filter("is_row = 1 and open"))[0])
+    given = given.groupBy(*LEGS, "ord").agg(F.min("__payee").alias("__payee"))
     source = F.when(F.col("__payee").isNotNull() & F.lower(blank(F.col("source"))).isin("", "register"), "check_image_crop").otherwise(F.col("source"))
     return rows.join(given, [*LEGS, "ord"], "left").withColumn("source", source).withColumn("payee", F.coalesce("__payee", "payee")).select(rows.columns)
+
+
+def _payees_in_rounds(checks: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
+    """statement_id, ord and payee of open rows that a check fills, for statements of any size, and the rounds it took.
+
+    A number's list is its last check, if that has a name; an amount's list ends before its first check without one.
+    """
+    checks, rows = settled(checks), settled(_turns(rows, "number", "size"))
+    last = checks.filter("number <> ''").groupBy(*LEGS, "number").agg(F.max_by(F.struct("ord", "name"), F.struct("ord", "name")).alias("c"))
+    by_number = last.filter("c.name <> ''").select(*LEGS, F.concat(F.lit("number:"), "number").alias("key"), F.col("c.ord").alias("slot"), F.col("c.name").alias("name"))
+    near = checks.filter("size is not null and size <> 0").select(*LEGS, "ord", "name", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    near = near.join(rows.select(*LEGS, "size").distinct(), [*LEGS, "size"], "left_semi")
+    stop = near.filter("name = ''").groupBy(*LEGS, "size").agg(F.min("ord").alias("stop"))
+    by_amount = near.join(stop, [*LEGS, "size"], "left").filter("name <> '' and (stop is null or ord < stop)")
+    by_amount = by_amount.select(*LEGS, F.concat(F.lit("amount:"), F.col("size").cast("string")).alias("key"), F.col("ord").alias("slot"), "name")
+    lists = settled(by_number.unionByName(by_amount).groupBy(*LEGS, "key", "slot").agg(F.min("name").alias("name")))
+    named = rows.join(last.select(*LEGS, "number", F.lit(True).alias("listed")), [*LEGS, "number"], "left")
+    key = F.when(F.col("listed"), F.concat(F.lit("number:"), "number")).when(F.col("size").isNotNull(), F.concat(F.lit("amount:"), F.col("size").cast("string")))
+    seekers = named.filter(key.isNotNull()).select(*LEGS, "turn", F.array(key).alias("keys"))
+    choice = in_turn(seekers, lists.select(*LEGS, "key", "slot", F.col("slot").cast("decimal(38,0)").alias("preference")))
+    filled = choice.chosen.join(lists, [*LEGS, "key", "slot"])
+    return filled.select(*LEGS, F.floor(F.col("turn") / TURNS).alias("ord"), F.col("name").alias("__payee")), choice.rounds

@@ -15,10 +15,15 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.coerce import blank, cents, check_number
 from ..functions.predicates import is_clean_payee
-from .sequence import walked
+from .alike import alike
+from .pieces import LARGE
+from .rounds import in_turn
+from .sequence import by_size, settled, walked
 
 # The least ratio that matches by name, the ratio below which a payee is replaced, and outdated notes.
 LEAST_RATIO, SAME_NAME = 0.60, 0.85
+#: Crops of one ord at most.
+TURNS = 1024
 STALE_STARTS, STALE = ("OCR fallback path", "OCR fallback \u2014"), ("Missing payee", "Missing date")
 
 
@@ -79,9 +84,10 @@ class _Free:
 def match_checks(transactions: DataFrame, crops: DataFrame) -> DataFrame:
     """statement_id, crop_ord, ord, tier (check_number, amount, name) and alike of matched crops; each transaction serves one.
 
-    By number, then by amounts within a cent, then by the crop's payee and the transaction's description. A statement's
-    transactions come before its crops, so a crop costs a few looks, and comparisons with different descriptions only
-    if it has neither number nor amount in common.
+    By number, then by amounts within a cent, then by the crop's payee and the transaction's description. Statements of
+    LARGE rows and more are matched in rounds (rounds.in_turn), which give the same; of the others, a task walks through
+    many: a statement's transactions come before its crops, so a crop costs a few looks, and comparisons with different
+    descriptions only if it has neither number nor amount in common. Equal ords of a statement are one transaction.
     """
 
     def match(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -105,7 +111,51 @@ def match_checks(transactions: DataFrame, crops: DataFrame) -> DataFrame:
         return df.select("statement_id", F.lit(is_crop).alias("is_crop"), F.col("ord").cast("long").alias("ord"), check_number(F.col("check_no")).alias("number"), cents(F.col("amount")).alias("size"), text.alias("name"))
 
     both = side(transactions, 0, "description").unionByName(side(crops, 1, "payee"))
-    return walked(both, ["statement_id"], ["is_crop", "ord"], match, "statement_id string, crop_ord long, ord long, tier string, alike double")
+    small, large = by_size(both, LARGE)
+    found = walked(small, ["statement_id"], ["is_crop", "ord"], match, "statement_id string, crop_ord long, ord long, tier string, alike double")
+    return found if large is None else found.unionByName(_in_rounds(large.filter("is_crop = 0"), large.filter("is_crop = 1"))[0])
+
+
+def _in_rounds(free: DataFrame, crops: DataFrame) -> tuple[DataFrame, int]:
+    """match_checks() for statements of any size, and the rounds it took: lists by number, by amount and by name, in turn."""
+    free, crops = settled(free), settled(crops)
+    place = F.col("ord").cast("decimal(38,0)").alias("preference")
+    listed = lambda rows, kind, value: rows.select("statement_id", F.concat(F.lit(f"{kind}:"), value.cast("string")).alias("key"), F.col("ord").alias("slot"), place)
+    numbers = listed(free.filter("number <> ''"), "number", F.col("number"))
+    sizes = listed(free.filter("size is not null").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))), "amount", F.col("size"))
+    nth = F.row_number().over(Window.partitionBy("statement_id", "ord").orderBy("number", "size", "name")) - 1
+    keys = F.array_compact(F.array(
+        F.when(F.col("number") != "", F.concat(F.lit("number:"), "number")), F.when(F.col("size").isNotNull(), F.concat(F.lit("amount:"), F.col("size").cast("string"))),
+        F.when(F.col("name") != "", F.concat(F.lit("name:"), "name")),
+    ))
+    # Crops of one ord take turns.
+    seekers = settled(crops.select("statement_id", "ord", (F.col("ord") * TURNS + nth).alias("turn"), keys.alias("keys")))
+    asked = crops.select("statement_id", F.explode(keys).alias("key")).join(numbers.union(sizes).select("statement_id", "key").distinct(), ["statement_id", "key"], "left_semi").distinct()
+    lists = numbers.union(sizes).join(asked, ["statement_id", "key"], "left_semi").distinct()
+    ratios: list[DataFrame] = []
+
+    def by_name(keys: DataFrame) -> DataFrame:
+        names = keys.filter(F.col("key").startswith("name:")).select("statement_id", F.substring("key", 6, 2**31 - 1).alias("text"))
+        if names.isEmpty():
+            return lists.limit(0)
+        pairs = settled(alike(names, free.select("statement_id", F.col("name").alias("text")), LEAST_RATIO))
+        ratios.append(pairs)
+        rows = pairs.join(free.select("statement_id", F.col("name").alias("theirs"), "ord"), ["statement_id", "theirs"])
+        # The most alike first; ratios of texts differ by more than the twelfth digit.
+        worse = F.round((1 - F.col("ratio")) * 1e12).cast("decimal(38,0)") * F.lit(2**62).cast("decimal(19,0)")
+        return rows.groupBy("statement_id", F.concat(F.lit("name:"), "ours").alias("key"), F.col("ord").alias("slot")).agg(F.min((worse + F.col("ord")).cast("decimal(38,0)")).alias("preference"))
+
+    choice = in_turn(seekers, lists, by_name)
+    out = choice.chosen.select("statement_id", F.floor(F.col("turn") / TURNS).alias("crop_ord"), F.col("slot").alias("ord"), F.substring_index("key", ":", 1).alias("tier"), F.substring("key", 6, 2**31 - 1).alias("ours"))
+    out = out.withColumn("tier", F.when(F.col("tier") == "number", "check_number").otherwise(F.col("tier")))
+    told = None
+    for p in ratios:
+        told = p if told is None else told.unionByName(p)
+    if told is None:
+        return out.withColumn("alike", F.lit(None).cast("double")).drop("ours"), choice.rounds
+    best = told.join(free.select("statement_id", F.col("name").alias("theirs"), "ord"), ["statement_id", "theirs"]).groupBy("statement_id", "ours", "ord").agg(F.max("ratio").alias("alike"))
+    named = out.join(best, ["statement_id", "ours", "ord"], "left")
+    return named.select("statement_id", "crop_ord", "ord", "tier", F.when(F.col("tier") == "name", F.col("alike")).alias("alike")), choice.rounds
 
 
 def _numbered(rows: DataFrame, key: list[str], order: list[Column | str], name: str) -> DataFrame:

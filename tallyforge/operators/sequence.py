@@ -9,6 +9,7 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32()}
 
@@ -40,6 +41,15 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def by_size(rows: DataFrame, least: int, by: str = "statement_id") -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups below `least` rows, rows of the others or None if there are none); null groups are among the first."""
+    large = rows.groupBy(by).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select(by).filter(F.col(by).isNotNull())
+    if large.isEmpty():
+        return rows, None
+    large = settled(large)
+    return rows.join(large, by, "left_anti"), rows.join(large, by, "left_semi")
+
+
 def walked(rows: DataFrame, by: list[str], order: list[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], kind: str) -> DataFrame:
     """What `walk` yields, with the columns of `kind`, from the rows as tuples in their order.
 
