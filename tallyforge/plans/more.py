@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import coerce, predicates
 from ..operators import assembly, lines, matching, merging, payees, receivables, reports, rules
 from ..sources import tables
-from .queries import _ALL, AS_OF, QUERIES, RULES, SQL, clients, legs, query, requests, table, transactions
+from . import walks
+from .queries import _ALL, _RECURSIVE, AS_OF, QUERIES, RULES, SQL, clients, legs, query, requests, table, transactions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -124,13 +125,13 @@ def eft_debits(spark, sf):
     return rows.filter("amount < 0 and check_no = ''").groupBy(hit.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(_RECURSIVE + walks.MATCHES)
 def three_tier_match(spark, sf):
     both = legs(spark, sf)
     return matching.match_checks(both.filter("source = 'register'"), both.filter("source <> 'register'"))
 
 
-@query(None)
+@query(_RECURSIVE + walks.PAYEES)
 def payee_merge(spark, sf):
     both = legs(spark, sf)
     checks = both.filter("source <> 'register'").select("statement_id", "ord", "check_no", F.concat(F.lit("Payee "), F.col("ord").cast("string")).alias("pay_to"), F.abs("amount").alias("amount"))

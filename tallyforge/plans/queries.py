@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, predicates
 from ..operators import assembly, merging, receivables, reports, rules
 from ..operators.pieces import Ordered
+from . import walks
 
 #: The present of every query.
 AS_OF = "2000-06-15 12:00:00"
@@ -85,6 +86,7 @@ def _with(**views: str) -> str:
 
 
 _ALL = _with(clients=_CLIENTS, requests=_REQUESTS, ledger=_LEDGER, legs=_LEGS)
+_RECURSIVE = f"WITH RECURSIVE legs AS ({_LEGS}), "
 
 
 @query(_ALL + """SELECT c.client_id, business_name, industry, round(coalesce(sum(amount_due) FILTER (WHERE status IN ('Pending', 'Received', 'Invoiced')), 0), 2) AS total_due,
@@ -272,17 +274,18 @@ def check_coverage(spark, sf):
     return assembly.covered(both.filter("source = 'register'"), both.filter("source <> 'register'"))
 
 
-@query(None)
+@query(_RECURSIVE + walks.TRIMMED)
 def budget_trim(spark, sf):
     checks = legs(spark, sf).filter("source = 'check_image_crop'")
     budgets = checks.groupBy("statement_id").agg((F.sum(F.abs("amount")) * 0.6).alias("budget"))
     return assembly.budget_trim(checks, budgets).select("statement_id", "ord", "amount")
 
 
-@query(None)
+@query(_RECURSIVE + walks.SUPPLEMENTS)
 def supplemental_selection(spark, sf):
     both = legs(spark, sf)
-    return assembly.supplemental(both.filter("source = 'register'"), both.filter("source <> 'register'"))
+    found = assembly.supplemental(both.filter("source = 'register'"), both.filter("source <> 'register'"))
+    return found.withColumn("register_ord", F.coalesce("register_ord", F.lit(-1)))
 
 
 _TEXT = "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents"
