@@ -62,6 +62,16 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where columns of df have them, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """A unique long for each row, also of repeated rows. Stable once the table is written."""
     return df.withColumn(name, F.monotonically_increasing_id())

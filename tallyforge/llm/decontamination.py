@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 #: Words of a window: a document and an item share a passage if they share so many words in a row.
 WINDOW = 10
@@ -108,5 +108,6 @@ def _windows(n: int) -> list[Column]:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item."""
-    hit = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
-    return docs.join(hit, _key() == F.col("__hit"), "left_anti")
+    (name,) = unused(docs, "__hit")
+    hit = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("key").alias(name)).distinct()
+    return docs.join(hit, _key() == F.col(name), "left_anti")

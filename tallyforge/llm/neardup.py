@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, with_uid
+from .common import discard, materialise, slices, unused, with_uid
 from .components import connected_components, roots
 
 #: Values of a sketch, the least hashes of a set's shingles.
@@ -345,11 +345,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keys = materialise(linked.groupBy("doc_id", "mark", "digest").agg(F.count("*").alias("k")).join(named, "digest").drop("digest"))
     kept = keys.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("m")).select("m.*", F.lit(True).alias("stays"))
     marked = materialise(keys.join(kept, ["doc_id", "mark"], "left"))
-    dropped = marked.filter("stays is null").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    again = marked.filter("stays and k > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    same = (F.col("doc_id") == F.col("__id")) & (_mark() == F.col("__mark"))
+    id_, mark = unused(docs, "__id", "__mark")
+    keyed = lambda test: marked.filter(test).select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+    dropped, again = keyed("stays is null"), keyed("stays and k > 1")
+    same = (F.col("doc_id") == F.col(id_)) & (_mark() == F.col(mark))
     out = docs.join(_small(dropped), same, "left_anti")
     if again.isEmpty():
         return out
-    repeated = docs.join(_small(again), same).dropDuplicates(["__id", "__mark"]).select(docs.columns)
+    repeated = docs.join(_small(again), same).dropDuplicates([id_, mark]).select(docs.columns)
     return out.join(_small(again), same, "left_anti").unionByName(repeated)

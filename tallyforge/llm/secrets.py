@@ -46,7 +46,8 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]], least: int = 16) -> list[tuple[int, int, str]]:
-    """Runs of at least `least` characters of credentials outside base matches, without dots and equal signs at their ends.
+    """Runs of characters of credentials, what base matches leave of them, of at least `least` characters without the dots,
+    equal signs and the like at their ends.
 
     One sweep: runs and matches both come in order, so a text costs its length.
     """
@@ -57,15 +58,23 @@ def candidates(text: str, base: list[tuple[str, int, int, str]], least: int = 16
         else:
             taken.append([start, end])
     found, i = [], 0
+
+    def add(start: int, end: int) -> None:
+        part = text[start:end]
+        core = part.strip(".=-/_")
+        if len(core) >= least:
+            start += len(part) - len(part.lstrip(".=-/_"))
+            found.append((start, start + len(core), core))
+
     for m in _run_of(least).finditer(text):
-        core = m[0].strip(".=-/_")
-        if len(core) < least:
-            continue
-        start = m.start() + len(m[0]) - len(m[0].lstrip(".=-/_"))
-        while i < len(taken) and taken[i][1] <= start:
+        at = m.start()
+        while i < len(taken) and taken[i][1] <= at:
             i += 1
-        if i == len(taken) or taken[i][0] >= start + len(core):
-            found.append((start, start + len(core), core))
+        k = i
+        while k < len(taken) and taken[k][0] < m.end():
+            add(at, taken[k][0])
+            at, k = max(at, taken[k][1]), k + 1
+        add(at, m.end())
     return found
 
 
@@ -155,21 +164,23 @@ class FormatAutomaton:
         self.states = len(kept)
 
     def score(self, word: str) -> float:
-        """Mean log likelihood per character and end; unseen characters get a smoothed share and restart."""
+        """Mean log likelihood per character and end; unseen characters and ends get a smoothed share, and characters restart."""
         state, total = 0, 0.0
         for c in word:
             n = self.reach[state]
             total += math.log((self.count[state][c] + 0.05) / (n + 0.05 * self.alphabet))
             state = self.next[state].get(c, 0)
-        return total / max(1, len(word))
+        total += math.log((self.ends[state] + 0.05) / (self.reach[state] + 0.05 * self.alphabet))
+        return total / (len(word) + 1)
 
 
 class FormatModel:
     """An automaton for each kind, its threshold, and a character background that a format must beat.
 
     Every labelled credential is scored by an automaton that learnt from the other folds (all others, if fewer than
-    FOLDS); the threshold is the score that all but MISSED of them reach. A kind with one credential teaches nothing:
-    no other could confirm it. `least` is the length of the shortest credential; shorter runs are no candidates.
+    FOLDS); a candidate must score no less than all but MISSED of them, and no more than the best of them: a piece of a
+    credential, mostly its fixed beginning, is too likely. A kind with one credential teaches nothing: no other could
+    confirm it. `least` is the length of the shortest credential; shorter runs are no candidates.
     """
 
     def __init__(self, labelled: dict[str, list[str]]):
@@ -177,7 +188,7 @@ class FormatModel:
         total = sum(background.values())
         self.background = {c: math.log((n + 1) / (total + 64)) for c, n in background.items()}
         self.rare = math.log(1 / (total + 64))
-        self.automata: dict[str, tuple[FormatAutomaton, float]] = {}
+        self.automata: dict[str, tuple[FormatAutomaton, float, float]] = {}
         for kind, words in sorted(labelled.items()):
             folds = min(FOLDS, len(words))
             if folds < 2:
@@ -186,7 +197,9 @@ class FormatModel:
             for k in range(folds):
                 other = FormatAutomaton([w for i, w in enumerate(words) if i % folds != k])
                 scores += [other.score(w) for w in words[k::folds]]
-            self.automata[kind] = (FormatAutomaton(words), sorted(scores)[int(MISSED * len(scores))])
+            whole = FormatAutomaton(words)
+            # The whole automaton, which knows all credentials, scores them higher than those of the folds do.
+            self.automata[kind] = (whole, sorted(scores)[int(MISSED * len(scores))], max(*scores, *map(whole.score, words)))
         self.least = min((len(w) for kind in self.automata for w in labelled[kind]), default=0)
         self.known: dict[str, bool] = {}
 
@@ -195,7 +208,7 @@ class FormatModel:
             if len(self.known) > REMEMBERED:
                 self.known = {}
             plain = sum(self.background.get(c, self.rare) for c in word) / len(word)
-            answer = self.known[word] = any((s := a.score(word)) >= edge and s >= plain for a, edge in self.automata.values())
+            answer = self.known[word] = any(low <= (s := a.score(word)) <= high and s >= plain for a, low, high in self.automata.values())
         return answer
 
     def spans(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
@@ -226,8 +239,9 @@ def learn_formats(docs: DataFrame) -> FormatModel:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of kind, start, end by start, then kind), base (those of the base patterns).
 
-    Spans of kind "format" come from the learnt automata, which score every run of characters of credentials that is
-    as long as the shortest labelled credential. Null and empty texts have no spans; repeated rows stay; of matches
+    Spans of kind "format" come from the learnt automata, which score every run of characters of credentials, or what base
+    matches leave of it, that is as long as the shortest labelled credential. Credentials of more than LONGEST characters
+    are found like others, but none teaches. Null and empty texts have no spans; repeated rows stay; of matches
     that start together, kinds come as listed; very long texts are read once, in order; an empty table gives no rows;
     other columns are ignored, whatever their names.
     """
