@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five operators, each on all that the one before kept.
 
 Null and empty texts and null ids pass every filter and are packed as an end alone. Repeated rows: the second stage keeps
-one; the others treat each by itself. Very long texts are taken whole. An empty table gives no rows. Columns beyond id and
+one; the others treat each by itself. The first stage learns from the labels of all documents, those that it filters included. Very long texts are taken whole. An empty table gives no rows. Columns beyond id and
 text are passed on until packing, whatever their names. Each stage's result is written and read back, which ends lineage.
 """
 
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import decontamination, neardup, packing, secrets, toxicity
-from tallyforge.llm.common import materialise, table
+from tallyforge.llm.common import discard, materialise, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if written is not None:  # what the stage read is not read again
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
