@@ -301,17 +301,14 @@ def _in_place(rows: Ordered) -> DataFrame:
     return rows.carried(count={"ord": F.lit(True)}).rows.withColumn("ord", F.col("ord").cast("int")).drop("__place", PIECE)
 
 
-def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
-    """Transactions of a statement's lines (statement_id, line_no, text), as finish() gives them.
+def classified(lines: DataFrame, year: Column, *more: str) -> DataFrame:
+    """Lines with `heading` and `section` as events: heading, cells, register (of checks) or line, with what they hold.
 
-    Headings set the section, or end it; a date at a line's start holds until the next. Lines of cells (` | `) and of a
-    check register are rows by themselves. Lines without an amount wait for the next amount line and precede its text;
-    a date or heading before it makes them a row without an amount. A statement of any length spreads over tasks (pieces).
+    date, body, amount and check_no are those of the line itself; named: it has words of a transaction; kept: it may
+    wait for an amount. Lines that say nothing are left out. more: columns to keep.
     """
-    held = _sections(_lines(lines.withColumn("text", F.trim("text")).filter("text <> ''")))
-    live = held.rows.filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
     cells = F.transform(F.split("text", r" \| "), lambda c: F.trim(c))
-    live = live.withColumn("__cells", F.when(F.col("heading").isNull() & F.col("text").contains(" | "), cells_row(cells, F.col("section"), year)))
+    live = lines.withColumn("__cells", F.when(F.col("heading").isNull() & F.col("text").contains(" | "), cells_row(cells, F.col("section"), year)))
     part = lambda i: F.regexp_extract("text", REGISTER_ROW, i)
     in_checks = F.col("heading").isNull() & (F.col("section") == "check") & F.col("text").rlike(REGISTER_ROW)
     paid = coerce.pick_amount(coerce.amounts(part(3)))
@@ -327,12 +324,23 @@ def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
     line, body = F.col("event") == "line", F.col("__body")
     named = body.rlike(predicates.TRANSACTION_HINT) | body.rlike(predicates.CHECK_NUMBER) | F.trim(F.element_at(F.split(body, r"\|"), 1)).rlike(predicates.LONE_NUMBER)
     kept = body.rlike(predicates.TRANSACTION_HINT) | F.substring(body, 1, 20).rlike(DATE_TOKEN) | body.rlike(predicates.CHECK_NUMBER)
-    events = live.select(
-        "statement_id", PIECE, F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(line, F.col("__own")).otherwise(made["date"]).alias("date"),
+    return live.select(
+        "statement_id", *more, F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(line, F.col("__own")).otherwise(made["date"]).alias("date"),
         F.when(line, body).otherwise(made["description"]).alias("body"), F.when(line, coerce.pick_amount(coerce.amounts(body))).otherwise(made["amount"]).alias("amount"),
         made["check_no"].alias("check_no"), named.alias("named"), kept.alias("kept"),
     )
-    return dedupe_transactions(finish(_in_place(_gathered(replace(held, rows=events))), "text", year))
+
+
+def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
+    """Transactions of a statement's lines (statement_id, line_no, text), as finish() gives them.
+
+    Headings set the section, or end it; a date at a line's start holds until the next. Lines of cells (` | `) and of a
+    check register are rows by themselves. Lines without an amount wait for the next amount line and precede its text;
+    a date or heading before it makes them a row without an amount. A statement of any length spreads over tasks (pieces).
+    """
+    held = _sections(_lines(lines.withColumn("text", F.trim("text")).filter("text <> ''")))
+    live = held.rows.filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
+    return dedupe_transactions(finish(_in_place(_gathered(replace(held, rows=classified(live, year, PIECE)))), "text", year))
 
 
 def _meaning(text: str) -> bool:
