@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules
+from ..sources import fields
 from .queries import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -69,3 +70,28 @@ def pattern_texts(spark, sf):
     known = word_rules(spark, sf).select("pattern")
     found = anchors.contained(lines_of(spark, sf).select(F.col("description").alias("text")), known).groupBy("pattern").agg(F.count("*").alias("texts"))
     return known.join(found, "pattern", "left").na.fill(0, ["texts"])
+
+
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, * FROM orders),
+    l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+    SELECT statement_id, 'Status' AS path, o_orderstatus AS value FROM o
+    UNION ALL SELECT statement_id, 'Placed.Day', strftime(o_orderdate, '%Y-%m-%d') FROM o
+    UNION ALL SELECT statement_id, 'Placed.By.Client', CAST(o_custkey AS VARCHAR) FROM o
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Lines[' || i || '].Cents', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) FROM l
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'Lines[' || i || '].Marks[' || k || ']', CASE k WHEN 0 THEN l_returnflag ELSE l_linestatus END FROM l, (VALUES (0), (1)) AS v(k)""")
+def field_leaves(spark, sf):
+    """Orders and their lines as nested responses, unwrapped to leaves of three depths."""
+    leaf = lambda name, value: F.struct(value.alias(name))
+    inside = lambda **fields_: F.struct(F.struct(*[v.alias(k) for k, v in fields_.items()]).alias("valueObject"))
+    line = inside(
+        Cents=leaf("valueCurrency", F.struct(F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))),
+        Marks=leaf("valueArray", F.array(F.to_json(leaf("valueString", F.col("l_returnflag"))), F.to_json(leaf("content", F.col("l_linestatus"))))),
+    )
+    # The two marks differ in shape, so they are put in as text.
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.to_json(line).alias("line"))))
+    listed = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit('{"valueArray":['), F.array_join(F.transform(ordered, lambda x: x["line"]), ","), F.lit("]}")).alias("lines"))
+    listed = listed.withColumn("lines", F.regexp_replace(F.regexp_replace("lines", r'"(\{\\".*?\})"', "$1"), r'\\"', '"'))
+    order = F.to_json(inside(Status=leaf("valueString", F.col("o_orderstatus")), Placed=inside(Day=leaf("valueDate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")), By=inside(Client=leaf("valueInteger", F.col("o_custkey"))))))
+    o = table(spark, sf, "orders").join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    whole = F.when(F.col("lines").isNull(), order).otherwise(F.concat(F.lit('{"valueObject":{"Lines":'), "lines", F.lit(","), F.substring(order, 17, F.length(order))))
+    return fields.unwrapped(o.select(F.col("o_orderkey").cast("string").alias("statement_id"), whole.alias("json"))).select("statement_id", "path", "value")
