@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import posixpath
 import uuid
 import zlib
@@ -35,22 +36,48 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _clean(value) -> str:
+    return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
+
+
 def _header(pairs: list[tuple[str, object]], first: str = "WARC/1.1") -> bytes:
-    clean = lambda v: "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(v))
-    return "".join([first, "\r\n", *(f"{k}: {clean(v)}\r\n" for k, v in pairs if v is not None), "\r\n"]).encode("utf-8")
+    return "".join([first, "\r\n", *(f"{k}: {_clean(v)}\r\n" for k, v in pairs if v is not None), "\r\n"]).encode("utf-8")
+
+
+def record_id(page_id, url, sha1: str) -> str:
+    """The same for the page wherever it is written: header values as they are read back."""
+    name = " ".join("None" if v is None else _clean(v).strip() for v in (page_id, url, sha1))
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def record(page_id, url, payload: bytes, sha1: str, refers_to=None, revisit: bool = False, size: int | None = None) -> bytes:
-    """A response with its HTTP head and payload, or a revisit with the head alone."""
+def info(name: str) -> bytes:
+    """The record that begins an archive and says what it is."""
+    block = _header([("format", "WARC File Format 1.1"), ("conformsTo", "http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/")], "software: tallyforge")
+    pairs = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"),
+        ("WARC-Date", DATE),
+        ("WARC-Filename", name),
+        ("Content-Type", "application/warc-fields"),
+        ("Content-Length", len(block)),
+    ]
+    return _header(pairs) + block + b"\r\n\r\n"
+
+
+def record(page_id, url, payload: bytes, sha1: str, refers_to=None, refers_url=None, revisit: bool = False, size: int | None = None) -> bytes:
+    """A response with its HTTP head and payload, or a revisit with the head alone, which names the record that it repeats."""
     size = len(payload) if size is None else size
     block = _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", size)], "HTTP/1.1 200 OK") + (b"" if revisit else payload)
     pairs = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha1}')}>"),
+        ("WARC-Record-ID", record_id(page_id, url, sha1)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{sha1}"),
         ("WARC-Profile", PROFILE if revisit else None),
+        ("WARC-Refers-To", record_id(refers_to, refers_url, sha1) if revisit else None),
+        ("WARC-Refers-To-Target-URI", refers_url if revisit else None),
+        ("WARC-Refers-To-Date", DATE if revisit else None),
         ("X-Page-Id", page_id),
         ("X-Refers-To-Page-Id", refers_to),
         ("X-Payload-Length", size),
@@ -97,43 +124,50 @@ def write_crawl(pages: DataFrame, folder: str) -> DataFrame:
                 payload = b"" if html is None else html.encode("utf-8")
                 data = record(page_id, url, payload, sha1 := digest(payload))
                 out.write(deflate.compress(data))
-                rows.append((name, ordinal, page_id, len(payload), sha1))
+                rows.append((name, ordinal, page_id, url, len(payload), sha1))
                 done, ordinal = done + len(data), ordinal + 1
                 if done >= ROTATE:
                     out.write(deflate.flush())
                     out = out.close()
-            yield pd.DataFrame(rows, columns=["file", "ordinal", "page_id", "payload_bytes", "payload_digest"])
+            yield pd.DataFrame(rows, columns=["file", "ordinal", "page_id", "url", "payload_bytes", "payload_digest"])
         if out is not None:
             out.write(deflate.flush())
             out.close()
 
     # Ids travel as text: pandas would make a column of longs with nulls one of doubles.
     named = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
-    out = named.mapInPandas(write, "file string, ordinal int, page_id string, payload_bytes long, payload_digest string")
+    out = named.mapInPandas(write, "file string, ordinal int, page_id string, url string, payload_bytes long, payload_digest string")
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
     """Inflate each file's one stream once, write every record as its own member, and a sidecar index beside it.
 
-    files: file, revisits (array of ordinal and refers_to). The index has a line of offset and length per record.
+    files: file, revisits (array of ordinal, refers_to and refers_url). The index has a line of JSON per record, the archive's
+    own included: offset, length, type, and of pages the id, URI and digest.
     """
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _open_store(folder)
         for batch in batches:
             for name, revisits in zip(batch["file"], batch["revisits"], strict=True):
-                again = {} if revisits is None else {r["ordinal"]: r["refers_to"] for r in revisits}
+                again = {} if revisits is None else {r["ordinal"]: (r["refers_to"], r["refers_url"]) for r in revisits}
                 target = name.replace("crawl-", f"archive-{uuid.uuid4().hex[:8]}-")
                 offset, index = 0, io.StringIO()
+
+                def add(out, data: bytes, **entry) -> None:
+                    nonlocal offset
+                    out.write(member := gzip.compress(data, 6, mtime=0))
+                    index.write(json.dumps({"offset": offset, "length": len(member), **entry}) + "\n")  # noqa: B023
+                    offset += len(member)
+
                 with store.open_input_stream(posixpath.join(root, name), compression=None) as raw, store.open_output_stream(posixpath.join(root, target), compression=None) as out:
+                    add(out, info(target), type="warcinfo")
                     for ordinal, (head, payload) in enumerate(read_records(io.BufferedReader(gzip.GzipFile(fileobj=raw)))):
-                        sha1 = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        data = record(head.get("X-Page-Id"), head.get("WARC-Target-URI"), payload, sha1, again.get(ordinal), ordinal in again)
-                        member = gzip.compress(data, 6, mtime=0)
-                        out.write(member)
-                        index.write(f"{offset} {len(member)}\n")
-                        offset += len(member)
+                        page_id, url, sha1 = head.get("X-Page-Id"), head.get("WARC-Target-URI"), head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        revisit = ordinal in again
+                        data = record(page_id, url, payload, sha1, *again.get(ordinal, (None, None)), revisit)
+                        add(out, data, type="revisit" if revisit else "response", page_id=page_id, url=url, digest=sha1)
                 with store.open_output_stream(posixpath.join(root, f"{target}.idx"), compression=None) as out:
                     out.write(index.getvalue().encode())
                 yield pd.DataFrame({"archive": [target]})
@@ -148,7 +182,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         store, root = _open_store(folder)
         for name in (n for batch in batches for n in batch["archive"]):
             with store.open_input_stream(posixpath.join(root, f"{name}.idx"), compression=None) as f:
-                spots = [tuple(map(int, line.split())) for line in f.read().splitlines()]
+                spots = [(e["offset"], e["length"]) for line in f.read().splitlines() if (e := json.loads(line))["type"] != "warcinfo"]
             rows = []
             with store.open_input_file(posixpath.join(root, name)) as f:
                 for offset, length in spots:
@@ -174,12 +208,12 @@ def archive_pages(pages: DataFrame, revisit_from: int = 0, folder: str | None =
     """
     folder = folder or shared_dir(pages.sparkSession)
     written = materialise(write_crawl(pages, folder))
-    order = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "file", "ordinal")
+    order = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "file", "ordinal", "url")
     groups = written.filter(F.col("payload_bytes") >= revisit_from).groupBy("payload_digest").agg(F.min(order).alias("kept"), F.count("*").alias("n"))
     # Written first, so that the join reads plain exchanges, which AQE splits at a hot payload.
     shared = materialise(groups.filter("n > 1").select("payload_digest", "kept"))
     same = written.join(shared, "payload_digest").filter((F.col("file") != F.col("kept.file")) | (F.col("ordinal") != F.col("kept.ordinal")))
-    revisits = same.groupBy("file").agg(F.collect_list(F.struct("ordinal", F.col("kept.page_id").cast("string").alias("refers_to"))).alias("revisits"))
+    revisits = same.groupBy("file").agg(F.collect_list(F.struct("ordinal", F.col("kept.page_id").cast("string").alias("refers_to"), F.col("kept.url").alias("refers_url"))).alias("revisits"))
     files = written.select("file").distinct().join(revisits, "file", "left")
     tasks = max(1, files.sparkSession.sparkContext.defaultParallelism)
     archives = materialise(normalise(files.repartition(tasks * 4, "file"), folder))

@@ -48,3 +48,30 @@ def test_rests_of_runs_are_candidates():
     base = secrets.base_matches(text)
     rests = [w for _, _, w in secrets.candidates(text, base, 8)]
     assert rests == ["qqqqqqqqqqqqqqqq"] and all(text[s:e] == w for s, e, w in secrets.candidates(text, base, 4))
+
+
+def test_other_readers_can_resolve_revisits(spark, tmp_path):
+    """Each revisit names the record, address and digest of a response that some archive holds; the index finds every record."""
+    import gzip
+    import json
+
+    from tallyforge.llm import warc
+
+    pages = [(i, rng_url, h) for i, (rng_url, h) in enumerate([("http://x/a", "<p>a</p>"), ("http://x/b", "<p>a</p>"), (None, "c"), ("http://x/ d\x01", "c"), ("http://x/e", None), (None, "<p>a</p>")])] + [(None, None, "c")]
+    warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), 0, str(tmp_path)).count()
+    heads, infos = {}, 0
+    for archive in tmp_path.glob("archive-*.gz"):
+        raw = archive.read_bytes()
+        entries = [json.loads(line) for line in (tmp_path / f"{archive.name}.idx").read_text().splitlines()]
+        assert entries[0]["type"] == "warcinfo" and entries[-1]["offset"] + entries[-1]["length"] == len(raw)
+        infos += 1
+        for e in entries[1:]:
+            [(head, _)] = warc.read_records(gzip.open(__import__("io").BytesIO(raw[e["offset"] : e["offset"] + e["length"]])))
+            assert (e["type"], e["page_id"], e["url"], f"sha1:{e['digest']}") == (head["WARC-Type"], head.get("X-Page-Id"), head.get("WARC-Target-URI"), head["WARC-Payload-Digest"])
+            heads[head["WARC-Record-ID"]] = head
+    assert infos and len(heads) == len(pages)
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for h in revisits:
+        first = heads[h["WARC-Refers-To"]]
+        assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first.get("WARC-Target-URI") == h.get("WARC-Refers-To-Target-URI") and first["WARC-Date"] == h["WARC-Refers-To-Date"]
