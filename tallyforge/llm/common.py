@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch: with Spark's 10,000, a batch of whole documents is some 100 MB in a worker, and as much in the JVM.
+BATCH_ROWS = 1000
 #: Parts in which the hashes of a class are ranked before the last ranking, so that no class is one task's work.
 SALTS = 64
 
@@ -33,9 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python workers BATCH_ROWS at a time, in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun."""
     path = shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     # Spark 4.1 takes a union of sides placed by one key to be placed by it, but may coalesce the sides differently.
     df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     df.write.parquet(path)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, discard, materialise
+from .common import bounded_sample, discard, materialise, small_batches
 from .training import Adam
 
 #: Words of a window and words from one window's start to the next; the last window of a text ends with it.
@@ -271,6 +271,7 @@ def scorer(spark: SparkSession, network: GatedNetwork | None):
 
     Null and empty texts are one window without words; without a network (one class of labels or none) scores are 0.
     """
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
@@ -290,7 +291,7 @@ def score(docs: DataFrame, network: GatedNetwork | None) -> DataFrame:
     return docs.select("doc_id", scorer(docs.sparkSession, network)("text").alias("score"))
 
 
-def text_scores(texts: list[str | None], network: GatedNetwork | None, limit: int = 1_000_000) -> np.ndarray:
+def text_scores(texts: list[str | None], network: GatedNetwork | None, limit: int = 300_000) -> np.ndarray:
     out, at, held, size = np.zeros(len(texts)), 0, [], 0
     if network is None:
         return out
