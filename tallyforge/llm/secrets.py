@@ -188,7 +188,8 @@ class FormatModel:
         total = sum(background.values())
         self.background = {c: math.log((n + 1) / (total + 64)) for c, n in background.items()}
         self.rare = math.log(1 / (total + 64))
-        self.automata: dict[str, tuple[FormatAutomaton, float, float]] = {}
+        self.automata: dict[str, tuple[FormatAutomaton, float]] = {}  # with the least score
+        self.most: dict[str, float] = {}
         for kind, words in sorted(labelled.items()):
             folds = min(FOLDS, len(words))
             if folds < 2:
@@ -199,7 +200,8 @@ class FormatModel:
                 scores += [other.score(w) for w in words[k::folds]]
             whole = FormatAutomaton(words)
             # The whole automaton, which knows all credentials, scores them higher than those of the folds do.
-            self.automata[kind] = (whole, sorted(scores)[int(MISSED * len(scores))], max(*scores, *map(whole.score, words)))
+            self.automata[kind] = (whole, sorted(scores)[int(MISSED * len(scores))])
+            self.most[kind] = max(*scores, *map(whole.score, words))
         self.least = min((len(w) for kind in self.automata for w in labelled[kind]), default=0)
         self.known: dict[str, bool] = {}
 
@@ -208,7 +210,7 @@ class FormatModel:
             if len(self.known) > REMEMBERED:
                 self.known = {}
             plain = sum(self.background.get(c, self.rare) for c in word) / len(word)
-            answer = self.known[word] = any(low <= (s := a.score(word)) <= high and s >= plain for a, low, high in self.automata.values())
+            answer = self.known[word] = any(least <= (s := a.score(word)) <= self.most[k] and s >= plain for k, (a, least) in self.automata.items())
         return answer
 
     def spans(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
