@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import blank, cents, check_number, check_number_of
 from ..functions.predicates import looks_like_deposit
 from .pieces import LARGE
+from .ranks import at_ranks, medians
 from .rounds import in_turn
 from .sequence import by_size, plain_unions, settled, walked
 
@@ -24,34 +25,42 @@ TURNS = 1024
 
 
 def exclusive_quartile(sorted_values: Column, i: int) -> Column:
-    """The i-th of three cut points of a sorted array, of which n values leave n + 1 gaps."""
+    """The i-th of three cut points of a sorted array, of which n values leave n + 1 gaps: for short lists in a cell."""
     n = F.size(sorted_values)
-    m = n + 1
-    j = F.least(F.greatest(F.floor(i * m / 4).cast("int"), F.lit(1)), n - 1)
-    delta = i * m - j * 4
+    j = F.least(F.greatest(F.floor(i * (n + 1) / 4).cast("int"), F.lit(1)), n - 1)
+    delta = i * (n + 1) - j * 4
     return (F.element_at(sorted_values, j) * (4 - delta) + F.element_at(sorted_values, j + 1) * delta) / 4
 
 
 def drop_outliers(checks: DataFrame, by: list[str] = LEGS) -> DataFrame:
-    """Without null and zero amounts, those over the cap, and unnumbered ones above the upper fence of four or more."""
+    """Without null and zero amounts, those over the cap, and unnumbered ones above the upper fence of four or more.
+
+    Quartiles are cut points of n values in n + 1 gaps, of values at exact ranks.
+    """
     size = F.abs("amount")
     kept = checks.filter(F.col("amount").isNotNull() & (F.col("amount") != 0) & (size <= CHECK_CAP))
-    q = kept.groupBy(*by).agg(F.array_sort(F.collect_list(size)).alias("v"))
-    low, high = exclusive_quartile(F.col("v"), 1), exclusive_quartile(F.col("v"), 3)
-    fence = F.when(F.size("v") >= 4, high + F.greatest(3 * (high - low), F.lit(LEAST_FENCE)))
-    fences = q.select(*by, fence.alias("__fence"))
+    place = lambda n, i: F.least(F.greatest(F.floor(i * (n + 1) / 4), F.lit(1)), n - 1)
+    q = at_ranks(kept, by, size, lambda n: {"__a": place(n, 1), "__b": place(n, 1) + 1, "__c": place(n, 3), "__d": place(n, 3) + 1})
+
+    def cut(i: int, low: str, high: str) -> Column:
+        delta = i * (F.col("n") + 1) - place(F.col("n"), i) * 4
+        return (F.col(low) * (4 - delta) + F.col(high) * delta) / 4
+
+    low, high = cut(1, "__a", "__b"), cut(3, "__c", "__d")
+    fences = q.select(*by, F.when(F.col("n") >= 4, high + F.greatest(3 * (high - low), F.lit(LEAST_FENCE))).alias("__fence"))
     inside = F.col("__fence").isNull() | (size <= F.col("__fence")) | (check_number(F.col("check_no")) != "")
     return kept.join(fences, by).filter(inside).drop("__fence")
 
 
 def median_pick(checks: DataFrame, by: list[str] = LEGS) -> DataFrame:
     """Of rows with one check number, the one nearest the leg's median amount, the first of equals; others stay."""
-    number = check_number(F.col("check_no"))
-    median = F.median(F.when(F.col("amount") != 0, F.abs("amount"))).over(Window.partitionBy(*by))
-    gap = F.abs(F.abs("amount") - F.coalesce(median, F.lit(0.0)))
+    plain_unions(checks.sparkSession)
+    middle = medians(checks.filter("amount <> 0"), by, F.abs("amount"), "__median")
+    numbered = checks.withColumn("__no", check_number(F.col("check_no")))
+    gap = F.abs(F.abs("amount") - F.coalesce("__median", F.lit(0.0)))
     first = F.row_number().over(Window.partitionBy(*by, "__no").orderBy("__gap", "ord"))
-    marked = checks.withColumn("__no", number).withColumn("__gap", gap).withColumn("__first", first)
-    return marked.filter((F.col("__no") == "") | (F.col("__first") == 1)).drop("__no", "__gap", "__first")
+    picked = numbered.filter("__no <> ''").join(middle, by, "left").withColumn("__gap", gap).withColumn("__first", first).filter("__first = 1")
+    return picked.select(checks.columns).unionByName(numbered.filter("__no = ''").select(checks.columns))
 
 
 def keep_first(rows: DataFrame, keys: list[Column], order: str = "ord", unless_blank: bool = False, by: list[str] = LEGS) -> DataFrame:
@@ -130,10 +139,10 @@ def best_per_crop(checks: DataFrame) -> DataFrame:
     plain_unions(checks.sparkSession)
     size, crop = F.abs(F.coalesce("amount", F.lit(0.0))), blank(F.col("crop_file"))
     plausible = (size > 0) & (size <= CHECK_CAP)
-    medians = checks.groupBy(*LEGS).agg(F.coalesce(F.median(F.when(plausible, size)), F.lit(0.0)).alias("__m"))
+    middle = checks.select(*LEGS).distinct().join(medians(checks.filter(plausible), LEGS, size, "__m"), LEGS, "left").na.fill({"__m": 0.0})
     rank = F.when(~plausible, F.struct(F.lit(2).alias("k"), F.lit(0.0).alias("gap"))).otherwise(F.struct((blank(F.col("check_no")) == "").cast("int").alias("k"), F.abs(size - F.col("__m")).alias("gap")))
     first = F.row_number().over(Window.partitionBy(*LEGS, "__crop").orderBy("__rank", "ord"))
-    marked = checks.join(medians, LEGS).withColumn("__crop", crop).withColumn("__rank", rank)
+    marked = checks.join(middle, LEGS).withColumn("__crop", crop).withColumn("__rank", rank)
     lone = marked.filter("__crop = ''")
     picked = marked.filter("__crop <> ''").withColumn("__n", first).filter("__n = 1").drop("__n")
     return picked.unionByName(lone).select(checks.columns)
@@ -211,8 +220,9 @@ def assemble(register: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFra
     too short take checks; register rows that a check covers go where checks were added. stats has a row a statement.
     """
     plain = checks.filter(~looks_like_deposit(blank(F.col("description")), blank(F.col("payee")), *([blank(F.col("review_reason"))] if "review_reason" in checks.columns else [])))
-    sound = drop_outliers(plain)
-    offered = dedupe_checks(median_pick(sound))
+    # Both are read several times below.
+    sound = settled(drop_outliers(plain))
+    offered = settled(dedupe_checks(median_pick(sound)))
     state = gate(register, offered)
     short = state.filter("incomplete").select(*LEGS)
     decided = supplemental(register.join(short, LEGS, "left_semi"), offered.join(short, LEGS, "left_semi"))
@@ -242,7 +252,7 @@ def budget_trim(checks: DataFrame, budgets: DataFrame, cap: int | None = None) -
     the slack. The cap never drops rows of a statement within its budget.
     """
     size = F.abs(F.coalesce("amount", F.lit(0.0)))
-    known = checks.groupBy(*LEGS).agg(F.sum(size).alias("__total"), F.coalesce(F.median(F.when(size > 0, size)), F.lit(0.0)).alias("__median")).join(budgets, LEGS)
+    known = checks.groupBy(*LEGS).agg(F.sum(size).alias("__total")).join(medians(checks.filter(size > 0), LEGS, size, "__median"), LEGS, "left").na.fill({"__median": 0.0}).join(budgets, LEGS)
     over = known.filter((F.col("budget") > 0) & (F.col("__total") > F.col("budget") + TRIM_SLACK))
     ranked = checks.join(over, LEGS).select(*LEGS, (check_number(F.col("check_no")) == "").alias("bare"), F.abs(size - F.col("__median")).alias("gap"), F.col("ord").cast("long").alias("ord"), size.alias("size"), F.col("budget").cast("double").alias("budget"))
 

@@ -64,9 +64,9 @@ class Ordered:
         wide = _meet(rows, edges, [*self.by, PIECE])
         return replace(self, rows=wide.select(*self.rows.columns, *[c.alias(n) for n, c in own.items()]))
 
-    def carried(self, last: dict[str, Column] | None = None, last_before: dict[str, Column] | None = None, count: dict[str, Column] | None = None, count_before: dict[str, Column] | None = None) -> Ordered:
-        """With columns: the last value that is not null (a null row counts as none) and how many rows hold a condition, up to
-        and with the row, or before it."""
+    def carried(self, last: dict[str, Column] | None = None, last_before: dict[str, Column] | None = None, count: dict[str, Column] | None = None, count_before: dict[str, Column] | None = None, total: dict[str, Column] | None = None) -> Ordered:
+        """With columns: the last value that is not null (a null row counts as none), how many rows hold a condition, and the
+        sum of whole numbers, up to and with the row, or before it."""
         here = self._settled()
         w = here._window()
         to, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -74,11 +74,14 @@ class Ordered:
         frame = lambda n: before if n in (last_before or {}) or n in (count_before or {}) else to
         local = {n: F.last(e, ignorenulls=True).over(frame(n)) for n, e in values.items()}
         local |= {n: F.coalesce(F.count_if(F.coalesce(e, F.lit(False))).over(frame(n)), F.lit(0)) for n, e in counts.items()}
+        local |= {n: F.coalesce(F.sum(e).over(to), F.lit(0)) for n, e in (total or {}).items()}
         if not here.cut:
             return replace(here, rows=here.rows.select("*", *[c.alias(n) for n, c in local.items()]))
         rows = here.rows.select("*", *[c.alias(f"__own_{n}") for n, c in local.items()])
         sums = [F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), F.col(here.order))).alias(n) for n, e in values.items()]
         sums += [F.count_if(F.coalesce(e, F.lit(False))).alias(n) for n, e in counts.items()]
+        sums += [F.sum(e).alias(n) for n, e in (total or {}).items()]
+        counts = {**counts, **(total or {})}
         past = Window.partitionBy(*here.by).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
         edges = here.rows.groupBy(*here.by, PIECE).agg(*sums)
         edges = edges.select(*here.by, PIECE, *[F.last(n, ignorenulls=True).over(past).alias(f"__at_{n}") for n in values], *[F.sum(n).over(past).alias(f"__at_{n}") for n in counts])
