@@ -181,13 +181,22 @@ def search(treaps: Treaps, terms: np.ndarray, weights: np.ndarray, ids: np.ndarr
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, and of BLOCK postings unless one document has more."""
+    """Batches joined and cut to at most so many rows, and to BLOCK postings unless one document has more."""
+    held, size, n = [], 0, 0
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
         ends, at = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))), 0
         while at < batch.num_rows:
-            to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1), at + rows, batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+            to = min(int(np.searchsorted(ends, ends[at] + BLOCK - size, "right")) - 1, at + rows - n, batch.num_rows)
+            if to <= at and held:
+                yield joined()
+                held, size, n = [], 0, 0
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            size, n, at = size + int(ends[to] - ends[at]), n + to - at, to
+    if held:
+        yield joined()
 
 
 def _best(found: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], n_docs: int, n_terms: int, vocabulary: int, k: int) -> DataFrame:

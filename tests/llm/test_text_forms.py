@@ -166,3 +166,18 @@ def test_control_strings_survive(spark):
         inner = r["part"][len(chat.OPEN) : -len(chat.CLOSE)]
         assert not any(c in inner for c in chat.CONTROLS)
     parts.unpersist()
+
+
+def test_blocks_are_joined_and_cut(monkeypatch):
+    """Small batches make one block; blocks keep to their postings and rows, and hold every document once, in order."""
+    monkeypatch.setattr(ranking, "BLOCK", 10)
+    sizes = [3, 0, 4, 3, 12, 1, 1, 0, 0, 9, 2]
+    rows = [(i, 1, list(range(n)), [1] * n) for i, n in enumerate(sizes)]
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int64()))])
+    for step in (1, 3, 11):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + step]], schema) for i in range(0, len(rows), step)]
+        for most in (100, 2):
+            blocks = [b.column(0).to_pylist() for b in ranking._blocks(iter(batches), most)]
+            assert [i for b in blocks for i in b] == list(range(len(rows)))
+            assert all(len(b) <= most and (sum(sizes[i] for i in b) <= 10 or len(b) == 1) for b in blocks)
+        assert [b.column(0).to_pylist() for b in ranking._blocks(iter(batches), 100)] == [[0, 1, 2, 3], [4], [5, 6, 7, 8], [9], [10]]
