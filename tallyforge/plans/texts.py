@@ -83,15 +83,17 @@ def field_leaves(spark, sf):
     """Orders and their lines as nested responses, unwrapped to leaves of three depths."""
     leaf = lambda name, value: F.struct(value.alias(name))
     inside = lambda **fields_: F.struct(F.struct(*[v.alias(k) for k, v in fields_.items()]).alias("valueObject"))
-    line = inside(
-        Cents=leaf("valueCurrency", F.struct(F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))),
-        Marks=leaf("valueArray", F.array(F.to_json(leaf("valueString", F.col("l_returnflag"))), F.to_json(leaf("content", F.col("l_linestatus"))))),
-    )
-    # The two marks differ in shape, so they are put in as text.
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.to_json(line).alias("line"))))
-    listed = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit('{"valueArray":['), F.array_join(F.transform(ordered, lambda x: x["line"]), ","), F.lit("]}")).alias("lines"))
-    listed = listed.withColumn("lines", F.regexp_replace(F.regexp_replace("lines", r'"(\{\\".*?\})"', "$1"), r'\\"', '"'))
-    order = F.to_json(inside(Status=leaf("valueString", F.col("o_orderstatus")), Placed=inside(Day=leaf("valueDate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")), By=inside(Client=leaf("valueInteger", F.col("o_custkey"))))))
+    mark = lambda flag, status: F.struct(flag.alias("valueString"), status.alias("content"))
+    none = F.lit(None).cast("string")  # nulls are left out of the JSON
+
+    def line(x):
+        marks = F.array(mark(x["l_returnflag"], none), mark(none, x["l_linestatus"]))
+        return inside(Cents=leaf("valueCurrency", leaf("amount", F.round(x["l_extendedprice"] * 100).cast("long"))), Marks=leaf("valueArray", marks))
+
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
+    listed = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(ordered.alias("lines"))
     o = table(spark, sf, "orders").join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    whole = F.when(F.col("lines").isNull(), order).otherwise(F.concat(F.lit('{"valueObject":{"Lines":'), "lines", F.lit(","), F.substring(order, 17, F.length(order))))
+    lines = F.when(F.col("lines").isNotNull(), leaf("valueArray", F.transform("lines", line)))
+    placed = inside(Day=leaf("valueDate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")), By=inside(Client=leaf("valueInteger", F.col("o_custkey"))))
+    whole = F.to_json(inside(Lines=lines, Status=leaf("valueString", F.col("o_orderstatus")), Placed=placed))
     return fields.unwrapped(o.select(F.col("o_orderkey").cast("string").alias("statement_id"), whole.alias("json"))).select("statement_id", "path", "value")

@@ -1,12 +1,15 @@
-"""Fields of service responses of any nesting, unwrapped to leaves level by level."""
+"""Fields of service responses of any nesting, unwrapped to leaves in one pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import json as js
+import sys
+from collections.abc import Iterator
 
-from ..functions.coerce import let
-from ..operators.sequence import settled
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # What a field's value is looked up under, in this order, when it is neither a list nor an object.
 TYPED = (
@@ -21,38 +24,108 @@ TYPED = (
     "valueCountryRegion",
     "content",
 )
+# Leaves that are handed on at once, and nesting that one value may have.
+BLOCK, NESTED = 10_000, 10_000
+_KNOWN = frozenset(TYPED)
+_LEAF = "path string, __text string, __raw string, __day boolean, __sure string"
 
 
-def _get(field: Column, name: str) -> Column:
-    """The part of a variant under a name: SQL null if there is none or the variant is no object, a variant null for `null`."""
-    return F.try_variant_get(field, f"$.{name}", "variant")
+class _Number(str):
+    """A number as it is written."""
 
 
-def _text(value: Column) -> Column:
-    """A variant's text: of a string itself, of anything else its JSON; null for `null`."""
-    whole = F.to_json(value)
-    return F.when(~F.is_variant_null(value), F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")), whole))
+_read = js.JSONDecoder(parse_int=_Number, parse_float=_Number).raw_decode
 
 
-def _kept(value: Column) -> Column:
-    return F.when(~F.is_variant_null(value), value)
+def _json(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{js.dumps(k)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return str(value) if isinstance(value, _Number) else js.dumps(value)
 
 
-def leaf_value(field: Column) -> Column:
-    """The text of a field that is no list and no object: of its first typed value, of `value`, or of the whole field.
+def _text(value) -> tuple[str | None, str | None]:
+    """A value's text, or else the JSON that Spark has to write in its form."""
+    kind = type(value)
+    if kind is str or value is None:
+        return value, None
+    if kind is bool or kind is _Number and value.isdigit() and len(value) < 19:
+        return _json(value), None
+    return None, _json(value)
 
-    A currency is its amount, or none; a date its first ten characters.
-    """
-    typed = F.array(*[F.struct(F.lit(name).alias("name"), _get(field, name).alias("v")) for name in TYPED])
 
-    def read(first: Column) -> Column:
-        name, value = first["name"], first["v"]
-        paid = F.when(F.schema_of_variant(value).startswith("OBJECT"), _text(_get(value, "amount"))).otherwise(_text(value))
-        return F.when(name == "valueCurrency", paid).when(name == "valueDate", F.substring(_text(value), 1, 10)).otherwise(_text(value))
+def _leaf(field) -> tuple[str | None, str | None, bool, str | None]:
+    """Of a field that is no list and no object: its first typed value, `value`, or the whole field, and its confidence.
 
-    first = let(F.try_element_at(F.filter(typed, lambda x: _kept(x["v"]).isNotNull()), F.lit(1)), lambda x: F.when(x.isNotNull(), F.struct(read(x).alias("text"))))
-    plain = let(_get(field, "value"), lambda v: F.when(v.isNotNull(), _text(v)).otherwise(_text(field)))
-    return let(first, lambda x: F.when(x.isNotNull(), x["text"]).otherwise(plain))
+    A currency is its amount, or none; a date is to be cut.
+    """
+    if type(field) is not dict:
+        return *_text(field), False, None
+    sure = field.get("confidence")
+    sure = None if sure is None else _json(sure)
+    for name in TYPED if len(field) > 1 else _KNOWN.intersection(field):
+        if (value := field.get(name)) is not None:
+            if name == "valueCurrency" and type(value) is dict:
+                value = value.get("amount")
+            return *_text(value), name == "valueDate", sure
+    return *_text(field["value"] if "value" in field else field), False, sure
+
+
+def _leaves(field) -> Iterator[tuple]:
+    """Path and leaf of each leaf below a field, which waits on a list of its own: nesting has no limit here."""
+    waiting = [("", field)]
+    while waiting:
+        path, field = waiting.pop()
+        listed = type(field) is dict and "valueArray" in field
+        if not listed and not (type(field) is dict and "valueObject" in field):
+            yield path, *_leaf(field)
+            continue
+        inner = field["valueArray" if listed else "valueObject"]
+        if path is None:
+            inner = list(inner.values()) if type(inner) is dict else inner
+            waiting.extend([(None, x) for x in inner] if type(inner) is list else [])
+        elif listed and type(inner) is list:
+            waiting.extend([(f"{path}[{i}]", x) for i, x in enumerate(inner)])
+        elif listed and type(inner) is dict:  # in the order of Spark's variants
+            names = sorted(inner, key=lambda n: n.encode("utf-16-be", "surrogatepass"))
+            waiting.extend([(f"{path}[{i}]", inner[n]) for i, n in enumerate(names)])
+        elif type(inner) is dict:
+            dot = f"{path}." if path else ""
+            waiting.extend([(dot + n, x) for n, x in inner.items()])
+        elif type(inner) is list:  # a list of fields without names has no paths
+            waiting.extend([(None, x) for x in inner])
+
+
+def _utf8(texts: tuple) -> pa.Array:
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeEncodeError:  # half a pair of surrogates is a question mark, as in Spark
+        return pa.array([t if t is None else t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+
+
+def _unwrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves of the responses in the last column, with the other columns."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), NESTED))
+
+    def block(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        path, text, raw, day, sure = zip(*found, strict=True)
+        own = [_utf8(path), _utf8(text), _utf8(raw), pa.array(day, pa.bool_()), _utf8(sure)]
+        rows = pa.array(at, pa.int64())
+        kept = [c.take(rows) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*kept, *own], names=[*batch.schema.names[:-1], "path", "__text", "__raw", "__day", "__sure"])
+
+    for batch in batches:
+        at, found = [], []
+        for i, text in enumerate(batch.columns[-1]):
+            for leaf in _leaves(_read(text.as_py().lstrip(" \t\r\n"))[0]):
+                at.append(i)
+                found.append(leaf)
+                if len(at) >= BLOCK:
+                    yield block(batch, at, found)
+                    at, found = [], []
+        if at:
+            yield block(batch, at, found)
 
 
 def unwrapped(responses: DataFrame, json: str = "json") -> DataFrame:
@@ -60,26 +133,14 @@ def unwrapped(responses: DataFrame, json: str = "json") -> DataFrame:
 
     A field with `valueArray` is a list of fields, else one with `valueObject` an object of fields, else a leaf. The text
     may be one field, or an object or list of fields as they stand in a response (`fields`). Paths are names and places:
-    `Accounts[0].Transactions[2].Date`. Each level of nesting is one step over all responses, which is written; empty
-    lists and objects give no leaf; text that is no JSON gives none; values of null leaves are null.
+    `Accounts[0].Transactions[2].Date`. One pass takes each response from its text to its leaves; nothing is written.
+    Empty lists and objects give no leaf; text that is no JSON gives none; values of null leaves are null. Texts are as
+    Spark's variants write them: it reads each response, and numbers and objects among the values, by itself.
     """
     keep = [c for c in responses.columns if c != json]
-    now = responses.select(*keep, F.lit("").alias("path"), F.try_parse_json(json).alias("field")).filter("field is not null")
-    spark, out = responses.sparkSession, None
-    while True:
-        told = now.withColumn("listed", _get(F.col("field"), "valueArray")).withColumn("held", _get(F.col("field"), "valueObject"))
-        kind = F.when(F.col("listed").isNotNull(), "list").when(F.col("held").isNotNull(), "object").otherwise("leaf")
-        told = told.select(*keep, "path", "field", kind.alias("kind"), F.coalesce("listed", "held").alias("inner"))
-        leaf = F.col("kind") == "leaf"
-        told = settled(told.select(
-            *keep, "path", "kind", _kept(F.col("inner")).alias("inner"), F.when(leaf, leaf_value(F.col("field"))).alias("value"),
-            F.when(leaf, F.try_variant_get("field", "$.confidence", "double")).alias("confidence"),
-        ))
-        leaves = told.filter(leaf).select(*keep, "path", "value", "confidence")
-        out = leaves if out is None else out.unionByName(leaves)
-        deeper = told.filter("kind <> 'leaf' and inner is not null")
-        if deeper.isEmpty():
-            return out
-        each = deeper.select(*keep, "path", "kind", "inner").lateralJoin(spark.tvf.variant_explode(F.col("inner").outer()))
-        step = F.when(F.col("kind") == "list", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("key")))
-        now = each.select(*keep, F.concat("path", step).alias("path"), F.col("value").alias("field"))
+    known = responses.filter(F.try_parse_json(json).isNotNull()).select(*keep, json)
+    kind = StructType([*known.select(*keep).schema.fields, *StructType.fromDDL(_LEAF).fields])
+    found = known.mapInArrow(_unwrapped, kind)
+    text = F.when(F.col("__raw").isNotNull(), F.to_json(F.try_parse_json("__raw"))).otherwise(F.col("__text"))
+    sure = F.try_variant_get(F.try_parse_json("__sure"), "$", "double")
+    return found.select(*keep, "path", F.when(F.col("__day"), F.substring(text, 1, 10)).otherwise(text).alias("value"), sure.alias("confidence"))

@@ -52,3 +52,19 @@ def test_unwrap_equals_a_plain_recursion(spark):
 
 def test_no_responses(spark):
     assert fields.unwrapped(spark.createDataFrame([], "id int, json string")).count() == 0
+
+
+def test_one_pass_whatever_the_nesting(spark):
+    deep = '{"valueNumber":1.50,"confidence":"0.5"}'
+    for i in range(150):
+        deep = f'{{"valueArray":[{deep}]}}' if i % 2 else f'{{"valueObject":{{"a":{deep}}}}}'
+    texts = [deep, '{"valueArray":{"b":"\\ud800","a":-0}}', '{"valueObject":["x"]}', '{"valueString":true,"valueDate":1}', '{"valueDate":{"b":1,"a":1e30}} ']
+    sc = spark.sparkContext
+    sc.setJobGroup("unwrap", "")
+    try:
+        found = sorted(map(tuple, fields.unwrapped(spark.createDataFrame(list(enumerate(texts)), "id int, json string")).collect()), key=str)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("unwrap"))
+    finally:
+        sc._jsc.clearJobGroup()
+    assert found == [(0, "[0].a" + "[0].a" * 74, "1.5", 0.5), (1, "[0]", "0", None), (1, "[1]", "?", None), (2, None, "x", None), (3, "", "true", None), (4, "", '{"a":1.0E3', None)]
+    assert jobs <= 2
