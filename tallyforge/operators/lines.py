@@ -15,7 +15,7 @@ from ..functions import coerce, predicates, repair
 from ..functions.coerce import AMOUNT, DATE_TOKEN, let
 from .assembly import dedupe_transactions
 from .pieces import PIECE, Ordered
-from .sequence import plain_unions, walked
+from .sequence import plain_unions, tasks_for, walked
 
 # Dates with a year, alone on a line or at its start; amounts; words of transactions.
 DATED = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
@@ -486,21 +486,23 @@ def parse_tables(cells: DataFrame, year: Column) -> DataFrame:
     """
     table = Window.partitionBy("statement_id", "table_no").orderBy("row_no")
     clean = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
-    rows = cells.withColumn("cells", clean).withColumn("__n", F.count("*").over(Window.partitionBy("statement_id", "table_no"))).filter("__n > 1").filter(F.size("cells") > 0)
-    rows = rows.withColumn("__joined", F.array_join("cells", " "))
-    rows = rows.withColumn("heading", predicates.section_of(F.col("__joined"))).withColumn("section", F.last("heading", ignorenulls=True).over(table))
-    rows = rows.withColumn("__run", F.count("heading").over(table)).filter(F.col("heading").isNull() & (F.coalesce(F.col("section"), F.lit("")) != "end"))
+    tasks = tasks_for(cells)
+    rows = cells.repartition(tasks, "statement_id", "table_no").withColumn("cells", clean).withColumn("__joined", F.array_join("cells", " ")).withColumn("heading", predicates.section_of(F.col("__joined")))
+    # All prefixes of a table share one sort, all of a run another: each sort holds its task's rows.
+    every = (Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"__n": F.count("*").over(table.rowsBetween(*every)), "section": F.last("heading", ignorenulls=True).over(table), "__run": F.count("heading").over(table)})
+    rows = rows.filter((F.col("__n") > 1) & (F.size("cells") > 0) & F.col("heading").isNull() & (F.coalesce(F.col("section"), F.lit("")) != "end")).drop("__n", "heading")
     low = F.lower("__joined")
     header, named = predicates.is_column_header(F.col("__joined")), low.contains("date") & low.rlike("amount|debit|credit|check|description")
     rows = rows.withColumn("__header", header).withColumn("__places", F.when(header | named, header_columns(F.col("cells"))))
-    run = Window.partitionBy("statement_id", "table_no", "__run")
-    first = F.min(F.when(named, F.struct("row_no", "__places"))).over(run)
-    latest = F.last(F.when(F.col("__header"), F.col("__places")), ignorenulls=True).over(run.orderBy("row_no"))
-    rows = rows.withColumn("__first", first).withColumn("__latest", latest)
+    run = Window.partitionBy("statement_id", "table_no", "__run").orderBy("row_no")
+    first = F.min(F.when(named, F.struct("row_no", "__places"))).over(run.rowsBetween(*every))
+    latest = F.last(F.when(F.col("__header"), F.col("__places")), ignorenulls=True).over(run)
+    rows = rows.withColumns({"__first": first, "__latest": latest})
     places = F.coalesce("__latest", F.when(F.col("row_no") >= F.col("__first.row_no") - 7, F.col("__first.__places")))
     rows = rows.withColumn("__places", places).filter("not __header")
     made = rows.withColumn("__r", cells_row(F.col("cells"), F.col("section"), year, F.col("__places"))).filter("__r is not null")
-    placed = made.select("statement_id", "table_no", "row_no", "__r.*", "section")
+    placed = made.select("statement_id", "table_no", "row_no", "__r.*", "section").repartition(tasks, "statement_id")
     return finish(placed.withColumn("ord", F.row_number().over(Window.partitionBy("statement_id").orderBy("table_no", "row_no"))), "text", year)
 
 

@@ -41,6 +41,16 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Rows that a task gets, on average, where rows are dealt by their number.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks over which rows are dealt so that one's memory does not grow with the input; counts the rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows.count() // ROWS_A_TASK))
+
+
 def by_size(rows: DataFrame, least: int, by: str = "statement_id") -> tuple[DataFrame, DataFrame | None]:
     """(rows of groups below `least` rows, rows of the others or None if there are none); null groups are among the first."""
     large = rows.groupBy(by).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select(by).filter(F.col(by).isNotNull())

@@ -198,3 +198,13 @@ def test_bank_and_number(spark):
     assert payees.guess_check_number(boxes).first()["check_no"] == "9999"
     tokens = spark.createDataFrame([("c", 0, "1234", [90.0, 99.0], [1.0, 5.0]), ("c", 1, "9999", [1.0, 9.0], [50.0, 55.0]), ("c", 2, "$ 1,200.50", [60.0, 70.0], [40.0, 45.0])], "crop_id string, idx int, text string, xs array<double>, ys array<double>")
     assert payees.check_fields(tokens).first()[1:] == ("1234", 1200.5)
+
+
+def test_tables_share_sorts_and_spread_by_their_rows(spark, monkeypatch):
+    from tallyforge.operators import sequence
+
+    monkeypatch.setattr(sequence, "ROWS_A_TASK", 2)
+    rows = [(s, t, r, c) for s in "ab" for t in (1, 2) for r, c in enumerate([["Other debits"], ["Date", "Check", "Amount", "Description"], ["01/05", "2419", "10.25", "Cafe"]])]
+    found = lines.parse_tables(spark.createDataFrame(rows, "statement_id string, table_no int, row_no int, cells array<string>"), F.lit(2026))
+    assert found.rdd.getNumPartitions() == 6 and sorted(r["amount"] for r in found.collect()) == [-10.25] * 4
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window [") <= 3
