@@ -13,6 +13,7 @@ from ..functions import predicates
 from ..functions.coerce import blank
 from ..functions.predicates import any_of
 from .rules import best_check_rule
+from .sequence import settled
 
 # The header that precedes a payee on its line, banks below which no bank is named, amounts on checks.
 ANCHOR_HEADER = r"(?i)(pay\s*to\s*(the\s*)?order\s*of[: ]*|pay\s*to[: ]*|order\s*of[: ]*)"
@@ -194,7 +195,7 @@ def legacy(lines: DataFrame) -> DataFrame:
 def extract_with_rules(lines: DataFrame, rules: DataFrame, profile: Profile | None = None, client: str = "") -> DataFrame:
     """As extract(), with the payee that the best check rule gives; a reason of another one ends with `+check_rule`."""
     profile = profile or Profile()
-    found = extract(lines, profile)
+    found = settled(extract(lines, profile))  # read three times below
     asked = found.filter("payee <> ''").select("crop_id", F.col("payee").alias("text"), F.lit(client).alias("client"), F.lit(profile.denied_bank or "").alias("bank"))
     ruled = best_check_rule(asked, rules, ["crop_id"]).select("crop_id", F.col("payee").alias("__ruled"))
     out = found.join(ruled, "crop_id", "left")

@@ -208,3 +208,12 @@ def test_tables_share_sorts_and_spread_by_their_rows(spark, monkeypatch):
     found = lines.parse_tables(spark.createDataFrame(rows, "statement_id string, table_no int, row_no int, cells array<string>"), F.lit(2026))
     assert found.rdd.getNumPartitions() == 6 and sorted(r["amount"] for r in found.collect()) == [-10.25] * 4
     assert found._jdf.queryExecution().sparkPlan().toString().count("Window [") <= 3
+
+
+def test_crops_are_read_once_for_their_rules(spark, monkeypatch):
+    seen, extract = spark.sparkContext.accumulator(0), payees.extract
+    told = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    monkeypatch.setattr(payees, "extract", lambda rows, profile: extract(rows, profile).withColumn("payee", told("payee")))
+    rows = spark.createDataFrame([(str(i), 0, "Pay to the order of Blue Sky Books", 0.9, 0.3) for i in range(5)], "crop_id string, idx int, text string, confidence double, y double")
+    known = spark.createDataFrame([("blue", "Blue Sky", "", "", 1)], "pattern string, payee string, client_override string, bank string, ord int")
+    assert [r["payee"] for r in payees.extract_with_rules(rows, known).collect()] == ["Blue Sky"] * 5 and seen.value == 5
