@@ -16,6 +16,8 @@ from .training import Adam
 
 #: Words of a window and words from one window's start to the next; the last window of a text ends with it.
 WINDOW, STRIDE = 32, 16
+#: Words whose n-grams are hashed at once.
+WORD_BLOCK = 10_000
 #: Rows of the word and of the character n-gram embeddings, and their columns; states of a direction; attention units.
 WORDS, GRAMS, COLUMNS, STATES, UNITS = 1 << 13, 1 << 14, 8, 8, 8
 #: Labelled documents of each class that the network learns from: those of smallest hash, of any length.
@@ -41,8 +43,18 @@ def window_starts(n: int) -> list[int]:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A word row for each word, and the n-gram rows of all words with each word's first; rows by hashes."""
+    """A word row for each word, and the n-gram rows of all words with each word's first; rows by hashes.
+
+    Words are taken in blocks: what is held of a word's characters meanwhile is many times its n-gram rows.
+    """
     rows = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % WORDS
+    gram, sizes = zip(*(_grams(words[i : i + WORD_BLOCK]) for i in range(0, len(words), WORD_BLOCK)), strict=True)
+    sizes = np.concatenate(sizes)
+    return rows, np.concatenate(gram), np.cumsum(sizes) - sizes
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram rows of all words, in their order, and how many each has."""
     marked = b"".join(b"<" + w + b">" for w in words)
     x = np.frombuffer(marked, np.uint8).astype(np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -57,17 +69,22 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if n >= 3:
             fits = left[: len(h)] >= n
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            grams.append((mixed >> np.uint64(40)).astype(np.int64)[fits] % GRAMS)
+            grams.append(((mixed >> np.uint64(40)).astype(np.int64)[fits] % GRAMS).astype(np.int32))
             owner.append(of[: len(h)][fits])
     gram, own = np.concatenate(grams), np.concatenate(owner)
-    order = np.argsort(own, kind="stable")
-    return rows, gram[order], np.searchsorted(own[order], np.arange(len(words)))
+    return gram[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words))
 
 
 def _means(table: np.ndarray, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.add.reduceat(table[gram], first) if len(gram) else np.zeros((len(first), table.shape[1]), table.dtype)
-    counts = np.diff(first, append=len(gram))
-    return np.where(counts[:, None] > 0, sums, 0) / np.maximum(counts, 1)[:, None].astype(table.dtype)
+    """The mean row of table of each word's n-grams, word block by word block; zeros for words without any."""
+    out, ends = np.zeros((len(first), table.shape[1]), table.dtype), np.append(first, len(gram))
+    for i in range(0, len(first), WORD_BLOCK):
+        at = ends[i : i + WORD_BLOCK + 1]
+        some, counts = gram[at[0] : at[-1]], np.diff(at)
+        if len(some):
+            sums = np.add.reduceat(table[some], np.minimum(at[:-1] - at[0], len(some) - 1))
+            out[i : i + WORD_BLOCK] = np.where(counts[:, None] > 0, sums, 0) / np.maximum(counts, 1)[:, None].astype(table.dtype)
+    return out
 
 
 @dataclass

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -234,6 +235,24 @@ def test_toxicity_slopes():
         w[spot] += 1e-3
 
 
+def test_toxicity_memory_of_many_words(monkeypatch):
+    rng = np.random.default_rng(0)
+    many = [bytes(w) for w in rng.integers(97, 123, (60_000, 9), np.uint8)]
+    network = toxicity.GatedNetwork.fresh()
+    tracemalloc.start()
+    parts = toxicity.features(many)
+    found = network.inputs(*parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # 111 MB if all words are hashed at once
+    monkeypatch.setattr(toxicity, "WORD_BLOCK", 7)
+    few = [b"", b"a", *many[:50]]
+    cut = toxicity.features(few)
+    monkeypatch.undo()
+    assert all((a == b).all() for a, b in zip(cut, toxicity.features(few), strict=True))
+    assert (network.inputs(*toxicity.features(many[:500]))[:-1] == found[:500]).all()
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(3)
     make = lambda bad: " ".join([*words(rng, rng.randrange(5, 120)).split(), *(["nasty" + rng.choice(["er", "ly", "s"])] if bad else []), *words(rng, 10).split()])
