@@ -83,7 +83,8 @@ def normal_date(x: Column, year: Column) -> Column:
         month, day, y = (F.try_element_at(part, F.lit(i)).try_cast("int") for i in (1, 2, 3))
         padded = lambda n, width: F.lpad(n.cast("string"), width, "0")
         full = let(F.when(y < 100, y + F.when(y < 70, 2000).otherwise(1900)).otherwise(y), lambda n: F.when(n.isNull() | (n < 2000), year).otherwise(n))
-        return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(F.concat_ws("-", padded(full, 4), padded(month, 2), padded(day, 2)), "yyyy-MM-dd"))
+        iso = F.when(text.rlike(r"^\d{4}-"), F.try_to_date(text, "yyyy-MM-dd"))  # a failed reading costs much more than a look
+        return F.coalesce(iso, F.try_to_date(F.concat_ws("-", padded(full, 4), padded(month, 2), padded(day, 2)), "yyyy-MM-dd"))
 
     return F.when(found != "", let(found, of))
 
@@ -113,7 +114,7 @@ def pick_amount(values: Column, prefer: str = "first_with_balance") -> Column:
 def strip_amounts(text: Column) -> Column:
     """Without the amounts at its end."""
     one = r"(?:-?\$?\d{1,3}(?:,\d{3})*\.\d{2}|\(\d{1,3}(?:,\d{3})*\.\d{2}\))"
-    return F.trim(F.regexp_replace(text, rf"(?:\s*{one})+\s*$", ""))
+    return F.trim(F.when(text.rlike(r"[\d)]\s*$"), F.regexp_replace(text, rf"(?:\s*{one})+\s*$", "")).otherwise(text))
 
 
 def check_number(x: Column) -> Column:

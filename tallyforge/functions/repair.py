@@ -9,6 +9,8 @@ from .coerce import blank, let
 
 # Amounts whose digits may be read as letters.
 MONEY = r"(?<![A-Za-z0-9])\$?(?:[\dOoIl]{1,3}(?:,[\dOoIl]{3})+|[\dOoIl]+)\.[\dOoIl]{2}(?![A-Za-z0-9])"
+# What every such amount with a letter holds.
+MISREAD = r"[OoIl][\dOoIl,]*\.[\dOoIl]{2}|\.(?:[OoIl][\dOoIl]|\d[OoIl])"
 
 # What a description begins with before its merchant, longer ones first where one begins another, and
 # what follows the merchant: numbers, dates, states and the country.
@@ -35,7 +37,8 @@ def fix_money(line: Column) -> Column:
     """Gaps around separators closed, and letters read for 0 and 1 put right, inside amounts alone."""
     closed = F.regexp_replace(line, r"(\d)\s*,\s*([\dOoIl])", "$1,$2")
     closed = F.regexp_replace(closed, r"([\dOoIl])\s*\.\s*([\dOoIl])", "$1.$2")
-    return fix_transfers(each_match(closed, MONEY, lambda m: F.translate(m, "OoIl", "0011")))
+    fixed = let(closed, lambda x: F.when(x.rlike(MISREAD), each_match(x, MONEY, lambda m: F.translate(m, "OoIl", "0011"))).otherwise(x))
+    return fix_transfers(fixed)
 
 
 def fix_transfers(line: Column) -> Column:

@@ -54,6 +54,16 @@ def _lines(lines: DataFrame) -> Ordered:
     return Ordered.of(lines, ["statement_id"], "line_no")
 
 
+def _shown(lines: DataFrame) -> DataFrame:
+    """Trimmed lines, without blank ones."""
+    return lines.withColumn("text", F.trim("text")).filter("text <> ''")
+
+
+def _dealt(lines: DataFrame) -> Ordered:
+    """Lines dealt to tasks by their number, before they are read: few tasks may have read the files."""
+    return _lines(lines).spread(tasks_for(lines))
+
+
 def _sections(lines: Ordered) -> Ordered:
     out = lines.then(lambda rows: rows.withColumn("heading", predicates.section_of(F.col("text")))).carried(last={"section": F.col("heading")})
     suppressed = F.coalesce(F.col("section") == "end", F.lit(False))
@@ -76,14 +86,13 @@ def until_terminator(lines: DataFrame) -> DataFrame:
 
 
 def _absorb_next(lines: Ordered, fused) -> Ordered:
-    """Lines of which some take the next: fused(text, next) is the new text, or null. Blank lines go first.
+    """Lines, none of them blank, of which some take the next: fused(text, next) is the new text, or null.
 
     Lines are taken from the top, so one that was taken takes none itself: in a run of lines that all could, every
     second one does. A line's place in its run is its number less that of the last line before it that could not.
     """
     columns = lines.rows.columns
-    trimmed = lines.then(lambda rows: rows.withColumn("text", F.trim("text")).filter("text <> ''")).followed({"__after": F.col("text")})
-    marked = trimmed.then(lambda rows: rows.withColumn("__new", fused(F.col("text"), F.col("__after")))).carried(count={"__at": F.lit(True)})
+    marked = lines.followed({"__after": F.col("text")}).then(lambda rows: rows.withColumn("__new", fused(F.col("text"), F.col("__after")))).carried(count={"__at": F.lit(True)})
     marked = marked.carried(last_before={"__stop": F.when(F.col("__new").isNull(), F.col("__at"))})
     odd = (F.col("__at") - F.coalesce("__stop", F.lit(0))) % 2 == 1
     return marked.then(lambda rows: rows.filter(odd).withColumn("text", F.coalesce("__new", "text")).select(columns))
@@ -95,7 +104,7 @@ def fuse_split_dates(lines: DataFrame) -> DataFrame:
     In this order: words of a transaction with an amount, then a date alone; a date alone, then words with an amount;
     up to four words without an amount, then a date and an amount without words of a transaction.
     """
-    return _fused(_lines(lines)).rows.drop(PIECE)
+    return _fused(_lines(_shown(lines))).rows.drop(PIECE)
 
 
 def _fused(lines: Ordered) -> Ordered:
@@ -104,11 +113,11 @@ def _fused(lines: Ordered) -> Ordered:
         date = lambda x, p: F.regexp_extract(x, p, 1)
         row = lambda x: ~x.rlike(LEADING_DATE) & x.rlike(PLAIN_AMOUNT) & x.rlike(VERB)
         rest = F.trim(F.regexp_replace(after, LEADING_DATE, ""))
-        short = ~text.rlike(LEADING_DATE) & ~text.rlike(PLAIN_AMOUNT) & text.rlike(VERB) & (F.size(F.split(text, r"\s+")) <= 4)
+        short = after.rlike(LEADING_DATE) & ~text.rlike(LEADING_DATE) & ~text.rlike(PLAIN_AMOUNT) & text.rlike(VERB) & (F.size(F.split(text, r"\s+")) <= 4)
         return (
             F.when(after.rlike(DATE_ONLY) & row(text), F.concat_ws(" ", date(after, DATE_ONLY), text))
             .when(text.rlike(DATE_ONLY) & row(after), F.concat_ws(" ", date(text, DATE_ONLY), after))
-            .when(short & after.rlike(LEADING_DATE) & after.rlike(PLAIN_AMOUNT) & ~rest.rlike(VERB), F.trim(F.concat_ws(" ", date(after, LEADING_DATE), text, rest)))
+            .when(short & after.rlike(PLAIN_AMOUNT) & ~rest.rlike(VERB), F.trim(F.concat_ws(" ", date(after, LEADING_DATE), text, rest)))
         )
 
     return _absorb_next(lines, fused)
@@ -116,7 +125,7 @@ def _fused(lines: Ordered) -> Ordered:
 
 def splice_orphan_numbers(lines: DataFrame) -> DataFrame:
     """A line that begins with a date and an amount takes a number of four digits from the next line between the two."""
-    return _spliced(_lines(lines)).rows.drop(PIECE)
+    return _spliced(_lines(_shown(lines))).rows.drop(PIECE)
 
 
 def _spliced(lines: Ordered) -> Ordered:
@@ -142,6 +151,17 @@ def _triplets(lines: DataFrame, *more: str) -> DataFrame:
     return out.select("statement_id", "line_no", *more, "place", F.col("t.date").alias("date_text"), F.col("t.check_no").alias("check_no"), F.translate("t.amount", ",", "").cast("double").alias("amount"))
 
 
+def _checks(text: Column, year: Column) -> Column:
+    """The triplets of a line as rows of checks, in order."""
+    get = lambda i: F.regexp_extract_all(text, F.lit(TRIPLET), F.lit(i))
+    row = lambda t, i: _scan_row(i, coerce.normal_date(t["date"], year), F.concat(F.lit("Check #"), t["check_no"]), F.translate(t["amount"], ",", "").cast("double"), t["check_no"], F.lit("check"))
+    return F.transform(F.arrays_zip(get(1).alias("date"), get(2).alias("check_no"), get(3).alias("amount")), row)
+
+
+def _scan_row(place: Column, date: Column, description: Column, amount: Column, check_no: Column, section: Column) -> Column:
+    return F.struct(place.cast("int").alias("place"), date.alias("date"), description.alias("description"), amount.alias("amount"), check_no.alias("check_no"), section.alias("section"))
+
+
 def statement_year(lines: DataFrame, default: int) -> DataFrame:
     """statement_id and the year that its first YEAR_TEXT characters name: of its period, of a date in words, or any of this century."""
     before = F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -264,31 +284,30 @@ def _gathered(events: Ordered) -> Ordered:
 
     A group of lines ends before a heading, a row of cells or a register, and a dated line, and after a line with an
     amount. Two prefixes number the groups and a third carries the date, so that each group is summed up by itself: its
-    waiting lines and its amount line are one row, or its waiting lines are one without an amount.
+    waiting lines and its amount line are one row, or its waiting lines are one without an amount. Events `skip` are left out.
     """
     line, priced = F.col("event") == "line", F.col("amount").isNotNull()
     sectioned, dated = coerce.blank(F.col("section")) != "", F.col("__day").isNotNull()
-    told = events.carried(last={"__day": F.col("date")}, count={"__a": ~line | F.col("date").isNotNull()}, count_before={"__b": line & priced})
-    rows = told.rows.withColumn("__group", F.col("__a") + F.col("__b"))
-    alone = rows.filter(F.col("event").isin("cells", "register")).select(
-        "statement_id", PIECE, _place(F.col("line_no"), 0), F.when(F.col("event") == "register", F.col("__day")).otherwise(F.col("date")).alias("date"),
-        F.col("body").alias("description"), "amount", "check_no", "section",
-    )
-    waits = ~priced & (F.coalesce(F.col("kept"), F.lit(False)) | sectioned)
-    end = F.struct("line_no", PIECE, F.col("__day").alias("date"), "section", "amount", F.col("body").alias("body"), F.coalesce("named", F.lit(False)).alias("named"))
-    groups = rows.filter(line).groupBy("statement_id", "__group").agg(
+    told = events.carried(last={"__day": F.col("date")}, count={"__a": ~F.col("event").isin("line", "skip") | F.col("date").isNotNull()}, count_before={"__b": line & priced})
+    rows = told.rows.filter(F.col("event").isin("cells", "register", "line")).withColumn("__group", F.col("__a") + F.col("__b"))
+    waits = line & ~priced & (F.coalesce(F.col("kept"), F.lit(False)) | sectioned)
+    day = F.when(F.col("event") == "cells", F.col("date")).otherwise(F.col("__day"))
+    end = F.struct("line_no", PIECE, day.alias("date"), "section", "amount", F.col("body").alias("body"), "check_no", F.coalesce("named", F.lit(False)).alias("named"))
+    # A row of cells or of a register has the number of the lines that follow it, and is a group of its own.
+    groups = rows.groupBy("statement_id", "__group", line.alias("__line")).agg(
         F.array_sort(F.collect_list(F.when(waits, F.struct("line_no", "body")))).alias("waiting"), F.coalesce(F.bool_or(waits & F.col("named")), F.lit(False)).alias("hinted"), F.max_by(end, "line_no").alias("end"),
     )
     # The last line of a group is its amount line if it has one.
-    amount = F.col("end.amount").isNotNull()
+    amount, alone = F.col("end.amount").isNotNull(), ~F.col("__line")
     bodies = F.transform("waiting", lambda w: w["body"])
     text = _stripped(F.array_join(F.concat(bodies, F.when(amount, F.array("end.body")).otherwise(F.array().cast("array<string>"))), " "))
     sure = F.col("hinted") | (amount & F.col("end.named")) | F.col("end.date").isNotNull() | (coerce.blank(F.col("end.section")) != "")
-    joined = groups.withColumn("description", text).filter(sure & (amount | (F.col("description") != ""))).select(
-        "statement_id", F.col(f"end.{PIECE}").alias(PIECE), _place(F.col("end.line_no"), F.when(amount, 0).otherwise(1)), F.col("end.date").alias("date"),
-        "description", F.col("end.amount").alias("amount"), F.lit(None).cast("string").alias("check_no"), F.col("end.section").alias("section"),
+    said = F.when(alone, F.col("end.body")).otherwise(text)
+    joined = groups.filter(alone | sure).withColumn("description", said).filter(alone | amount | (F.col("description") != "")).select(
+        "statement_id", F.col(f"end.{PIECE}").alias(PIECE), _place(F.col("end.line_no"), F.when(alone | amount, 0).otherwise(1)), F.col("end.date").alias("date"),
+        "description", F.col("end.amount").alias("amount"), F.when(alone, F.col("end.check_no")).alias("check_no"), F.col("end.section").alias("section"),
     )
-    return replace(told, rows=alone.unionByName(joined), order="__place")
+    return replace(told, rows=joined, order="__place")
 
 
 def _place(line_no: Column, within: Column | int) -> Column:
@@ -307,6 +326,14 @@ def classified(lines: DataFrame, year: Column, *more: str) -> DataFrame:
     date, body, amount and check_no are those of the line itself; named: it has words of a transaction; kept: it may
     wait for an amount. Lines that say nothing are left out. more: columns to keep.
     """
+    return _classified(lines, year, *more).filter("event <> 'skip'")
+
+
+def _classified(lines: DataFrame, year: Column, *more: str) -> DataFrame:
+    """As classified(), with the lines that say nothing as events `skip` without a date or an amount.
+
+    A filter on what a line is would be pushed below the columns that say it, which were then computed twice.
+    """
     cells = F.transform(F.split("text", r" \| "), lambda c: F.trim(c))
     live = lines.withColumn("__cells", F.when(F.col("heading").isNull() & F.col("text").contains(" | "), cells_row(cells, F.col("section"), year)))
     part = lambda i: F.regexp_extract("text", REGISTER_ROW, i)
@@ -317,9 +344,9 @@ def classified(lines: DataFrame, year: Column, *more: str) -> DataFrame:
     listed = F.struct(coerce.normal_date(part(2), year).alias("date"), F.concat_ws(" ", F.concat(F.lit("Check #"), part(1)), extra).alias("description"), paid.alias("amount"), part(1).alias("check_no"))
     live = live.withColumn("__listed", F.when(in_checks & paid.isNotNull() & ~predicates.is_column_header(F.col("text")), listed))
     event = F.when(F.col("heading").isNotNull(), "heading").when(F.col("__cells").isNotNull(), "cells").when(F.col("__listed").isNotNull(), "register").otherwise("line")
-    live = live.withColumn("event", event).filter((F.col("event") != "line") | ~predicates.is_skipped(F.col("text"), F.col("heading")))
+    live = live.withColumn("event", event).withColumn("event", F.when((F.col("event") == "line") & predicates.is_skipped(F.col("text"), F.col("heading")), "skip").otherwise(F.col("event")))
     own, rest = _in_joined(F.col("text"), year)
-    live = live.withColumn("__own", own).withColumn("__body", F.when(F.col("__own").isNotNull(), rest).otherwise(F.col("text")))
+    live = live.withColumn("__own", F.when(F.col("event") == "line", own)).withColumn("__body", F.when(F.col("__own").isNotNull(), rest).otherwise(F.col("text")))
     made = F.coalesce("__cells", "__listed")
     line, body = F.col("event") == "line", F.col("__body")
     named = body.rlike(predicates.TRANSACTION_HINT) | body.rlike(predicates.CHECK_NUMBER) | F.trim(F.element_at(F.split(body, r"\|"), 1)).rlike(predicates.LONE_NUMBER)
@@ -338,9 +365,9 @@ def parse_lines(lines: DataFrame, year: Column) -> DataFrame:
     check register are rows by themselves. Lines without an amount wait for the next amount line and precede its text;
     a date or heading before it makes them a row without an amount. A statement of any length spreads over tasks (pieces).
     """
-    held = _sections(_lines(lines.withColumn("text", F.trim("text")).filter("text <> ''")))
+    held = _sections(_dealt(_shown(lines)))
     live = held.rows.filter(F.col("heading").isNotNull() | ~F.col("suppressed"))
-    return dedupe_transactions(finish(_in_place(_gathered(replace(held, rows=classified(live, year, PIECE)))), "text", year))
+    return dedupe_transactions(finish(_in_place(_gathered(replace(held, rows=_classified(live, year, PIECE)))), "text", year))
 
 
 def _meaning(text: str) -> bool:
@@ -354,31 +381,32 @@ def _tidy(text: str) -> str:
     return re.sub(r"(?i)\bEFT[I/]?ACH\b", "EFT/ACH", _TAIL.sub("", text).strip())
 
 
-_FOUND = "statement_id string, __piece int, line_no int, what string, date date, text string, amount double, section string, taken int"
+_FOUND = "statement_id string, __piece int, line_no int, what string, date int, text string, amount double, section string, taken int"
 
 
 def _opened(rows: Iterator[tuple]) -> Iterator[tuple]:
     """What each stretch of lines from a heading, a dated line or a row of checks gives: at most one row, the ends of runs of
-    rows (`close`), and lines that may continue an earlier row (`line`).
+    rows (`close`, or the `checks` themselves), and lines that may continue an earlier row (`line`).
 
     A row is open from its date until it has an amount and a meaningful text, and takes two more lines after that.
     """
     for (statement, _), events in groupby(rows, key=itemgetter(0, 1)):
         open_ = done = None  # [piece, line_no, date, text, amount, section, lines taken]
-        for _, _, piece, line_no, event, section, date, body, amount, junk, closing in events:
-            if event in ("heading", "checks"):
-                if closing:
-                    yield statement, piece, line_no, "close", None, None, None, None, None
+        for _, _, piece, line_no, event, section, date, body, amount in events:
+            if event == "checks":
+                yield statement, piece, line_no, event, None, body, None, section, None
+            elif event == "heading":
+                yield statement, piece, line_no, "close", None, None, None, None, None
             elif event == "dated":
-                open_ = [piece, line_no, date, body, amount, section, 0] if date else None
+                open_ = [piece, line_no, date, body, amount, section, 0] if date is not None else None
             elif amount is not None:
                 if open_ is not None and open_[4] is None:
-                    open_[4], open_[3] = amount, open_[3] if junk or not body else f"{open_[3]} {body}".strip()
-            elif not junk and open_ is not None:
+                    open_[4], open_[3] = amount, f"{open_[3]} {body}".strip() if body else open_[3]
+            elif open_ is not None:
                 open_[3] = _longer(open_[3], body) or open_[3]
-            elif not junk and done is not None:
+            elif done is not None:
                 _continue(done, body)
-            elif not junk:
+            else:
                 yield statement, piece, line_no, "line", None, body, None, None, None
             if open_ is not None and open_[4] is not None and _meaning(_tidy(open_[3])):
                 done, open_ = open_, None
@@ -399,33 +427,59 @@ def _continue(row: list, body: str) -> None:
 
 
 def _continued(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows with the lines that follow them before the next row or end: of each run, the row is first."""
+    """Rows with the lines that follow them before the next row or end: of each run, the row is first. Checks pass."""
     for (statement, _), found in groupby(rows, key=itemgetter(0, 1)):
         row = None
         for _, _, piece, line_no, what, date, text, amount, section, taken in found:
             if what == "row":
                 row = [piece, line_no, date, text, amount, section, taken]
+            elif what == "checks":
+                yield statement, piece, line_no, what, date, text, amount, section
             elif what == "line" and row is not None:
                 _continue(row, text)
         if row is not None:
-            yield statement, *row[:6]
+            yield statement, *row[:2], "row", *row[2:6]
+
+
+def _both(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """_opened(), then _continued(), of whole statements."""
+
+    def numbered(found: Iterator[tuple]) -> Iterator[tuple]:
+        run = 0
+        for statement, *rest in found:
+            run += rest[2] != "line"
+            yield statement, run, *rest
+
+    return _continued(numbered(_opened(rows)))
 
 
 def _strict(events: Ordered) -> Ordered:
-    """Rows of parse_scan() from its events: event, section, date, body, amount, junk of a line.
+    """Rows of parse_scan() from its events, without those of checks."""
+    return _read(events).then(lambda rows: rows.filter("what = 'row'").drop("what"))
+
+
+def _read(events: Ordered) -> Ordered:
+    """Rows of parse_scan() from its events: event, section, date, body, amount, junk of a line; `what`: row, or checks, which
+    keep their body as description.
 
     A stretch begins at a heading, a row of checks or a date, and can be read without those before it; a second walk gives
-    rows the lines of later stretches that continue them. Both walk many short runs, not statements.
+    rows the lines of later stretches that continue them. If a statement is cut, each is a step of its own, over many short
+    runs. Else a task walks the statements that the windows left it. Lines that change nothing stay out of the walks.
     """
-    marks = F.col("event").isin("heading", "checks")
-    told = events.carried(count={"__stretch": F.col("event") != "line"}, last_before={"__before": F.when(marks, F.struct("section"))})
-    closing = (F.col("event") == "checks") | ((F.col("event") == "heading") & ~F.col("section").eqNullSafe(F.col("__before.section")))
-    columns = ["statement_id", "__stretch", PIECE, "line_no", "event", "section", "date", "body", "amount", "junk"]
-    found = walked(told.rows.select(*columns, closing.alias("closing")), ["statement_id", "__stretch"], ["line_no"], _opened, _FOUND)
-    runs = replace(told, rows=found).carried(count={"__run": F.col("what") != "line"})
-    columns = ["statement_id", "__run", PIECE, "line_no", "what", "date", "text", "amount", "section", "taken"]
-    rows = walked(runs.rows.select(*columns), ["statement_id", "__run"], ["line_no"], _continued, "statement_id string, __piece int, line_no int, date date, description string, amount double, section string")
-    return replace(told, rows=rows)
+    marks, line = F.col("event").isin("heading", "checks"), F.col("event") == "line"
+    told = events.carried(count={"__stretch": ~line}, last_before={"__before": F.when(marks, F.struct("section"))})
+    idle = F.when(line, F.col("junk") & F.col("amount").isNull()).otherwise((F.col("event") == "heading") & F.col("section").eqNullSafe(F.col("__before.section")))
+    body = F.when(line & F.col("junk"), "").otherwise(F.col("body"))
+    told = told.then(lambda rows: rows.filter(~idle).select("statement_id", "__stretch", PIECE, "line_no", "event", "section", F.unix_date("date").alias("date"), body.alias("body"), "amount"))
+    kind = "statement_id string, __piece int, line_no int, what string, date int, description string, amount double, section string"
+    if told.cut:
+        found = walked(told.rows, ["statement_id", "__stretch"], ["line_no"], _opened, _FOUND)
+        runs = replace(told, rows=found).carried(count={"__run": F.col("what") != "line"})
+        columns = ["statement_id", "__run", PIECE, "line_no", "what", "date", "text", "amount", "section", "taken"]
+        rows = walked(runs.rows.select(*columns), ["statement_id", "__run"], ["line_no"], _continued, kind)
+    else:
+        rows = walked(told.rows, ["statement_id"], ["line_no"], _both, kind, placed=True)
+    return replace(told, rows=rows.withColumn("date", F.date_from_unix_date("date")))
 
 
 def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
@@ -435,24 +489,30 @@ def parse_scan(lines: DataFrame, year: Column) -> DataFrame:
     heading. Only a full date begins a row; check sections give a row for each date, number and amount of a line, and
     nothing else; two lines that follow a row continue its text. Rows are to review, as finish() says.
     """
-    held = _until_end(_sections(_spliced(_fused(_lines(lines).then(lambda rows: rows.withColumn("text", repair.fix_money(F.col("text"))))))))
+    fixed = _dealt(_shown(lines)).then(lambda rows: rows.withColumn("text", repair.fix_money(F.col("text"))))
+    held = _until_end(_sections(_spliced(_fused(fixed))))
     live = held.rows.filter(F.col("heading").isNotNull() | ~predicates.is_skipped(F.col("text"), F.col("heading")))
     plain, in_checks = F.col("heading").isNull(), F.coalesce(F.col("section") == "check", F.lit(False))
     listed = plain & in_checks & F.col("text").rlike(TRIPLET)
-    live = live.withColumn("__listed", listed).filter(F.col("heading").isNotNull() | listed | ~in_checks)
+    live = live.withColumn("__listed", listed).filter(F.col("heading").isNotNull() | F.col("__listed") | ~in_checks)
     dated = F.col("text").rlike(FULL_DATE)
-    rest = F.when(dated, F.coalesce(F.regexp_extract("text", FULL_DATE, 2), F.lit(""))).otherwise(F.col("text"))
     event = F.when(F.col("heading").isNotNull(), "heading").when(F.col("__listed"), "checks").when(dated, "dated").otherwise("line")
-    body = F.when((event == "line") & (F.size(coerce.amounts(rest)) == 0), rest).otherwise(_no_amounts(F.trim(rest)))
+    live = live.withColumn("event", event)
+    rest = F.when(F.col("event") == "dated", F.coalesce(F.regexp_extract("text", FULL_DATE, 2), F.lit(""))).otherwise(F.col("text"))
+    told = F.col("event").isin("dated", "line")
+    live = live.withColumn("__rest", rest).withColumn("__amounts", F.when(told, coerce.amounts(F.col("__rest"))))
+    as_it_is = ~told | ((F.col("event") == "line") & (F.size("__amounts") == 0))
+    live = live.withColumn("__body", F.when(as_it_is, F.col("__rest")).otherwise(_no_amounts(F.trim("__rest"))))
     events = live.select(
-        "statement_id", PIECE, F.col("line_no").cast("int").alias("line_no"), event.alias("event"), "section", F.when(event == "dated", coerce.normal_date(F.regexp_extract("text", FULL_DATE, 1), year)).alias("date"),
-        body.alias("body"), coerce.pick_amount(coerce.amounts(rest)).alias("amount"), predicates.is_ocr_junk(body).alias("junk"),
+        "statement_id", PIECE, F.col("line_no").cast("int").alias("line_no"), "event", "section", F.when(F.col("event") == "dated", coerce.normal_date(F.regexp_extract("text", FULL_DATE, 1), year)).alias("date"),
+        F.col("__body").alias("body"), coerce.pick_amount(F.col("__amounts")).alias("amount"), F.when(F.col("event") == "line", predicates.is_ocr_junk(F.col("__body"))).otherwise(False).alias("junk"),
     )
-    read = _strict(replace(held, rows=events))
-    rows = read.rows.select("statement_id", PIECE, _place(F.col("line_no"), 0), "date", "description", "amount", _number(F.col("description")).alias("check_no"), "section")
-    triplets = _triplets(live.filter("__listed"), PIECE).withColumn("date", coerce.normal_date(F.col("date_text"), year)).filter("date is not null")
-    checks = triplets.select("statement_id", PIECE, _place(F.col("line_no"), F.col("place")), "date", F.concat(F.lit("Check #"), "check_no").alias("description"), "amount", "check_no", F.lit("check").alias("section"))
-    return finish(_in_place(replace(read, rows=rows.unionByName(checks), order="__place")), "scan", year)
+    read = _read(replace(held, rows=events))
+    own = _scan_row(F.lit(0), F.col("date"), F.col("description"), F.col("amount"), _number(F.col("description")), F.col("section"))
+    each = F.when(F.col("what") == "checks", _checks(F.col("description"), year)).otherwise(F.array(own))
+    rows = read.rows.select("statement_id", PIECE, "line_no", F.inline(each)).filter("date is not null")
+    rows = rows.select("statement_id", PIECE, _place(F.col("line_no"), F.col("place")), "date", "description", "amount", "check_no", "section")
+    return finish(_in_place(replace(read, rows=rows, order="__place")), "scan", year)
 
 
 def assemble_words(words: DataFrame, tolerance: float) -> DataFrame:

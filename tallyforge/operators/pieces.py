@@ -52,6 +52,10 @@ class Ordered:
         """With the rows changed one by one or left out; `by`, the order and PIECE have to stay."""
         return replace(self, rows=change(self.rows))
 
+    def spread(self, tasks: int) -> Ordered:
+        """With groups, or pieces of them, dealt to so many tasks, where windows find them: what is added next is computed there."""
+        return replace(self, rows=self.rows.repartition(tasks, *self.by, *([PIECE] if self.cut else [])))
+
     def _settled(self) -> Ordered:
         """Once groups are cut, rows are read twice in each step, so that they are written before."""
         return replace(self, rows=settled(self.rows)) if self.cut else self

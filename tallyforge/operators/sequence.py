@@ -60,11 +60,12 @@ def by_size(rows: DataFrame, least: int, by: str = "statement_id") -> tuple[Data
     return rows.join(large, by, "left_anti"), rows.join(large, by, "left_semi")
 
 
-def walked(rows: DataFrame, by: list[str], order: list[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], kind: str) -> DataFrame:
+def walked(rows: DataFrame, by: list[str], order: list[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], kind: str, placed: bool = False) -> DataFrame:
     """What `walk` yields, with the columns of `kind`, from the rows as tuples in their order.
 
     A task holds many groups (equal `by`), which reach the walk one after the other; it sees a new group by its key.
-    Rows stream through sorted batches, so a group is never held whole but for what the walk keeps of it.
+    Rows stream through sorted batches, so a group is never held whole but for what the walk keeps of it. placed: rows come
+    from windows over `by` alone, which left each group in one task.
     """
     plain_unions(rows.sparkSession)
     fields = [f.split() for f in kind.split(", ")]
@@ -76,4 +77,4 @@ def walked(rows: DataFrame, by: list[str], order: list[str], walk: Callable[[Ite
         while some := list(islice(found, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, kind)
+    return (rows if placed else rows.repartition(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, kind)

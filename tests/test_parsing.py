@@ -217,3 +217,17 @@ def test_crops_are_read_once_for_their_rules(spark, monkeypatch):
     rows = spark.createDataFrame([(str(i), 0, "Pay to the order of Blue Sky Books", 0.9, 0.3) for i in range(5)], "crop_id string, idx int, text string, confidence double, y double")
     known = spark.createDataFrame([("blue", "Blue Sky", "", "", 1)], "pattern string, payee string, client_override string, bank string, ord int")
     assert [r["payee"] for r in payees.extract_with_rules(rows, known).collect()] == ["Blue Sky"] * 5 and seen.value == 5
+
+
+def test_scans_are_read_once_and_spread_by_their_rows(spark, monkeypatch):
+    from tallyforge.operators import sequence
+
+    monkeypatch.setattr(sequence, "ROWS_A_TASK", 2)
+    said = ["DEPOSITS", "01/05/2026 Regular deposit 1O.25", "STORE FRONT", " ", "Checks paid", "01/06 2419 12.00 01/07 2420 13.00", "Page 1 of 3"]
+    text = spark.createDataFrame([(s, i, x) for s in "abc" for i, x in enumerate(said)], "statement_id string, line_no int, text string")
+    found = lines.parse_scan(text, F.lit(2026))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and plan.count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan
+    assert "hashpartitioning(statement_id#" in plan and ", 9)" in plan  # 18 lines that are not blank
+    got = sorted((r["statement_id"], r["ord"], r["description"], r["amount"], r["check_no"]) for r in found.collect())
+    assert got == [(s, *r) for s in "abc" for r in ((1, "Regular deposit STORE FRONT", 10.25, ""), (2, "Check #2419", -12.0, "2419"), (3, "Check #2420", -13.0, "2420"))]
