@@ -231,3 +231,12 @@ def test_scans_are_read_once_and_spread_by_their_rows(spark, monkeypatch):
     assert "hashpartitioning(statement_id#" in plan and ", 9)" in plan  # 18 lines that are not blank
     got = sorted((r["statement_id"], r["ord"], r["description"], r["amount"], r["check_no"]) for r in found.collect())
     assert got == [(s, *r) for s in "abc" for r in ((1, "Regular deposit STORE FRONT", 10.25, ""), (2, "Check #2419", -12.0, "2419"), (3, "Check #2420", -13.0, "2420"))]
+
+
+def test_text_lines_are_read_once(spark):
+    said = ["DEPOSITS", "01/05/2026 | Harbor Cafe deposit | 10.25", "ELECTRONIC DEBITS", "01/06 Ach withdrawal", "UTILITY 12.00", "Page 1 of 3", "Checks paid", "2419 01/07 13.00", "memo"]
+    text = spark.createDataFrame([("a", i, x) for i, x in enumerate(said)], "statement_id string, line_no int, text string")
+    found = lines.parse_lines(text, F.lit(2026))
+    assert "Union" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = [(str(r["date"]), r["description"], r["amount"], r["check_no"], r["section"]) for r in found.orderBy("ord").collect()]
+    assert got == [("2026-01-05", "Harbor Cafe deposit", 10.25, "", "credit"), ("2026-01-06", "Ach withdrawal UTILITY", -12.0, "", "debit"), ("2026-01-07", "Check #2419", -13.0, "2419", "check")]
