@@ -19,8 +19,9 @@ from .components import connected_components, roots
 SKETCH = 64
 #: Chance at most that sketches of two similar sets share fewer values than they must. Sets of SKETCH at most are exact.
 MISS = 1e-15
-#: Words whose hashes a task remembers before it begins anew.
-REMEMBERED = 400_000
+#: Words whose hashes a task remembers before it begins anew, and characters of texts that are cut into words at once; a
+#: longer text stays whole. Both bound what a worker holds: a word takes some 200 bytes, a remembered one as many.
+REMEMBERED, SLICE = 50_000, 500_000
 #: Rows of two or three numbers up to which a side is broadcast (some 30 MB); beyond, Spark shuffles both.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which lists of several components first compare all members with one pivot.
@@ -84,18 +85,20 @@ class Shingler:
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
+def _sketch_rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The rows of _sketches(), from rows of doc_id, mark and text."""
+    shingler = Shingler(width)
+    for part in slices(batches, "text", SLICE):
+        sets = shingler.sets(part["text"].tolist())
+        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "n_shingles": [len(s) for s in sets], "digest": digests, "sketch": [s[:SKETCH] for s in sets]})
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, mark, n_shingles, digest of the set (null if empty), sketch, for each row."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(width)
-        for part in slices(batches, "text", 2_000_000):
-            sets = shingler.sets(part["text"].tolist())
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "n_shingles": [len(s) for s in sets], "digest": digests, "sketch": [s[:SKETCH] for s in sets]})
-
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), _mark().alias("mark"), "text")
-    out = named.mapInPandas(make, "doc_id string, mark string, n_shingles long, digest binary, sketch array<long>")
+    out = named.mapInPandas(lambda batches: _sketch_rows(batches, width), "doc_id string, mark string, n_shingles long, digest binary, sketch array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -109,7 +112,7 @@ def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
-        for part in slices(batches, "text", 2_000_000):
+        for part in slices(batches, "text", SLICE):
             sets = [s for s in shingler.sets(part["text"].tolist()) if len(s)]
             yield pd.DataFrame({"digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "shingles": sets})
 

@@ -18,9 +18,9 @@ from .common import materialise, with_uid
 
 #: Words whose ids a worker remembers, and their longest in bytes. Beyond, it keeps the half that it met most; what it
 #: forgets costs time and changes no result.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Characters of texts that are encoded at once; one longer text stays whole.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: Letters before whose following sentence marks the tokenizer cuts, and words that it leaves whole.
 LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
 BEFORE_MARK, WHOLE = f"([{LETTERS}])([.,;:!?])", f"^(?:[{LETTERS}]+|[.,;:!?]+)$"
@@ -166,6 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             crc = [zlib.crc32(flat[a : a + k].tobytes()) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
             columns = [part["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # else a worker holds it, also in stages that follow
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return named.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")

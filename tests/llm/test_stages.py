@@ -1,7 +1,9 @@
 """Stages on tables whose columns have the operators' own names, and secrets that no base pattern marks."""
 
 import random
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontamination, neardup, secrets, toxicity
@@ -75,3 +77,16 @@ def test_other_readers_can_resolve_revisits(spark, tmp_path):
     for h in revisits:
         first = heads[h["WARC-Refers-To"]]
         assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first.get("WARC-Target-URI") == h.get("WARC-Refers-To-Target-URI") and first["WARC-Date"] == h["WARC-Refers-To-Date"]
+
+
+def test_sketches_hold_few_words_at_once():
+    """400,000 different words in batches of a worker: what is held meanwhile is far less than all of them."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(200)]
+    batches = [pd.DataFrame({"doc_id": [str(k) for k in range(i, i + 100)], "mark": "m", "text": texts[i : i + 100]}) for i in (0, 100)]
+    tracemalloc.start()
+    try:
+        rows = sum(len(part) for part in neardup._sketch_rows(iter(batches), 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 200 and peak < 40_000_000, peak
